@@ -1,0 +1 @@
+"""Registered queries over the driver tables, and the SQL each one is checked against."""
