@@ -240,15 +240,18 @@ from (values ('StreamCo', 'Amazon', 'All', 0.20), ('MaxStream', 'Amazon', 'All',
 """
 # The SKU reference the accrual uses, one row per channel, SKU and region ever sold.
 VIEWS["accrual_skus"] = f"""
-select distinct {CHANNEL} as payment_provider, {SKU} as sku_id, {REGION} as file_tx_region,
-  case when lower({SKU}) like '%annual%' or lower({SKU}) like '%year%'
-         or lower({SKU}) like '%12m%' or lower({SKU}) like '%.1y%' then 'YEAR'
-       when lower({SKU}) like '%plain%' then 'OTHER' else 'MONTH' end as payment_period,
-  case when lower({SKU}) like '%premium%' then 'premium' else 'ad_free' end as tier_type,
-  case when lower({SKU}) like '%ppv%' or lower({SKU}) like '%golftv%' then 'N' else 'Y' end
+select payment_provider, sku_id, file_tx_region,
+  case when sku_id like '%annual%' or sku_id like '%year%' or sku_id like '%12m%'
+         or sku_id like '%.1y%' then 'YEAR'
+       when sku_id like '%plain%' then 'OTHER' else 'MONTH' end as payment_period,
+  case when sku_id like '%premium%' then 'premium' else 'ad_free' end as tier_type,
+  case when sku_id like '%ppv%' or sku_id like '%golftv%' then 'N' else 'Y' end
     as included_in_accrual_yn,
   cast(0.25 as decimal(20,6)) as partner_revenue_share
-from {{lineitem}}
+from (
+  select distinct {CHANNEL} as payment_provider, {SKU} as sku_id, {REGION} as file_tx_region
+  from {{lineitem}}
+) k
 """
 
 REALM3 = pick("o_custkey", ["go", "dplay", "streaming"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators.accrual import AccrualLookups
 from tillroll.plans.load import FileLoad, load_file
-from tillroll.plans.refresh import monitor_of, refresh_accrual
+from tillroll.plans.refresh import monitor_of, refresh_accrual, refresh_skus
 from tillroll.sources.schemas import COLLECTION_AUDIT, MONITOR_CONFIG, PAYMENTS, ddl, raw_widths
 
 AS_OF = date(2024, 3, 1)
@@ -241,3 +241,25 @@ def test_readers_of_live_payments_never_see_a_replaced_file(tables, spark, tmp_p
     assert tables.read("payments").count() == 2
     live = tables.live_payments().select(F.col("file_tx_id")).collect()
     assert [r.file_tx_id for r in live] == ["d6"]
+
+
+def test_a_sku_that_was_only_refunded_before_is_promoted_by_its_history(tables, tmp_path):
+    refund = [amazon_row(1, sku="go.month", price="-5", kind="Refund")]
+    path = write_file(tmp_path, "amazon_go_sales_2023-12-31.csv", "amazon", refund)
+    load_file(tables, amazon_load(path, "dec"))
+    assert tables.skus().count() == 0
+    free = [amazon_row(2, sku="go.month", price="0")]
+    load_file(tables, amazon_load(amazon_file(tmp_path, 5, free), "jan"))
+    assert [(r.sku_id, r.included_in_accrual_yn) for r in tables.skus().collect()] == [
+        ("go.month", "Y")
+    ]
+
+
+def test_refreshing_skus_finds_what_single_loads_missed(tables, spark, tmp_path):
+    load_file(tables, amazon_load(amazon_file(tmp_path, 5, [amazon_row(1)]), "d5"))
+    rows = tables.read("payments").collect()
+    extra = spark.createDataFrame(rows, ddl(PAYMENTS)).withColumn("vendor_sku", F.lit("late.year"))
+    tables.replace_partition("payments", extra, pmt_channel="Amazon", file_tx_id="d6")
+    refresh_skus(tables)
+    refresh_skus(tables)
+    assert sorted(r.sku_id for r in tables.skus().collect()) == ["go.plan.annual", "late.year"]

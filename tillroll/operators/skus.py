@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.functions.money import TOTAL
 from tillroll.functions.text import by_value, first_match, like_any
 from tillroll.sources.schemas import SKU_KEY, SKUS
 
@@ -182,45 +183,47 @@ def promotable(sku_ref: DataFrame) -> DataFrame:
     )
 
 
-def promoted_skus(sku_ref: DataFrame, payments: DataFrame, apple: DataFrame) -> DataFrame:
-    """The reference rows that revenue turns from N to Y.
-
-    Only rows of candidate SKUs are summed; with no candidate the payments are not read.
-    """
-    candidates = promotable(sku_ref)
-    keys = candidates.select(*SKU_KEY)
-    store = (
-        payments.where(F.col("pmt_channel").isin(*STORE_CHANNELS))
-        .select(
-            F.col("pmt_channel").alias("payment_provider"),
-            F.col("vendor_sku").alias("sku_id"),
-            "file_tx_region",
-            F.abs("main_amount").alias("_value"),
-        )
+def store_sales(payments: DataFrame) -> DataFrame:
+    """Payments of the three stores as SKU keys and absolute amounts; no filter on their type."""
+    return payments.where(F.col("pmt_channel").isin(*STORE_CHANNELS)).select(
+        F.col("pmt_channel").alias("payment_provider"),
+        F.col("vendor_sku").alias("sku_id"),
+        "file_tx_region",
+        F.abs("main_amount").cast(TOTAL).alias("value"),
     )
-    sold = apple.where(F.col("subscription").isin("Renewal", "New")).select(
+
+
+def apple_sales_values(apple: DataFrame) -> DataFrame:
+    """Apple sales as SKU keys and values; returned units count against."""
+    return apple.where(F.col("subscription").isin("Renewal", "New")).select(
         F.lit("Apple").alias("payment_provider"),
         F.col("sku").alias("sku_id"),
         "file_tx_region",
-        (F.abs("customer_price") * F.col("units")).alias("_value"),
+        (F.abs("customer_price") * F.col("units")).cast(TOTAL).alias("value"),
     )
-    earning = [
-        rows.join(keys, list(SKU_KEY), "left_semi")
+
+
+def promoted_skus(sku_ref: DataFrame, sales: DataFrame) -> DataFrame:
+    """The reference rows that the sales turn from N to Y.
+
+    Only sales of candidate SKUs are summed; with no candidate they are not read.
+    """
+    candidates = promotable(sku_ref)
+    earning = (
+        sales.join(candidates.select(*SKU_KEY), list(SKU_KEY), "left_semi")
         .groupBy(*SKU_KEY)
-        .agg(F.sum("_value").alias("_revenue"))
+        .agg(F.sum("value").alias("_revenue"))
         .where(F.col("_revenue") > 0)
-        .select(*SKU_KEY)
-        for rows in (store, sold)
-    ]
-    revenue = earning[0].unionByName(earning[1])
-    return candidates.join(revenue, list(SKU_KEY), "left_semi").select(
+    )
+    return candidates.join(earning, list(SKU_KEY), "left_semi").select(
         *[F.lit("Y").alias(c) if c == "included_in_accrual_yn" else c for c in sku_ref.columns]
     )
 
 
 def promote_skus(sku_ref: DataFrame, payments: DataFrame, apple: DataFrame) -> DataFrame:
     """The whole reference after promotion."""
-    changed = promoted_skus(sku_ref, payments, apple)
+    sales = store_sales(payments).unionByName(apple_sales_values(apple))
+    changed = promoted_skus(sku_ref, sales)
     same = sku_ref.join(changed.select(*SKU_KEY), list(SKU_KEY), "left_anti")
     return same.select(*sku_ref.columns).unionByName(changed)
 

@@ -11,7 +11,6 @@ import uuid
 from dataclasses import dataclass, field
 from datetime import date, datetime, timezone
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.operators.facts import to_apple_fact, to_fact
@@ -23,11 +22,17 @@ from tillroll.operators.files import (
     superseded_files,
     superseding_files,
 )
-from tillroll.operators.skus import classify_apple_skus, classify_payment_skus, promoted_skus
+from tillroll.operators.skus import (
+    apple_sales_values,
+    classify_apple_skus,
+    classify_payment_skus,
+    promoted_skus,
+    store_sales,
+)
 from tillroll.operators.staging import TYPERS
 from tillroll.plans.refresh import refresh_monitor
 from tillroll.sources.landing import land_raw
-from tillroll.sources.schemas import CHANNELS, LOAD_AUDIT, ddl
+from tillroll.sources.schemas import CHANNELS, LOAD_AUDIT, SKU_KEY, SKUS, ddl
 from tillroll.sources.tables import GOOGLE_SECOND_RAW, RevenueTables
 
 SKIPPED = "SKIPPED"
@@ -147,26 +152,34 @@ def _supersede(tables: RevenueTables, load: FileLoad, channel: str) -> int:
 def _update_skus(tables: RevenueTables, load: FileLoad) -> None:
     """Append the file's new SKUs, then those that revenue promotes.
 
-    SKUs of earlier files were classified by their own loads, so only this file's rows are read
-    for new ones.
+    Earlier loads have classified the SKUs of earlier files, so new ones come from this file alone.
+    They have also promoted what earned by then: a store SKU still out has no amount in the fact so
+    far, and only this file can bring one. The whole fact is read for the few SKUs that are new and
+    still out, and, as Apple's returns count against its sales, for Apple's candidates in this file.
+    `refresh_skus` does the same over everything at once.
     """
-    new = _new_skus(tables, load)
-    if new is None:
+    if load.provider == "direct_billing":
         return
-    tables.append("sku_log", new)
-    promoted = promoted_skus(tables.skus(), tables.read("payments"), tables.read("apple_sales"))
-    tables.append("sku_log", promoted)
-
-
-def _new_skus(tables: RevenueTables, load: FileLoad) -> DataFrame | None:
     if load.provider == "apple":
-        return classify_apple_skus(
-            tables.read_file("apple_sales", load.file_tx_id), tables.skus()
-        )
-    if load.provider == "direct_billing":
-        return None
-    rows = tables.read("payments").where(
-        (F.col("pmt_channel") == CHANNELS[load.provider][0])
-        & (F.col("file_tx_id") == load.file_tx_id)
+        rows = tables.read_file("apple_sales", load.file_tx_id)
+        here = apple_sales_values(rows)
+        tables.append("sku_log", classify_apple_skus(rows, tables.skus()))
+        known = tables.skus().join(here, list(SKU_KEY), "left_semi")
+        history = apple_sales_values(tables.read("apple_sales"))
+        tables.append("sku_log", promoted_skus(known, history))
+        return
+    rows = tables.read_file("payments", load.file_tx_id).where(
+        F.col("pmt_channel") == CHANNELS[load.provider][0]
     )
-    return classify_payment_skus(rows, tables.skus())
+    here = store_sales(rows)
+    event = tables.append("sku_log", classify_payment_skus(rows, tables.skus()))
+    fresh = tables.read("sku_log").where(F.col("event_seq") == event).select(*SKUS)
+    known = (
+        tables.skus()
+        .join(here, list(SKU_KEY), "left_semi")
+        .join(fresh, list(SKU_KEY), "left_anti")
+        .select(*SKUS)
+    )
+    history = store_sales(tables.read("payments"))
+    promoted = promoted_skus(known, here).unionByName(promoted_skus(fresh, history))
+    tables.append("sku_log", promoted)

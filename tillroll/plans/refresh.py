@@ -15,6 +15,12 @@ from tillroll.operators.monitor import (
     master_rows,
     stamp_config,
 )
+from tillroll.operators.skus import (
+    apple_sales_values,
+    classify_skus,
+    promoted_skus,
+    store_sales,
+)
 from tillroll.sources.schemas import CHANNELS
 from tillroll.sources.tables import GOOGLE_SECOND_RAW, RevenueTables
 
@@ -54,6 +60,14 @@ def refresh_monitor(tables: RevenueTables, mv_id: str, provider: str, as_of: dat
     tables.append("monitor_config_log", stamped)
 
 
+def refresh_skus(tables: RevenueTables) -> None:
+    """Classify and promote over the whole facts, whatever single loads have done."""
+    payments, apple = tables.live_payments(), tables.read("apple_sales")
+    tables.append("sku_log", classify_skus(payments, apple, tables.skus()))
+    sales = store_sales(payments).unionByName(apple_sales_values(apple))
+    tables.append("sku_log", promoted_skus(tables.skus(), sales))
+
+
 def refresh_accrual(
     tables: RevenueTables,
     lookups: AccrualLookups,

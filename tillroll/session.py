@@ -1,9 +1,8 @@
-"""Session settings and the shared scratch folder."""
+"""Session settings."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import SparkSession
 
@@ -38,19 +37,3 @@ def local_session(
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the shared one the cluster names in spark.checkpoint.dir.
-
-    Only a session that names none, as in tests, gets a folder of its own; that one is on the local
-    disk, so it is refused when the session is not a local one.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tillroll-")
-        spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

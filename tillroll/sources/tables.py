@@ -99,12 +99,14 @@ class RevenueTables:
         values = ", ".join(f"`{k}` = {_literal(v)}" for k, v in spec.items())
         self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION ({values})")
 
-    def append(self, table: str, rows: DataFrame) -> None:
-        """Add rows; a log gets its event number here."""
+    def append(self, table: str, rows: DataFrame) -> int:
+        """Add rows; a log's rows get the event number that is returned."""
         columns = self.schemas[table][0]
+        event = time.time_ns()
         if "event_seq" in columns:
-            rows = rows.withColumn("event_seq", F.lit(time.time_ns()).cast("bigint"))
+            rows = rows.withColumn("event_seq", F.lit(event).cast("bigint"))
         rows.select(*columns).write.insertInto(self.name(table))
+        return event
 
     def audit(self) -> DataFrame:
         """The load audit as it stands."""
