@@ -12,7 +12,7 @@ import os
 import statistics
 import time
 
-from checks.queries import QUERIES
+from tillroll_checks.queries import QUERIES
 from tillroll.session import local_session
 
 HEADLINE = (

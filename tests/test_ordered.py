@@ -99,6 +99,23 @@ def test_a_hot_key_is_cut_into_cells(spark):
     assert rows and all("_bucket" in line for line in rows)
 
 
+def test_a_hot_key_is_spread_over_tasks(spark):
+    """No task gets most of a key that holds a third of all rows."""
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        df = position(frame(spark, events(7, 3000)), ["key"], ["at", "id"],
+                      hour_bucket(F.col("at")), "nr")
+        sizes = (
+            df.where(F.col("key") == "hot").groupBy(F.spark_partition_id()).count().collect()
+        )
+    finally:
+        spark.conf.set(setting, old)
+    assert len(sizes) > 1
+    assert max(r["count"] for r in sizes) < 0.6 * sum(r["count"] for r in sizes)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_exact_quantiles(spark, seed):
     rows = events(seed)

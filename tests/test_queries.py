@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as driver
-from checks.compare import compare, connect
+from tillroll_checks.compare import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
 

@@ -1,4 +1,4 @@
-"""Compare every registered query with its SQL: `python -m checks.compare [sf_dir] [name ...]`."""
+"""Compare every registered query with its SQL: `python -m tillroll_checks.compare [sf_dir] [name ...]`."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from decimal import Decimal
 
 import duckdb
 
-from checks.oracle import ORACLE
-from checks.queries import QUERIES
+from tillroll_checks.oracle import ORACLE
+from tillroll_checks.queries import QUERIES
 from tillroll.session import local_session
 
 TABLES = ("customer", "documents", "events", "lineitem", "nation", "orders", "part", "supplier")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def pick(number: str, values: list[str]) -> str:
@@ -532,11 +533,20 @@ def view_sql(name: str, engine: str) -> str:
     return sql
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet file; its schema is looked up once, as that lookup is a job of its own."""
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame over the parquet files."""
     sql = view_sql(name, "spark").replace("as timestamp)", "as timestamp_ntz)")
-    needed = set(_BASE.findall(sql))
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in needed}
+    tables = {t: _table(spark, f"{sf_dir}/{t}.parquet") for t in set(_BASE.findall(sql))}
     return spark.sql(sql, **tables)
 
 

@@ -5,7 +5,7 @@ Windows, pair joins and long unions are fine here: this runs on one machine over
 
 from __future__ import annotations
 
-from checks.inputs import with_views
+from tillroll_checks.inputs import with_views
 
 ORACLE: dict[str, str] = {}
 
@@ -254,11 +254,11 @@ MTD = """, mtd as (
     or length(o.day_of_month) < length(i.day_of_month)
 )"""
 ORACLE["mtd_superseded"] = with_views(["load_audit"], MTD + " select * from gone")
-ORACLE["mtd_superseded_by_last_file"] = with_views(
+ORACLE["mtd_superseded_by_file"] = with_views(
     ["load_audit"],
     MTD
     + """ select o.file_tx_id from mtd o join mtd i on o.realm_month_key = i.realm_month_key
-    where i.file_tx_id = 'f_go_1998-05-20' and ((length(o.day_of_month) = length(i.day_of_month)
+    where i.file_tx_id = 'f_dplay_1995-02-18' and ((length(o.day_of_month) = length(i.day_of_month)
       and o.day_of_month < i.day_of_month) or length(o.day_of_month) < length(i.day_of_month))""",
 )
 ORACLE["audit_after_supersession"] = with_views(

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.inputs import view
+from tillroll_checks.inputs import view
 from tillroll.functions import clock, money, realms, text
 from tillroll.operators import (
     accrual as acc,
@@ -190,9 +190,9 @@ def mtd_superseded(spark, d):
 
 
 @query
-def mtd_superseded_by_last_file(spark, d):
+def mtd_superseded_by_file(spark, d):
     audit = view(spark, d, "load_audit")
-    return files.superseded_files(audit, "f_go_1998-05-20")
+    return files.superseded_files(audit, "f_dplay_1995-02-18")
 
 
 @query
@@ -210,8 +210,8 @@ def fact_after_supersession(spark, d):
 @query
 def reload_idempotent(spark, d):
     rows = view(spark, d, "file_payments")
-    once = facts.replace_file(rows, rows, "f_go_1998-05-20")
-    return facts.replace_file(once, rows, "f_go_1998-05-20")
+    once = facts.replace_file(rows, rows, "f_dplay_1995-02-18")
+    return facts.replace_file(once, rows, "f_dplay_1995-02-18")
 
 
 # SKUs
