@@ -206,16 +206,13 @@ def apple_sales_values(apple: DataFrame) -> DataFrame:
 def promoted_skus(sku_ref: DataFrame, sales: DataFrame) -> DataFrame:
     """The reference rows that the sales turn from N to Y.
 
-    Only sales of candidate SKUs are summed; with no candidate they are not read.
+    Sales shrink to one row per SKU before they meet the reference, so their rows are never
+    shuffled for the join, however long the reference is.
     """
-    candidates = promotable(sku_ref)
-    earning = (
-        sales.join(candidates.select(*SKU_KEY), list(SKU_KEY), "left_semi")
-        .groupBy(*SKU_KEY)
-        .agg(F.sum("value").alias("_revenue"))
-        .where(F.col("_revenue") > 0)
+    earning = sales.groupBy(*SKU_KEY).agg(F.sum("value").alias("_revenue")).where(
+        F.col("_revenue") > 0
     )
-    return candidates.join(earning, list(SKU_KEY), "left_semi").select(
+    return promotable(sku_ref).join(earning, list(SKU_KEY), "left_semi").select(
         *[F.lit("Y").alias(c) if c == "included_in_accrual_yn" else c for c in sku_ref.columns]
     )
 

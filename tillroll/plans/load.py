@@ -11,6 +11,7 @@ import uuid
 from dataclasses import dataclass, field
 from datetime import date, datetime, timezone
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.operators.facts import to_apple_fact, to_fact
@@ -26,6 +27,7 @@ from tillroll.operators.skus import (
     apple_sales_values,
     classify_apple_skus,
     classify_payment_skus,
+    promotable,
     promoted_skus,
     store_sales,
 )
@@ -166,7 +168,7 @@ def _update_skus(tables: RevenueTables, load: FileLoad) -> None:
         tables.append("sku_log", classify_apple_skus(rows, tables.skus()))
         known = tables.skus().join(here, list(SKU_KEY), "left_semi")
         history = apple_sales_values(tables.read("apple_sales"))
-        tables.append("sku_log", promoted_skus(known, history))
+        tables.append("sku_log", promoted_skus(known, _sales_of(history, known)))
         return
     rows = tables.read_file("payments", load.file_tx_id).where(
         F.col("pmt_channel") == CHANNELS[load.provider][0]
@@ -181,5 +183,11 @@ def _update_skus(tables: RevenueTables, load: FileLoad) -> None:
         .select(*SKUS)
     )
     history = store_sales(tables.read("payments"))
-    promoted = promoted_skus(known, here).unionByName(promoted_skus(fresh, history))
-    tables.append("sku_log", promoted)
+    by_history = promoted_skus(fresh, _sales_of(history, fresh))
+    tables.append("sku_log", promoted_skus(known, here).unionByName(by_history))
+
+
+def _sales_of(sales: DataFrame, sku_ref: DataFrame) -> DataFrame:
+    """Sales of the few SKUs that may be promoted; with none of them the sales are not read."""
+    keys = promotable(sku_ref).select(*SKU_KEY)
+    return sales.join(keys, list(SKU_KEY), "left_semi")
