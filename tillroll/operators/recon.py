@@ -7,8 +7,8 @@ its rows are unmatched at once and never shuffled into one group.
 
 Payments: payment_id, merchant_account, record_type, psp_reference, merchant_reference,
 invoice_number, event_code, product_id, subscription_id, amount, currency, utc_timestamp.
-Charges: charge_id, merchant_account, transaction_type, psp_reference, vendor_reference_id, merchant_reference,
-invoice_id, product_id, subscription_id, amount, currency, charged_timestamp.
+Charges: charge_id, merchant_account, transaction_type, psp_reference, vendor_reference_id,
+merchant_reference, invoice_id, product_id, subscription_id, amount, currency, charged_timestamp.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions.money import MONEY, RATE, TOTAL
+from tillroll.functions.money import RATE, TOTAL
 from tillroll.functions.text import blank_to_null, by_value
 from tillroll.operators.lookups import unique_lookup
 from tillroll.operators.ordered import exact_quantiles, hour_bucket, position
@@ -108,7 +108,9 @@ def _payment_side(payments: DataFrame, *keys: Column) -> DataFrame:
     )
 
 
-def _charge_side(charges: DataFrame, record_type: Column, reference: str, *keys: Column) -> DataFrame:
+def _charge_side(
+    charges: DataFrame, record_type: Column, reference: str, *keys: Column
+) -> DataFrame:
     return charges.select(
         *keys,
         F.col("charge_id").alias("_id"),
