@@ -112,8 +112,8 @@ class _Counts:
         return n
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, number of sequences): patterns that use every counted piece."""
+def _exact(counts: dict[int, int], capacity: int, parts: int) -> list[tuple[tuple[int, ...], int]]:
+    """Exact complements of up to `parts` lengths, then best fit."""
     left = _Counts(counts, capacity)
     patterns: list[tuple[tuple[int, ...], int]] = []
     if left.free[capacity]:
@@ -122,7 +122,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
         gap = capacity - longest
         while left.free[longest]:
             left.free[longest] -= 1  # the one whose gap is filled
-            rest = left.single(gap) or left.pair(gap, longest) or left.triple(gap, longest)
+            rest = left.single(gap)
+            if rest is None and parts > 1:
+                rest = left.pair(gap, longest)
+            if rest is None and parts > 2:
+                rest = left.triple(gap, longest)
             left.free[longest] += 1
             if rest is None:
                 break
@@ -130,6 +134,16 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     return patterns + _best_fit({int(x): int(left.free[x]) for x in np.flatnonzero(left.free)}, capacity)
 
 
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, number of sequences): patterns that use every counted piece.
+
+    Filling gaps with three pieces can use up short ones that other gaps need, so plans with combinations
+    of up to three, two and one lengths are made and the one of fewest sequences is taken.
+    """
+    tried = [_exact(counts, capacity, parts) for parts in (3, 2, 1)]
+    return min(tried, key=lambda patterns: sum(n for _, n in patterns))
+
+
 def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Longest first, each into the fullest sequence that still takes it; equal cases move together."""
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)  # by gap
