@@ -6,13 +6,15 @@ import functools
 import json
 import os
 import re
-
-import numpy as np
+from array import array
 
 END_ID = 2
-_CACHED = 500_000
+_CACHED = 1_000_000  # words, about 250 bytes each
 _INNER_SPACE = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?:\s|$)")
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
+_KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE shows as they are
+_SHOWN = dict(zip([b for b in range(256) if b not in _KEPT], range(256, 512)))
 
 
 def default_tokenizer() -> str:
@@ -25,8 +27,9 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit integers.
 
     A byte-level BPE with the usual expression never joins a space that stands before a visible character
-    to what precedes it, so a text's ids are those of its parts, cut before each such space. Parts recur:
-    each is encoded once and kept, up to a fixed number of them. Other tokenizers get whole texts.
+    to what precedes it, so a text's ids are those of its words, cut there. Words recur: each is encoded
+    once and kept, up to a fixed number of them. Letters and the punctuation behind them are two pieces,
+    which the model encodes without another look at the expression. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
@@ -47,36 +50,55 @@ class Encoder:
             and not model.get("continuing_subword_prefix")
             and not model.get("end_of_word_suffix")
         )
-        self.known: dict[str, bytes] = {}  # by what follows the space
-        self.marks = dict(zip(".,", self._whole([".", ","])))
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {}  # by what follows a space
+        self.stems: dict[str, bytes] = {}  # letters, with a space before them
+        self.marks: dict[str, bytes] = {}  # punctuation, without
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of what the expression takes as one piece, straight from the model."""
+        shown = piece.encode("utf-8").decode("latin-1").translate(_SHOWN)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.known) + 2 * len(words) > _CACHED:
-            self.known.clear()
-        cut = {w: w[:-1] for w in words if len(w) > 1 and w[-1] in ".," and "A" <= w[-2] <= "ɏ" and w[-2].isalpha()}
-        new = [w for w in {cut.get(w, w) for w in words} if w not in self.known]
-        self.known.update(zip(new, self._whole([f" {w}" for w in new])))
-        for word, stem in cut.items():
-            self.known[word] = self.known[stem] + self.marks[word[-1]]
+        if len(self.words) + len(words) > _CACHED:
+            self.words.clear()
+            self.stems.clear()
+        others = []
+        for word in words:
+            plain = _PLAIN.fullmatch(word)
+            if plain is None:
+                others.append(word)
+                continue
+            stem, mark = plain.groups()
+            ids = self.stems.get(stem)
+            if ids is None:
+                ids = self.stems[stem] = self._piece(f" {stem}")
+            if mark:
+                if mark not in self.marks:
+                    if len(self.marks) > 10_000:
+                        self.marks.clear()
+                    self.marks[mark] = self._piece(mark)
+                ids += self.marks[mark]
+            self.words[word] = ids
+        self.words.update(zip(others, self._whole([f" {w}" for w in others])))
 
     def encode(self, text: str) -> bytes:
         if not self.by_parts:
             return self._whole([text])[0]
         first, *rest = _INNER_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
         head = self._whole([first])[0] if first else b""
+        words = self.words
+        self._learn({w for w in rest if w not in words})
         try:
-            return head + b"".join(map(self.known.__getitem__, rest))
-        except KeyError:
-            self._learn(set(rest) - self.known.keys())
-        try:
-            return head + b"".join(map(self.known.__getitem__, rest))
+            return head + b"".join(map(words.__getitem__, rest))
         except KeyError:  # the store was emptied to make room
-            self._learn(set(rest) - self.known.keys())
-        return head + b"".join(map(self.known.__getitem__, rest))
+            self._learn({w for w in rest if w not in words})
+        return head + b"".join(map(words.__getitem__, rest))
 
 
 @functools.cache
