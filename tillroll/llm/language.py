@@ -33,7 +33,7 @@ class LanguageSettings:
     beta: float = 1.0
     l1: float = 0.002
     l2: float = 0.002
-    min_score: float = 0.5
+    min_score: float = 0.3
 
 
 @dataclass(frozen=True)
