@@ -14,6 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FEATURES = 2**15
 LARGEST = 3  # n-grams of one to three characters
@@ -196,9 +197,10 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str]) ->
     table gives no rows.
     """
     rows = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    schema = T.StructType(docs.select(*keep).schema.fields)
+    schema = schema.add("lang_pred", T.StringType()).add("score", T.DoubleType())
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_predictions(broadcast), f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(_predictions(broadcast), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -214,7 +216,6 @@ def identified(docs: DataFrame, settings: LanguageSettings = LanguageSettings())
     in no language that the model is sure of go.
     """
     model = fit_language_model(docs.where(~held_out()), settings)
-    columns = docs.columns
-    found = predict_language(docs.withColumn("__own", F.col("text")), model, [*[c for c in columns if c != "text"], "__own"])
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= settings.min_score))
-    return kept.withColumnRenamed("__own", "text").select(*columns)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "text")  # whole, as names may clash
+    found = predict_language(rows, model, ["__row"])
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= settings.min_score)).select("__row.*")

@@ -349,7 +349,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, threshold: int = THR
     lowest = held.groupBy("root").agg(F.min("least_id").alias("component_id"))
     joined = held.join(lowest, "root").select("set_id", "component_id")
     others = ties.groupBy("set_id").agg(F.sum("links").alias("links"))
-    found = (
+    per_class = (
         classes.join(joined, "set_id", "left")
         .join(others, "set_id", "left")
         .select(
@@ -358,6 +358,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, threshold: int = THR
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         )
     )
+    found = stored(per_class, "classes")  # a plain table, so that a class with very many copies can be split
     return sets.select("doc_id", "n_shingles", "set_id").join(found, "set_id", "left").select(
         "doc_id",
         "n_shingles",

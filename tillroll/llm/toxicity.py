@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FEATURES = 2**20
 STEMS = (4, 5, 6)  # beginnings of words: insults come with many endings
@@ -193,8 +194,8 @@ def predict_toxicity(docs: DataFrame, chain: list[Linear], categories: list[str]
     Equal rows get equal results; an empty table gives no rows.
     """
     rows = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    schema = T.StructType(docs.select(*keep).schema.fields).add("__p", T.ArrayType(T.DoubleType()))
     broadcast = docs.sparkSession.sparkContext.broadcast(chain)
-    scored = rows.mapInArrow(_scored(broadcast), f"{schema}, __p array<double>")
+    scored = rows.mapInArrow(_scored(broadcast), schema)
     found = [x for i, c in enumerate(categories) for x in (F.col("__p")[i].alias(f"p_{c}"), (F.col("__p")[i] >= threshold).alias(c))]
     return scored.select(*keep, *found)
