@@ -86,3 +86,16 @@ def test_the_last_audit_event_counts(spark):
     log = spark.createDataFrame(events, ddl({**LOAD_AUDIT, "event_seq": "bigint"}))
     now = {r.file_tx_id: (r.status, r.record_count_staging) for r in current_audit(log).collect()}
     assert now == {"a": ("LOADED_FACT", 5), "b": ("LOAD_ERROR", None)}
+
+
+def test_a_failed_file_replaces_nothing(spark):
+    from tillroll.operators.files import all_superseded
+
+    rows = [
+        ("a", "Amazon_GO", "x_go_sales_2024-01-05.csv", "LOADED_FACT"),
+        ("b", "Amazon_GO", "x_go_sales_2024-01-09.csv", "LOAD_ERROR"),
+        ("c", "Amazon_GO", "x_go_sales_2024-02-05.csv", "LOADED_FACT"),
+        ("d", "Amazon_GO", "x_go_sales_2024-02-09.csv", "LOADED_FACT"),
+    ]
+    df = spark.createDataFrame(rows, "file_tx_id string, data_source string, data_file string, status string")
+    assert [r.file_tx_id for r in all_superseded(df).collect()] == ["c"]

@@ -32,7 +32,9 @@ def test_trend_counts_a_missing_month_as_zero(spark):
         r.month.month: (r.current_month, r.prior_month, r.kpi_value, r.trend_value)
         for r in subscription_trend(df).collect()
     }
-    assert got == {1: (2, 0, None, 2), 2: (1, 2, -50.0, -1), 4: (3, 0, None, 3)}
+    assert got == {
+        1: (2, 0, None, 2), 2: (1, 2, -50.0, -1), 3: (0, 1, -100.0, -1), 4: (3, 0, None, 3)
+    }
 
 
 def test_active_subscribers_count_the_last_state_by_the_realms_id(spark):
@@ -223,3 +225,18 @@ def test_erp_extract_is_written_as_text(spark, tmp_path):
     write_csv_extract(lifecycle.erp_extract(df), path)
     (row,) = spark.read.option("header", True).csv(path).collect()
     assert tuple(row) == ("01-01-1970", "SUBS-BASIC", "USD", "2", "10.00")
+
+
+def test_every_trial_counts(spark):
+    from tillroll.operators.lifecycle import trial_conversions
+
+    day = 86400
+    events = [
+        (1, 1, "TRIAL", 0), (2, 1, "TRIAL", 100 * day), (3, 1, "RENEWAL", 110 * day),
+        (4, 2, "TRIAL", 0), (5, 2, "CANCEL", 5 * day), (6, 2, "TRIAL", 50 * day),
+    ]
+    df = spark.createDataFrame(events, "event_id long, subscription_id long, kind string, event_epoch long")
+    got = {str(r.signup_date): tuple(r)[1:] for r in trial_conversions(df).collect()}
+    assert got == {
+        "1970-01-01": (2, 0, 1, 1), "1970-02-20": (1, 0, 0, 1), "1970-04-11": (1, 1, 0, 0)
+    }

@@ -56,6 +56,7 @@ def month_to_date_files(audit: DataFrame) -> DataFrame:
     sales = F.col("data_source").ilike("Amazon_%") & F.lower(name).like("%sales%")
     return audit.where(sales).select(
         "file_tx_id",
+        "status",
         month_key.alias("realm_month_key"),
         F.struct(F.length(dashed(3)).alias("width"), dashed(3).alias("day")).alias("place"),
     )
@@ -91,10 +92,12 @@ def superseding_files(audit: DataFrame, incoming_id: str) -> DataFrame:
 def all_superseded(audit: DataFrame) -> DataFrame:
     """Every file that some file of the same realm, type and month replaces.
 
+    Only a file that reached the fact replaces others; one that failed or is still loading does not.
     The last place of each month is one aggregate, so no pairs of files are formed.
     """
     files = month_to_date_files(audit)
-    last = files.groupBy("realm_month_key").agg(F.max("place").alias("last_place"))
+    reached = files.where(F.col("status").isin(LOADED_FACT, SUPERSEDED))
+    last = reached.groupBy("realm_month_key").agg(F.max("place").alias("last_place"))
     return (
         files.join(last, "realm_month_key")
         .where(F.col("place") < F.col("last_place"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.clock import from_epoch, in_zone
 from tillroll.functions.money import TOTAL
 from tillroll.functions.text import by_value
-from tillroll.operators.ordered import latest, position, previous
+from tillroll.operators.ordered import latest, position, previous, running_total
 
 ATTEMPTS = 10
 
@@ -103,14 +103,20 @@ def renewals_summary(events: DataFrame, zone: str | None = None) -> DataFrame:
 
 
 def trial_conversions(events: DataFrame, zone: str | None = None) -> DataFrame:
-    """Trials by the day they began: converted if a paid event follows, cancelled if a cancellation
-    follows and no paid one, else still open.
+    """Trials by the day they began: converted if a paid event follows before the subscription's next
+    trial, cancelled if a cancellation does and no paid one, else still open.
 
-    A subscription's events shrink to a few moments before anything is compared, so no join and no
-    window is needed.
+    Events are numbered by the trials up to them, in order of time and id, and each trial's events
+    shrink to a few moments; the count runs over cells of 30 days, so a hot subscription is spread.
     """
     at, kind = F.col("event_epoch"), F.col("kind")
-    moments = events.groupBy("subscription_id").agg(
+    trial = F.when(kind == "TRIAL", 1).otherwise(0).cast("bigint")
+    cells = F.floor(at / (30 * 86400))
+    numbered = running_total(
+        events.where(kind.isin("TRIAL", "ACQUIRE", "RENEWAL", "CANCEL")),
+        ["subscription_id"], ["event_epoch", "event_id"], trial, cells, "_trial",
+    )
+    moments = numbered.groupBy("subscription_id", "_trial").agg(
         F.min(F.when(kind == "TRIAL", at)).alias("event_epoch"),
         F.max(F.when(kind.isin("ACQUIRE", "RENEWAL"), at)).alias("_paid"),
         F.max(F.when(kind == "CANCEL", at)).alias("_cancelled"),

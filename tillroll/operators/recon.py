@@ -363,19 +363,20 @@ def settlement(payments: DataFrame, charges: DataFrame, rates: DataFrame) -> Dat
 
 def settlement_delay(payments: DataFrame) -> DataFrame:
     """Distribution of the seconds from authorisation to settlement or refund, per account and
-    later record type. A reference's first Authorised row starts the clock.
+    later record type. A reference's first Authorised row starts the clock; rows whose reference is
+    missing or blank have no clock and are left out.
 
     Equal delays are counted before they are ranked, so a day's cell holds 86,400 rows at most."""
     started = (
         payments.where(
-            (F.col("record_type") == "Authorised") & F.col("psp_reference").isNotNull()
+            (F.col("record_type") == "Authorised") & _reference("psp_reference").isNotNull()
         )
         .groupBy("psp_reference")
         .agg(F.min("utc_timestamp").alias("_start"))
     )
     ended = payments.where(
         F.col("record_type").isin("Settled", "Refunded")
-        & F.col("psp_reference").isNotNull()
+        & _reference("psp_reference").isNotNull()
         & F.col("merchant_account").isNotNull()
     ).select("psp_reference", "merchant_account", "record_type", "utc_timestamp")
     delay = F.timestamp_diff("SECOND", F.col("_start"), F.col("utc_timestamp"))

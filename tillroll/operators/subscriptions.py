@@ -20,7 +20,8 @@ def subscription_trend(subscriptions: DataFrame, realm: str = "%") -> DataFrame:
     """Starts and terminations per month, provider and realm, against the month before.
 
     Each kind is counted first and the two counts are united, so the month step runs on one row
-    per month and group. A month without rows counts as zero; change from zero has no percentage.
+    per month and group. From a group's first to its last month every month has
+    a row, one without events counts as zero; change from zero has no percentage.
     """
     rows = subscriptions.where(realm_filter(F.col("realm"), realm))
     kinds = {"START": "start_timestamp", "TERMINATION": "termination_timestamp"}
@@ -33,6 +34,12 @@ def subscription_trend(subscriptions: DataFrame, realm: str = "%") -> DataFrame:
             .withColumn("kind", F.lit(kind))
         )
         counted = one if counted is None else counted.unionByName(one)
+    group = ["kind", "payment_provider", "realm"]
+    spans = counted.groupBy(*group).agg(F.min("month").alias("_first"), F.max("month").alias("_last"))
+    step = F.expr("interval 1 month")
+    months = spans.select(*group, F.explode(F.sequence("_first", "_last", step)).alias("month"))
+    zeros = months.withColumn("current_month", F.lit(0).cast("bigint"))
+    counted = counted.unionByName(zeros).groupBy(*group, "month").agg(F.sum("current_month").alias("current_month"))
     by_month = Window.partitionBy("kind", "payment_provider", "realm").orderBy("month")
     follows = F.lag("month").over(by_month) == F.add_months("month", -1)
     prior = F.when(follows, F.lag("current_month").over(by_month)).otherwise(F.lit(0))
@@ -164,9 +171,10 @@ def affiliate_settled(payments: DataFrame, subscriptions: DataFrame) -> DataFram
         )
         .agg(F.count("*").alias("_payments"), F.sum("amount").alias("_amount"))
     )
-    origin = subscriptions.where(F.col("affiliate").isNotNull()).select(
+    brought = subscriptions.where(F.col("affiliate").isNotNull()).select(
         "subscription_id", "affiliate"
     )
+    origin = unique_lookup(brought, ["subscription_id"], "affiliate subscriptions")
     return (
         settled.join(origin, "subscription_id")
         .groupBy("affiliate", "settled_month", "currency")

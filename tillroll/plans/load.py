@@ -8,7 +8,7 @@ running it again. Readers that must not see a replaced file between two steps us
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -48,7 +48,7 @@ class FileLoad:
     region: str
     path: str
     file_tx_id: str
-    load_tx_id: str = field(default_factory=lambda: str(uuid.uuid4()))
+    load_tx_id: str = ""  # a new one per load if empty
     data_source: str = ""
     as_of: date = field(default_factory=lambda: datetime.now(timezone.utc).date())
     monitor_id: str | None = None
@@ -76,9 +76,12 @@ def _record(tables: RevenueTables, load: FileLoad, status: str, staged: int | No
 
 
 def load_file(tables: RevenueTables, load: FileLoad) -> LoadResult:
-    """Load a file. A file already in the fact is skipped and its audit left as it is."""
+    """Load a file. A file already in the fact is skipped and its audit left as it is; its monitor is
+    refreshed again, which overwrites the monitor's own partition."""
+    load = replace(load, load_tx_id=load.load_tx_id or uuid.uuid4().hex)
     known = tables.audit().where(F.col("file_tx_id") == load.file_tx_id)
     if known.where(F.col("status") == LOADED_FACT).count() > 0:
+        _refresh(tables, load)  # a load may have ended after the fact and before its monitor
         return LoadResult(SKIPPED)
     _record(tables, load, IN_PROGRESS, None)
     staged = None
@@ -92,9 +95,13 @@ def load_file(tables: RevenueTables, load: FileLoad) -> LoadResult:
     except Exception:
         _record(tables, load, LOAD_ERROR, staged)
         raise
+    _refresh(tables, load)
+    return LoadResult(status, staged, superseded)
+
+
+def _refresh(tables: RevenueTables, load: FileLoad) -> None:
     if load.monitor_id is not None:
         refresh_monitor(tables, load.monitor_id, load.provider, load.as_of)
-    return LoadResult(status, staged, superseded)
 
 
 def _stage(tables: RevenueTables, load: FileLoad) -> int:

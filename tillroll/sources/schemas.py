@@ -3,47 +3,135 @@
 from __future__ import annotations
 
 # Raw columns of each provider file with their widths, in file order.
-RAW = {
-    "apple": (
-        "provider:255 provider_country:80 sku:80 developer:255 title:255 version:80 "
-        "product_type_identifier:80 units:80 developer_proceeds:80 begin_date:80 end_date:80 "
-        "customer_currency:80 country_code:80 currency_of_proceeds:80 apple_identifier:80 "
-        "customer_price:80 promo_code:80 parent_identifier:255 subscription:80 period:80 "
-        "category:255 cmb:255 device:80 supported_platforms:255 proceeds_reason:255 "
-        "preserved_pricing:255 client:255 order_type:255"
-    ),
-    "amazon": (
-        "marketplace:40 country_region_code:40 invoice_id:100 transaction_id:40 "
-        "transaction_time:80 transaction_type:40 adjustment:20 asin:40 vendor_sku:255 title:255 "
-        "item_name:255 item_type:255 in_app_subscription_term:40 in_app_subscription_status:40 "
-        "units:80 usage_time_for_underground_apps_seconds:80 marketplace_currency:40 "
-        "sales_price_marketplace_currency:80 estimated_earnings_marketplace_currency:80 "
-        "digital_order_id:80 app_user_id:80 receipt_id:80 sales_channel:80 device_type:80 "
-        "device_os:80"
-    ),
-    "google": (
-        "order_number:100 order_charged_date:80 order_charged_timestamp:80 financial_status:80 "
-        "device_model:255 product_title:255 product_id:255 product_type:80 sku_id:255 "
-        "hardware:80 buyer_country:80 buyer_state:80 buyer_postal_code:80 buyer_currency:20 "
-        "amount_buyer_currency:80 currency_of_sale:20 amount_merchant_currency:80"
-    ),
-    "roku": (
-        "transaction_id:80 channel_id:80 channel_name:255 product_id:255 product_name:255 "
-        "product_type:80 transaction_type:80 transaction_date:80 amount:80 currency:20 "
-        "country_code:20 user_id:80"
-    ),
-    "direct_billing": (
-        "transaction_id:80 user_id:80 transaction_status:80 transaction_type:80 product_name:80 "
-        "product_description:80 payment_period:80 amount:80 currency:80 vat:80 "
-        "subscription_id:80 refunded_transaction_id:80 created_timestamp:80 "
-        "updated_timestamp:80 charged_timestamp:80 payment_country:80 card_provider:80 "
-        "vendor_reference_id:80 price_plan_id:80 vat_amount:80 sales_tax_amount:80 "
-        "invoice_id:80 merchant_reference_id:80 payment_provider:80 payment_type:80 "
-        "geo_location_country_iso:80 geo_location_subdivision_iso:80 refunder_user_id:80 "
-        "refund_reason:3000 invoice_generated_timestamp:80 realm:80 global_subscription_id:80 "
-        "installment_details_number_of_installments:40 items_item_id:80 e_invoice_id:80 "
-        "pay_per_view_access_id:80"
-    ),
+RAW: dict[str, dict[str, int]] = {
+    "apple": {
+        "provider": 255,
+        "provider_country": 80,
+        "sku": 80,
+        "developer": 255,
+        "title": 255,
+        "version": 80,
+        "product_type_identifier": 80,
+        "units": 80,
+        "developer_proceeds": 80,
+        "begin_date": 80,
+        "end_date": 80,
+        "customer_currency": 80,
+        "country_code": 80,
+        "currency_of_proceeds": 80,
+        "apple_identifier": 80,
+        "customer_price": 80,
+        "promo_code": 80,
+        "parent_identifier": 255,
+        "subscription": 80,
+        "period": 80,
+        "category": 255,
+        "cmb": 255,
+        "device": 80,
+        "supported_platforms": 255,
+        "proceeds_reason": 255,
+        "preserved_pricing": 255,
+        "client": 255,
+        "order_type": 255,
+    },
+    "amazon": {
+        "marketplace": 40,
+        "country_region_code": 40,
+        "invoice_id": 100,
+        "transaction_id": 40,
+        "transaction_time": 80,
+        "transaction_type": 40,
+        "adjustment": 20,
+        "asin": 40,
+        "vendor_sku": 255,
+        "title": 255,
+        "item_name": 255,
+        "item_type": 255,
+        "in_app_subscription_term": 40,
+        "in_app_subscription_status": 40,
+        "units": 80,
+        "usage_time_for_underground_apps_seconds": 80,
+        "marketplace_currency": 40,
+        "sales_price_marketplace_currency": 80,
+        "estimated_earnings_marketplace_currency": 80,
+        "digital_order_id": 80,
+        "app_user_id": 80,
+        "receipt_id": 80,
+        "sales_channel": 80,
+        "device_type": 80,
+        "device_os": 80,
+    },
+    "google": {
+        "order_number": 100,
+        "order_charged_date": 80,
+        "order_charged_timestamp": 80,
+        "financial_status": 80,
+        "device_model": 255,
+        "product_title": 255,
+        "product_id": 255,
+        "product_type": 80,
+        "sku_id": 255,
+        "hardware": 80,
+        "buyer_country": 80,
+        "buyer_state": 80,
+        "buyer_postal_code": 80,
+        "buyer_currency": 20,
+        "amount_buyer_currency": 80,
+        "currency_of_sale": 20,
+        "amount_merchant_currency": 80,
+    },
+    "roku": {
+        "transaction_id": 80,
+        "channel_id": 80,
+        "channel_name": 255,
+        "product_id": 255,
+        "product_name": 255,
+        "product_type": 80,
+        "transaction_type": 80,
+        "transaction_date": 80,
+        "amount": 80,
+        "currency": 20,
+        "country_code": 20,
+        "user_id": 80,
+    },
+    "direct_billing": {
+        "transaction_id": 80,
+        "user_id": 80,
+        "transaction_status": 80,
+        "transaction_type": 80,
+        "product_name": 80,
+        "product_description": 80,
+        "payment_period": 80,
+        "amount": 80,
+        "currency": 80,
+        "vat": 80,
+        "subscription_id": 80,
+        "refunded_transaction_id": 80,
+        "created_timestamp": 80,
+        "updated_timestamp": 80,
+        "charged_timestamp": 80,
+        "payment_country": 80,
+        "card_provider": 80,
+        "vendor_reference_id": 80,
+        "price_plan_id": 80,
+        "vat_amount": 80,
+        "sales_tax_amount": 80,
+        "invoice_id": 80,
+        "merchant_reference_id": 80,
+        "payment_provider": 80,
+        "payment_type": 80,
+        "geo_location_country_iso": 80,
+        "geo_location_subdivision_iso": 80,
+        "refunder_user_id": 80,
+        "refund_reason": 3000,
+        "invoice_generated_timestamp": 80,
+        "realm": 80,
+        "global_subscription_id": 80,
+        "installment_details_number_of_installments": 40,
+        "items_item_id": 80,
+        "e_invoice_id": 80,
+        "pay_per_view_access_id": 80,
+    },
 }
 LINEAGE = ("load_tx_id", "file_tx_id")
 PROVIDERS = tuple(RAW)
@@ -204,8 +292,7 @@ MASTER = {
 
 def raw_widths(provider: str) -> dict[str, int]:
     """Column widths of a provider's file, in file order."""
-    pairs = (entry.split(":") for entry in RAW[provider].split())
-    return {name: int(width) for name, width in pairs}
+    return dict(RAW[provider])
 
 
 def raw_schema(provider: str) -> dict[str, str]:

@@ -394,11 +394,14 @@ from {{orders}}
 # Authorised when the customer's order is made, settled or refunded when lines ship.
 VIEWS["delay_payments"] = f"""
 select 'acct' as merchant_account, 'Authorised' as record_type,
-  cast(o_orderkey as string) as psp_reference, {ORDER_AT} as utc_timestamp
+  case when o_orderkey % 50 = 1 then '' else cast(o_orderkey as string) end as psp_reference,
+  {ORDER_AT} as utc_timestamp
 from {{orders}}
 union all
 select concat('acct', cast(l_suppkey % 4 as string)), case when l_returnflag = 'R' then 'Refunded'
-    else 'Settled' end, cast(l_orderkey as string), {AT}
+    else 'Settled' end,
+  case when l_orderkey % 50 = 2 then ' ' when l_orderkey % 50 = 1 then ''
+    else cast(l_orderkey as string) end, {AT}
 from {{lineitem}}
 """
 

@@ -242,14 +242,14 @@ ORACLE["audit_staged_counts"] = with_views(
       where t.file_tx_id = a.file_tx_id) as record_count_staging) from load_audit a""",
 )
 MTD = """, mtd as (
-  select file_tx_id, split_part(data_file, '_', 2) || split_part(data_file, '_', 3)
+  select file_tx_id, status, split_part(data_file, '_', 2) || split_part(data_file, '_', 3)
       || split_part(d, '-', 1) || split_part(d, '-', 2) as realm_month_key,
     split_part(d, '-', 3) as day_of_month
   from (select *, split_part(split_part(data_file, '_', 4), '.', 1) as d from load_audit)
   where data_source ilike 'Amazon_%' and lower(data_file) like '%sales%'
 ), gone as (
   select distinct o.file_tx_id, o.realm_month_key, o.day_of_month from mtd o join mtd i
-    on o.realm_month_key = i.realm_month_key
+    on o.realm_month_key = i.realm_month_key and i.status in ('LOADED_FACT', 'SUPERSEDED')
   where (length(o.day_of_month) = length(i.day_of_month) and o.day_of_month < i.day_of_month)
     or length(o.day_of_month) < length(i.day_of_month)
 )"""
@@ -716,7 +716,7 @@ ORACLE["settlement_recon"] = with_views(
 ORACLE["delay_percentiles"] = with_views(
     ["delay_payments"],
     """, started as (select psp_reference, min(utc_timestamp) as t from delay_payments
-      where record_type = 'Authorised' group by 1),
+      where record_type = 'Authorised' and trim(psp_reference) <> '' group by 1),
     delays as (select merchant_account, record_type,
         cast(date_diff('second', s.t, utc_timestamp) as double) as delay
       from delay_payments d join started s using (psp_reference)
@@ -734,16 +734,23 @@ ORACLE["delay_percentiles"] = with_views(
 def trend(test: str) -> str:
     return with_views(
         ["subscriptions"],
-        f""", counted as (
+        f""", counts as (
           select 'START' as kind, payment_provider, realm,
             cast(date_trunc('month', start_timestamp) as date) as month, count(*) as n
           from subscriptions where {test} group by 1, 2, 3, 4
           union select 'TERMINATION', payment_provider, realm,
             cast(date_trunc('month', termination_timestamp) as date), count(*)
-          from subscriptions where {test} and termination_timestamp is not null group by 1, 2, 3, 4)
+          from subscriptions where {test} and termination_timestamp is not null group by 1, 2, 3, 4),
+        spans as (select kind, payment_provider, realm, min(month) as first, max(month) as last
+          from counts group by 1, 2, 3),
+        months as (select kind, payment_provider, realm,
+          cast(unnest(generate_series(first, last, interval '1 month')) as date) as month from spans),
+        counted as (select m.*, coalesce(c.n, 0) as n from months m left join counts c
+          on c.kind = m.kind and c.payment_provider is not distinct from m.payment_provider
+          and c.realm is not distinct from m.realm and c.month = m.month)
         select a.kind, a.payment_provider, a.realm, a.month, a.n as current_month,
           coalesce(b.n, 0) as prior_month,
-          round(cast((a.n - b.n) * 100 as double) / b.n, 2) as kpi_value,
+          round(cast((a.n - b.n) * 100 as double) / nullif(b.n, 0), 2) as kpi_value,
           a.n - coalesce(b.n, 0) as trend_value
         from counted a left join counted b on b.kind = a.kind and b.realm = a.realm
           and b.payment_provider = a.payment_provider
@@ -900,11 +907,15 @@ LIFECYCLE = {
     "sox_trials": (
         """select subscription_id, event_epoch,
           exists (select 1 from lifecycle b where b.subscription_id = t.subscription_id
-            and b.kind in ('ACQUIRE', 'RENEWAL') and b.event_epoch > t.event_epoch) as paid,
+            and b.kind in ('ACQUIRE', 'RENEWAL') and b.event_epoch > t.event_epoch
+            and (t.then_at is null or (b.event_epoch, b.event_id) < (t.then_at, t.then_id))) as paid,
           exists (select 1 from lifecycle b where b.subscription_id = t.subscription_id
-            and b.kind = 'CANCEL' and b.event_epoch > t.event_epoch) as left_again
-        from (select subscription_id, min(event_epoch) as event_epoch from lifecycle
-          where kind = 'TRIAL' group by 1) t""",
+            and b.kind = 'CANCEL' and b.event_epoch > t.event_epoch
+            and (t.then_at is null or (b.event_epoch, b.event_id) < (t.then_at, t.then_id)))
+            as left_again
+        from (select *, lead(event_epoch) over next_one as then_at, lead(event_id) over next_one as then_id
+          from lifecycle where kind = 'TRIAL'
+          window next_one as (partition by subscription_id order by event_epoch, event_id)) t""",
         f"""select event_date as signup_date, count(*) as signups, {n('paid')} as conversions,
           {n('not paid and left_again')} as cancellations,
           {n('not paid and not left_again')} as open_trials from dated group by 1""",
