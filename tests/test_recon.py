@@ -15,6 +15,7 @@ from tillroll.operators.recon import (
     recon_levels,
     settlement,
     vendor_reference_lists,
+    within_dates,
 )
 
 PAYMENT = (
@@ -86,7 +87,7 @@ def test_a_missing_reference_matches_nothing(spark, reference):
     rows = run(spark, match_google, [pay(1, reference)], [charge(1, reference)])
     assert states(rows)["MATCHED"] == 0
     rows = run(spark, match_amazon, [pay(1, reference)], [charge(1, reference)])
-    assert states(rows) == {"PAYMENT_ONLY": 1}
+    assert states(rows) == {"PAYMENT_ONLY": 1, "CHARGE_ONLY": 1}
 
 
 def test_paypal_codes_and_the_account_kept_apart(spark):
@@ -118,12 +119,30 @@ def test_google_leaves_out_golf(spark):
 )
 def test_amazon_day_window(spark, hours, state):
     rows = run(spark, match_amazon, [pay(1, at=START + timedelta(hours=hours))], [charge(1)])
-    assert [r.state for r in rows] == [state]
+    unanswered = [] if state == "MATCHED" else ["CHARGE_ONLY"]
+    assert sorted(r.state for r in rows) == sorted([state, *unanswered])
 
 
 def test_amazon_needs_the_subscription(spark):
     rows = run(spark, match_amazon, [pay(1, sub=2), pay(2, sub=None)], [charge(1), charge(2)])
-    assert states(rows) == {"PAYMENT_ONLY": 2}
+    assert states(rows) == {"PAYMENT_ONLY": 2, "CHARGE_ONLY": 2}
+
+
+def test_amazon_lists_charges_that_no_payment_answers(spark):
+    charges = [charge(1), charge(2, "other"), charge(3, sub=None), charge(4, " ")]
+    rows = run(spark, match_amazon, [pay(1), pay(2)], charges)
+    assert states(rows) == {"MATCHED": 2, "CHARGE_ONLY": 3}
+    assert {r.charge_id for r in rows if r.state == "CHARGE_ONLY"} == {2, 3, 4}
+
+
+def test_a_date_range_keeps_pairs_over_its_edge(spark):
+    payments = [pay(1, at=START), pay(2, "b", at=START + timedelta(days=5))]
+    detail = match_adyen(
+        spark.createDataFrame(payments, PAYMENT),
+        spark.createDataFrame([charge(1, at=START + timedelta(days=1))], CHARGE),
+    )
+    rows = within_dates(detail, START.date(), START.date()).collect()
+    assert [(r.payment_id, r.charge_id) for r in rows] == [(1, 1)]
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])

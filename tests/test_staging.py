@@ -65,6 +65,15 @@ def test_typed_tables_have_their_schema(spark):
     assert "file_tx_region" not in typed_schema("direct_billing")
 
 
+def test_a_missing_raw_column_raises(spark):
+    for provider in PROVIDERS:
+        for column in raw_schema(provider):
+            if column not in ("currency", "amount", "begin_date", "end_date", "transaction_time"):
+                break
+        with pytest.raises(ValueError, match=column):
+            TYPERS[provider](raw(spark, provider).drop(column), "AMER")
+
+
 def test_fact_rows_have_the_fact_schema(spark):
     for provider in ("amazon", "google", "roku", "direct_billing"):
         rows = to_fact(provider, TYPERS[provider](raw(spark, provider), "AMER"))

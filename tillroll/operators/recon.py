@@ -3,7 +3,8 @@
 A match is one to one: the n-th payment of a match key pairs with its n-th charge, so two equal
 charges need two payments. Both sides are numbered within the key (cell by cell, see `ordered`) and
 joined on key and number, which no hot key can skew. A NULL or blank reference identifies nothing:
-its rows are unmatched at once and never shuffled into one group.
+its rows are unmatched and never shuffled into one group. Charges of other providers come out as
+CHARGE_ONLY, so pass the provider's own.
 
 Payments: payment_id, merchant_account, record_type, psp_reference, merchant_reference,
 invoice_number, event_code, product_id, subscription_id, amount, currency, utc_timestamp.
@@ -14,6 +15,7 @@ merchant_reference, invoice_id, product_id, subscription_id, amount, currency, c
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,29 +51,23 @@ def _reference(name: str) -> Column:
 def _one_to_one(payments: DataFrame, charges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pair rows by key and number. Both sides come with the key columns, `_id` and `_at`.
 
-    A row with a NULL key cannot pair; it joins the result beside the pairs.
+    A row with a NULL key gets a key of its own, so that it is numbered alone and pairs with nothing.
     """
+    by = [*keys, "_own"]
     sides = []
-    for df in (payments, charges):
-        complete = F.lit(True)
+    for name, df in (("payment", payments), ("charge", charges)):
+        whole = F.lit(True)
         for k in keys:
-            complete = complete & F.col(k).isNotNull()
-        numbered = position(
-            df.where(complete), keys, ["_at", "_id"], hour_bucket(F.col("_at")), "_nr"
+            whole = whole & F.col(k).isNotNull()
+        own = F.when(~whole, F.concat(F.lit(f"{name} "), F.col("_id").cast("string")))
+        keyed = df.withColumn("_own", F.coalesce(own, F.lit(""))).withColumns(
+            {k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys}
         )
-        rest = df.where(~complete)
-        sides.append((numbered, rest))
-    (left, left_rest), (right, right_rest) = sides
+        sides.append(position(keyed, by, ["_at", "_id"], hour_bucket(F.col("_at")), "_nr"))
+    left, right = sides
     left = left.withColumnsRenamed({"_id": "payment_id", "_at": "paid_at"})
     right = right.withColumnsRenamed({"_id": "charge_id", "_at": "charged_at"})
-    paired = left.join(right, [*keys, "_nr"], "full")
-    left_rest = left_rest.withColumnsRenamed({"_id": "payment_id", "_at": "paid_at"})
-    right_rest = right_rest.withColumnsRenamed({"_id": "charge_id", "_at": "charged_at"})
-    return (
-        paired.unionByName(left_rest, allowMissingColumns=True)
-        .unionByName(right_rest, allowMissingColumns=True)
-        .drop("_nr")
-    )
+    return left.join(right, [*by, "_nr"], "full").drop("_nr", "_own")
 
 
 def _detail(pairs: DataFrame) -> DataFrame:
@@ -204,51 +200,81 @@ def match_google(payments: DataFrame, charges: DataFrame) -> DataFrame:
     return _detail(_merged(pairs))
 
 
-def match_amazon(payments: DataFrame, charges: DataFrame, days: int = 1) -> DataFrame:
-    """A payment matches when its reference is among its subscription's vendor references within
-    `days` of the payment day.
+def _answered(rows: DataFrame, others: DataFrame, days: int) -> DataFrame:
+    """`rows` with `_found`, true where the other side has the same subscription and reference within
+    `days` of the row's recon_date.
 
-    The subscription's references are kept as distinct (subscription, reference, day) rows instead
-    of one long list, and each is offered to its neighbouring days, so the day window is a plain
-    equi-join whose cost does not grow with the length of a subscription's history.
+    The other side is kept as distinct (subscription, reference, day) rows, each offered to its
+    neighbouring days, so the day window is a plain equi-join whose cost does not grow with the length
+    of a subscription's history. Rows without a subscription or a reference are not found.
     """
+    keys = ["subscription_id", "psp_reference", "recon_date"]
+    whole = _reference("psp_reference").isNotNull() & F.col("subscription_id").isNotNull()
+    around = F.array(*[F.date_add("recon_date", n) for n in range(-days, days + 1)])
     offered = (
-        charges.where(_reference("vendor_reference_id").isNotNull())
-        .select(
-            "subscription_id",
-            F.col("vendor_reference_id").alias("psp_reference"),
-            F.col("charged_timestamp").cast("date").alias("_charged"),
-        )
+        others.where(whole)
+        .select(*keys)
         .distinct()
-        .withColumn(
-            "_day", F.explode(F.array(*[F.date_add("_charged", n) for n in range(-days, days + 1)]))
-        )
-        .select("subscription_id", "psp_reference", "_day")
+        .withColumn("recon_date", F.explode(around))
         .distinct()
         .withColumn("_found", F.lit(True))
     )
-    keys = ["subscription_id", "psp_reference", "_day"]
-    paid = payments.withColumn("_day", F.col("utc_timestamp").cast("date"))
-    whole = _reference("psp_reference").isNotNull() & F.col("subscription_id").isNotNull()
-    joined = (
-        paid.where(whole)
+    return (
+        rows.where(whole)
         .join(offered, keys, "left")
-        .unionByName(paid.where(~whole), allowMissingColumns=True)
+        .unionByName(rows.where(~whole), allowMissingColumns=True)
+    )
+
+
+def match_amazon(payments: DataFrame, charges: DataFrame, days: int = 1) -> DataFrame:
+    """A payment matches when its reference is among its subscription's vendor references within
+    `days` of the payment day. Charges that no payment answers in this way are listed too; those that
+    one answers are not, as their payment's row stands for them."""
+    shared = ("subscription_id", "merchant_account", "product_id")
+    paid = payments.select(
+        *shared,
+        F.col("utc_timestamp").cast("date").alias("recon_date"),
+        "payment_id",
+        "psp_reference",
+        "record_type",
+        F.col("amount").alias("payment_amount"),
+    )
+    charged = charges.select(
+        *shared,
+        F.col("charged_timestamp").cast("date").alias("recon_date"),
+        "charge_id",
+        F.col("vendor_reference_id").alias("psp_reference"),
+        F.col("transaction_type").alias("record_type"),
+        F.col("amount").alias("charge_amount"),
     )
     state = F.when(F.col("_found"), MATCHED).otherwise(PAYMENT_ONLY)
-    return joined.select(
-        F.col("_day").alias("recon_date"),
-        state.alias("state"),
+    of_payments = _answered(paid, charged, days).withColumn("state", state)
+    of_charges = (
+        _answered(charged, paid, days)
+        .where(F.col("_found").isNull())
+        .withColumn("state", F.lit(CHARGE_ONLY))
+    )
+    return of_payments.unionByName(of_charges, allowMissingColumns=True).select(
+        "recon_date",
+        "state",
         "payment_id",
+        "charge_id",
         "subscription_id",
         "psp_reference",
         "merchant_account",
         "record_type",
         "product_id",
-        F.col("amount").alias("payment_amount"),
+        "payment_amount",
+        "charge_amount",
     )
 
 
+def within_dates(detail: DataFrame, first: date, last: date) -> DataFrame:
+    """The part of a match that lies between two days, both included. Cutting after the match keeps
+    pairs whole whose sides lie on either side of an edge."""
+    return detail.where(F.col("recon_date").between(F.lit(first), F.lit(last)))
+
+
 def vendor_reference_lists(charges: DataFrame, size: int = 1000) -> DataFrame:
     """Each subscription's vendor references as text lists, in the order they were charged.
 

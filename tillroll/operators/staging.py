@@ -24,14 +24,18 @@ def clean_raw(df: DataFrame, provider: str) -> DataFrame:
 
 
 def _typed(raw: DataFrame, provider: str, special: dict[str, Column]) -> DataFrame:
-    """The typed table's columns: a special expression where given, else a plain cast."""
+    """The typed table's columns: a special expression where given, else a plain cast. A raw column
+    that is missing raises."""
+    wanted = typed_schema(provider)
+    missing = [name for name in wanted if name not in special and name not in raw.columns]
+    if missing:
+        raise ValueError(f"raw {provider} rows lack {', '.join(missing)}")
     return raw.select(
         *[
             special.get(name, F.col(name)).cast(kind).alias(name)
             if name in special or kind != "string"
             else F.col(name)
-            for name, kind in typed_schema(provider).items()
-            if name in special or name in raw.columns
+            for name, kind in wanted.items()
         ]
     )
 

@@ -65,7 +65,7 @@ select
   cast(l_extendedprice * (1 - l_discount) as decimal(20,6)) as net,
   {pick("l_orderkey", ["", "**", "GB", "DE", "us", "JP"])} as issuer_country,
   cast(l_orderkey as string) as receipt_id,
-  {AT} as utc_timestamp,
+  {AT} as utc_timestamp, cast(l_shipdate as date) as utc_date,
   concat('f_', {CHANNEL}, '_', {REGION}, '_', {SHIP_MONTH}) as file_tx_id
 from {{lineitem}}
 """
@@ -107,6 +107,38 @@ from {{lineitem}}
 
 TEXT_PRICE = f"cast({PRICE} as string)"
 
+# Raw columns that no rule looks at, filled with their own name and a number.
+PLAIN = {
+    "raw_apple": [
+        "provider", "provider_country", "developer", "version", "product_type_identifier",
+        "country_code", "currency_of_proceeds", "apple_identifier", "promo_code",
+        "parent_identifier", "period", "category", "cmb", "device", "supported_platforms",
+        "proceeds_reason", "preserved_pricing", "client", "order_type",
+    ],
+    "raw_amazon": [
+        "adjustment", "asin", "in_app_subscription_term", "in_app_subscription_status",
+        "digital_order_id", "app_user_id", "sales_channel",
+    ],
+    "raw_google": [
+        "device_model", "product_title", "hardware", "buyer_state", "buyer_postal_code",
+    ],
+    "raw_roku": ["channel_name"],
+    "raw_billing": [
+        "transaction_status", "product_name", "product_description", "payment_period",
+        "refunded_transaction_id", "card_provider", "price_plan_id", "merchant_reference_id",
+        "geo_location_country_iso", "geo_location_subdivision_iso", "refunder_user_id",
+        "refund_reason", "global_subscription_id", "items_item_id", "e_invoice_id",
+        "pay_per_view_access_id",
+    ],
+}
+
+
+def plain(view_name: str) -> str:
+    return ", ".join(
+        f"concat('{name} ', cast(l_linenumber as string)) as {name}" for name in PLAIN[view_name]
+    )
+
+
 VIEWS["raw_apple"] = f"""
 select {SKU} as sku, concat('app ', cast(l_suppkey as string)) as title,
   cast(cast(l_quantity as int) as string) as units,
@@ -121,7 +153,7 @@ select {SKU} as sku, concat('app ', cast(l_suppkey as string)) as title,
          cast(day(l_shipdate) as string), '/', cast(year(l_shipdate) as string)) end as end_date,
   {CURRENCY} as customer_currency, {TEXT_PRICE} as customer_price,
   case when l_returnflag = 'N' then 'New' else 'Renewal' end as subscription,
-  'run1' as load_tx_id,
+  {plain("raw_apple")}, 'run1' as load_tx_id,
   concat('f_Apple_', {SHIP_MONTH}) as file_tx_id
 from {{lineitem}}
 """
@@ -145,7 +177,7 @@ select {pick("l_suppkey", ["amazon.com", "amazon.de", "amazon.co.jp"])} as marke
   cast(cast(l_extendedprice * 0.7 as decimal(20,6)) as string)
     as estimated_earnings_marketplace_currency,
   case when l_linenumber = 7 then null else cast(l_orderkey as string) end as receipt_id,
-  'tv' as device_type, 'os' as device_os, 'run1' as load_tx_id,
+  'tv' as device_type, 'os' as device_os, {plain("raw_amazon")}, 'run1' as load_tx_id,
   concat('f_Amazon_', {SHIP_MONTH}) as file_tx_id
 from {{lineitem}}
 """
@@ -160,7 +192,7 @@ select concat('GPA.', cast(l_orderkey as string)) as order_number,
   {CURRENCY} as buyer_currency, {TEXT_PRICE} as amount_buyer_currency,
   'USD' as currency_of_sale,
   cast(cast(l_extendedprice * 0.85 as decimal(20,6)) as string) as amount_merchant_currency,
-  'run1' as load_tx_id, concat('f_Google_', {SHIP_MONTH}) as file_tx_id
+  {plain("raw_google")}, 'run1' as load_tx_id, concat('f_Google_', {SHIP_MONTH}) as file_tx_id
 from {{lineitem}}
 """
 
@@ -172,7 +204,7 @@ select concat('r', cast(l_orderkey as string)) as transaction_id,
        else 'Purchase' end as transaction_type,
   cast({AT} as string) as transaction_date, {TEXT_PRICE} as amount, {CURRENCY} as currency,
   {pick("l_orderkey", ["US", "GB"])} as country_code, cast(l_suppkey as string) as user_id,
-  'run1' as load_tx_id, concat('f_Roku_', {SHIP_MONTH}) as file_tx_id
+  {plain("raw_roku")}, 'run1' as load_tx_id, concat('f_Roku_', {SHIP_MONTH}) as file_tx_id
 from {{lineitem}}
 """
 
@@ -194,7 +226,7 @@ select concat('t', cast(l_orderkey as string), '-', cast(l_linenumber as string)
   concat('i', cast(l_orderkey as string)) as invoice_id, 'Adyen' as payment_provider,
   'card' as payment_type, cast(l_shipdate as string) as invoice_generated_timestamp,
   'from_file' as realm, cast(l_linenumber as string) as installment_details_number_of_installments,
-  'run1' as load_tx_id, concat('f_Billing_', {SHIP_MONTH}) as file_tx_id
+  cast({AT} as string) as updated_timestamp, {plain("raw_billing")}, 'run1' as load_tx_id, concat('f_Billing_', {SHIP_MONTH}) as file_tx_id
 from {{lineitem}}
 """
 
@@ -339,6 +371,16 @@ select o_orderkey as payment_id, {FILE_ID} as file_tx_id, {REALM3} as realm,
 from {{orders}}
 """
 
+# What a second delivery holds: dearer orders without the urgent ones, and some under new ids.
+VIEWS["file_redelivered"] = f"""
+select o_orderkey as payment_id, {FILE_ID} as file_tx_id, {REALM3} as realm,
+  cast(o_totalprice + 1 as decimal(20,6)) as main_amount, o_orderdate as utc_timestamp
+from {{orders}} where o_orderpriority <> '1-URGENT'
+union all
+select -o_orderkey, {FILE_ID}, {REALM3}, cast(o_totalprice as decimal(20,6)), o_orderdate
+from {{orders}} where o_orderpriority = '2-HIGH'
+"""
+
 ACCOUNTS = ["StreamCoUS", "StreamCoEU", "Motortrend", "Foodnetwork", "HBOUS", "MaxStreamCOM"]
 PRODUCTS = ["pgatour.month", "go.month", "go.annual", "max.month", "golf.month"]
 ORDER_AT = "o_orderdate + interval '1' second * ((o_orderkey * 7919) % 86400)"

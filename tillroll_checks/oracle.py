@@ -5,7 +5,7 @@ Windows, pair joins and long unions are fine here: this runs on one machine over
 
 from __future__ import annotations
 
-from tillroll_checks.inputs import with_views
+from tillroll_checks.inputs import PLAIN, with_views
 
 ORACLE: dict[str, str] = {}
 
@@ -79,7 +79,7 @@ ORACLE["raw_null_truncate"] = with_views(
 # Typing
 ORACLE["type_apple"] = with_views(
     ["raw_apple"],
-    """select sku, title, cast(units as int) as units,
+    f"""select {', '.join(PLAIN['raw_apple'])}, sku, title, cast(units as int) as units,
     cast(developer_proceeds as decimal(20,6)) as developer_proceeds,
     cast(strptime(nullif(trim(begin_date), ''), '%m/%d/%Y') as date) as begin_date,
     cast(strptime(nullif(trim(end_date), ''), '%m/%d/%Y') as date) as end_date,
@@ -101,15 +101,16 @@ AMAZON_TYPED = f"""select marketplace, country_region_code, invoice_id, transact
     cast(sales_price_marketplace_currency as decimal(20,6)) as sales_price_marketplace_currency,
     cast(estimated_earnings_marketplace_currency as decimal(20,6))
       as estimated_earnings_marketplace_currency,
-    receipt_id, device_type, device_os, 'EMEA' as file_tx_region, load_tx_id, file_tx_id
+    receipt_id, device_type, device_os, {', '.join(PLAIN['raw_amazon'])},
+    'EMEA' as file_tx_region, load_tx_id, file_tx_id
     from raw_amazon"""
-GOOGLE_TYPED = """select order_number, cast(order_charged_date as date) as order_charged_date,
+GOOGLE_TYPED = f"""select {', '.join(PLAIN['raw_google'])}, order_number, cast(order_charged_date as date) as order_charged_date,
     cast(order_charged_timestamp as timestamp) as order_charged_timestamp, financial_status,
     product_id, product_type, sku_id, buyer_country, buyer_currency,
     cast(amount_buyer_currency as decimal(20,6)) as amount_buyer_currency, currency_of_sale,
     cast(amount_merchant_currency as decimal(20,6)) as amount_merchant_currency,
     'APAC' as file_tx_region, load_tx_id, file_tx_id from raw_google"""
-ROKU_TYPED = """select transaction_id, channel_id, product_id, product_name, product_type,
+ROKU_TYPED = f"""select {', '.join(PLAIN['raw_roku'])}, transaction_id, channel_id, product_id, product_name, product_type,
     transaction_type, cast(transaction_date as timestamp) as transaction_date,
     cast(amount as decimal(20,6)) as amount, currency, country_code, user_id,
     'AMER' as file_tx_region, load_tx_id, file_tx_id from raw_roku"""
@@ -123,7 +124,8 @@ def major(column: str) -> str:
     )
 
 
-BILLING_TYPED = f"""select transaction_id, user_id, transaction_type, {major('amount')}, currency,
+BILLING_TYPED = f"""select {', '.join(PLAIN['raw_billing'])},
+    cast(updated_timestamp as timestamp) as updated_timestamp, transaction_id, user_id, transaction_type, {major('amount')}, currency,
     {major('vat')}, cast(subscription_id as int) as subscription_id,
     cast(created_timestamp as timestamp) as created_timestamp,
     cast(charged_timestamp as timestamp) as charged_timestamp, payment_country,
@@ -144,7 +146,8 @@ FACT_NULLS = dict.fromkeys(
     [
         "company_account", "merchant_account", "payment_currency", "net", "name",
         "invoice_number", "receipt_id", "transaction_id", "vendor_sku", "hardware", "product_id",
-        "product_title", "file_tx_region",
+        "product_title", "file_tx_region", "adjustment", "asin", "in_app_subscription_term",
+        "in_app_subscription_status", "digital_order_id", "app_user_id", "sales_channel",
     ],
     "cast(null as varchar)",
 )
@@ -162,6 +165,7 @@ def fact(name: str, raw: str, typed: str, columns: dict[str, str]) -> None:
         "file_tx_id": "file_tx_id",
         "timezone": "'UTC'",
         "local_timestamp": columns["utc_timestamp"],
+        "utc_date": f"cast({columns['utc_timestamp']} as date)",
         "record_key": f"coalesce({key}, '') || '~' || cast({columns['utc_timestamp']} as varchar) "
         f"|| '~' || {columns['record_type']} || '~'",
         **columns,
@@ -186,6 +190,7 @@ fact(
         "receipt_id": "receipt_id", "issuer_country": "country_region_code",
         "pmt_channel": "'Amazon'", "pmt_channel_nr": "3", "transaction_id": "transaction_id",
         "vendor_sku": "vendor_sku", "hardware": "device_type", "product_title": "device_os",
+        **{name: name for name in PLAIN["raw_amazon"]},
         "file_tx_region": "file_tx_region",
     },
 )
@@ -200,6 +205,7 @@ fact(
         "record_type": "financial_status", "type": "product_type",
         "issuer_country": "buyer_country", "pmt_channel": "'Google'", "pmt_channel_nr": "2",
         "vendor_sku": "sku_id", "product_id": "product_id", "file_tx_region": "file_tx_region",
+        "hardware": "hardware", "product_title": "product_title",
     },
 )
 fact(
@@ -212,7 +218,7 @@ fact(
         "record_type": "transaction_type", "name": "product_name", "type": "product_type",
         "issuer_country": "country_code", "pmt_channel": "'Roku'", "pmt_channel_nr": "4",
         "transaction_id": "transaction_id", "vendor_sku": "product_id", "product_id": "product_id",
-        "file_tx_region": "file_tx_region",
+        "app_user_id": "user_id", "file_tx_region": "file_tx_region",
     },
 )
 fact(
@@ -225,7 +231,8 @@ fact(
         "payment_currency": "currency", "vat": "vat_amount", "record_type": "transaction_type",
         "type": "payment_type", "invoice_number": "invoice_id",
         "issuer_country": "payment_country", "pmt_channel": "'DirectBilling'",
-        "pmt_channel_nr": "5", "transaction_id": "transaction_id",
+        "pmt_channel_nr": "5", "transaction_id": "transaction_id", "name": "product_name",
+        "app_user_id": "user_id",
     },
 )
 
@@ -272,7 +279,11 @@ ORACLE["fact_after_supersession"] = with_views(
     MTD + """ select * from file_payments
     where file_tx_id not in (select file_tx_id from gone)""",
 )
-ORACLE["reload_idempotent"] = with_views(["file_payments"], "select * from file_payments")
+ORACLE["reload_idempotent"] = with_views(
+    ["file_payments", "file_redelivered"],
+    """select * from file_payments where file_tx_id <> 'f_dplay_1995-11-04'
+    union all select * from file_redelivered where file_tx_id = 'f_dplay_1995-11-04'""",
+)
 
 
 # SKUs
@@ -660,13 +671,19 @@ DETAILS = {
         "transaction_type",
         "vendor_reference_id",
     ),
-    "amazon": """, detail as (select cast(p.utc_timestamp as date) as recon_date,
-      case when exists (select 1 from charges c where c.subscription_id = p.subscription_id
-        and c.vendor_reference_id = p.psp_reference and p.psp_reference <> ''
-        and cast(c.charged_timestamp as date) between cast(p.utc_timestamp as date) - 1
-          and cast(p.utc_timestamp as date) + 1) then 'MATCHED' else 'PAYMENT_ONLY' end as state,
-      payment_id, subscription_id, psp_reference, merchant_account, record_type, product_id,
-      amount as payment_amount from psp_payments p)""",
+    "amazon": """, answer as (select payment_id, charge_id from psp_payments p join charges c
+        on c.subscription_id = p.subscription_id and c.vendor_reference_id = p.psp_reference
+      where trim(p.psp_reference) <> '' and abs(date_diff('day', cast(p.utc_timestamp as date),
+        cast(c.charged_timestamp as date))) <= 1),
+    detail as (select cast(utc_timestamp as date) as recon_date,
+      case when payment_id in (select payment_id from answer) then 'MATCHED'
+        else 'PAYMENT_ONLY' end as state,
+      payment_id, cast(null as bigint) as charge_id, subscription_id, psp_reference,
+      merchant_account, record_type, product_id, amount as payment_amount,
+      cast(null as decimal(20,6)) as charge_amount from psp_payments
+    union all select cast(charged_timestamp as date), 'CHARGE_ONLY', null, charge_id,
+      subscription_id, vendor_reference_id, merchant_account, transaction_type, product_id, null,
+      amount from charges where charge_id not in (select charge_id from answer))""",
 }
 LEVELS = """ select cast(case when grouping(recon_date) = 1 then 0 when grouping(product_id) = 1
     then 1 else 2 end as int) as level, recon_date, merchant_account, record_type, product_id,
@@ -682,6 +699,13 @@ for _name, _detail in DETAILS.items():
     )
     ORACLE[f"recon_{_name}_levels"] = with_views(["psp_payments", "charges"], _detail + LEVELS)
 
+ORACLE["recon_adyen_range"] = with_views(
+    ["psp_payments", "charges"],
+    DETAILS["adyen"]
+    + """, ranged as (select * from detail
+      where recon_date between date '1996-01-01' and date '1997-12-31')"""
+    + LEVELS.replace("from detail", "from ranged"),
+)
 ORACLE["vendor_reference_lists"] = with_views(
     ["charges"],
     """, refs as (select subscription_id, vendor_reference_id as ref,

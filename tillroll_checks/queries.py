@@ -27,6 +27,7 @@ from tillroll.operators import (
 AS_OF = date(2001, 12, 1)
 MONITOR_AS_OF = date(2001, 6, 15)
 DUE_FROM, DUE_TO = date(1996, 1, 1), date(2000, 12, 31)
+RECON_FROM, RECON_TO = date(1996, 1, 1), date(1997, 12, 31)
 CASE_FROM, CASE_TO = date(2024, 1, 5), date(2024, 1, 20)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,27 +128,10 @@ def staged_counts(spark, d):
     return files.staged_counts(typed)
 
 
-FACT_SHOWN = (
-    "company_account", "merchant_account", "psp_reference", "local_timestamp", "timezone",
-    "utc_timestamp", "main_currency", "main_amount", "payment_currency", "vat", "net",
-    "record_type", "name", "type", "invoice_number", "receipt_id", "issuer_country", "pmt_channel",
-    "transaction_id", "vendor_sku", "hardware", "product_id", "product_title", "record_key",
-    "fact_etl_revision", "file_tx_region", "load_tx_id", "file_tx_id",
-)
-
-
 def _fact(spark: SparkSession, d: str, provider: str, raw: str, region: str | None) -> DataFrame:
-    frame = view(spark, d, raw)
-    wanted = staging.raw_widths(provider)
-    for name in wanted:
-        if name not in frame.columns:
-            frame = frame.withColumn(name, F.lit(None).cast("string"))
-    typed = staging.TYPERS[provider](frame, region)
-    return facts.to_fact(provider, typed).select(
-        *FACT_SHOWN,
-        F.col("pmt_channel_nr").cast("int").alias("pmt_channel_nr"),
-        F.col("pmt_ra_status").cast("int").alias("pmt_ra_status"),
-    )
+    rows = facts.to_fact(provider, staging.TYPERS[provider](view(spark, d, raw), region))
+    numbers = ("pmt_channel_nr", "pmt_ra_status")
+    return rows.select(*[F.col(c).cast("int").alias(c) if c in numbers else c for c in rows.columns])
 
 
 @query
@@ -209,9 +193,9 @@ def fact_after_supersession(spark, d):
 
 @query
 def reload_idempotent(spark, d):
-    rows = view(spark, d, "file_payments")
-    once = facts.replace_file(rows, rows, "f_dplay_1995-02-18")
-    return facts.replace_file(once, rows, "f_dplay_1995-02-18")
+    again = view(spark, d, "file_redelivered")
+    once = facts.replace_file(view(spark, d, "file_payments"), again, "f_dplay_1995-11-04")
+    return facts.replace_file(once, again, "f_dplay_1995-11-04")
 
 
 # SKUs
@@ -368,6 +352,12 @@ for _name in MATCHERS:
     add(f"recon_{_name}_levels", _match(_name, levels=True))
 
 
+@query
+def recon_adyen_range(spark, d):
+    detail = recon.match_adyen(*_sides(spark, d))
+    return recon.recon_levels(recon.within_dates(detail, RECON_FROM, RECON_TO))
+
+
 @query
 def vendor_reference_lists(spark, d):
     return recon.vendor_reference_lists(view(spark, d, "charges"), size=5)
