@@ -3,12 +3,15 @@ from decimal import Decimal as D
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from tillroll.functions.clock import rolling_months
 from tillroll.operators.accrual import AccrualLookups, accrual, daily_accrual, daily_average_rates
 
 PAYMENT = (
     "pmt_channel string, psp_reference string, vendor_sku string, net decimal(20,6), "
     "main_amount decimal(20,6), main_currency string, issuer_country string, record_type string, "
-    "type string, file_tx_region string, utc_timestamp timestamp_ntz"
+    "type string, file_tx_region string, utc_timestamp timestamp_ntz, utc_date date"
 )
 AS_OF = date(2024, 6, 1)
 
@@ -16,7 +19,7 @@ AS_OF = date(2024, 6, 1)
 def pay(region="AMER", currency="USD", country="US", amount="12.00", sku="m", at="2024-02-10",
         channel="Amazon", record="Charge", kind="Subscription"):
     return (channel, "p", sku, D("1"), D(amount), currency, country, record, kind, region,
-            datetime.fromisoformat(at))
+            datetime.fromisoformat(at), date.fromisoformat(at[:10]))
 
 
 def lookups(spark, **changed):
@@ -206,3 +209,24 @@ def test_daily_average_rates(spark):
     )
     got = {r.exchange_rate_date.day: r.exchange_rate for r in daily_average_rates(quotes).collect()}
     assert got == {1: D("0.85"), 2: D("1")}
+
+
+def test_the_window_skips_row_groups(spark, tmp_path):
+    """Of a file sorted by time, as loads write it, only the row groups of the window are read."""
+    first = F.lit(date(2014, 1, 1))
+    days = spark.range(0, 400_000, numPartitions=1).select(
+        F.date_add(first, (F.col("id") / 100).cast("int")).alias("utc_date"), F.col("id").alias("n")
+    )
+    path = str(tmp_path / "sorted")
+    days.write.option("parquet.block.size", 64 * 1024).option("parquet.page.size", 8 * 1024).parquet(path)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        wanted = spark.read.parquet(path).where(rolling_months(F.col("utc_date"), AS_OF, 12))
+        rows = wanted.collect()
+        scan = wanted._jdf.queryExecution().executedPlan().collectLeaves().head()
+        read = scan.metrics().apply("numOutputRows").value()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(rows) == 36_600
+    assert read < 100_000

@@ -63,11 +63,10 @@ def month_of(value: Column) -> Column:
     return F.trunc(value.cast("date"), "month")
 
 
-def rolling_months(value: Column, as_of: date, months: int) -> Column:
-    """Within the `months` before `as_of`, that day itself excluded. The bounds are literals, so
-    the test reaches the parquet scan."""
-    start = F.add_months(F.lit(as_of), -months).cast("timestamp_ntz")
-    return (value >= start) & (value < F.lit(as_of).cast("timestamp_ntz"))
+def rolling_months(day: Column, as_of: date, months: int) -> Column:
+    """A date within the `months` before `as_of`, that day itself excluded. The bounds are literals,
+    so parquet row groups outside them are not read; with a zone-less timestamp all of them would be."""
+    return (day >= F.add_months(F.lit(as_of), -months)) & (day < F.lit(as_of))
 
 
 def months_since(start: Column, at: Column) -> Column:

@@ -71,7 +71,7 @@ def _divide(value: Column, by: Column, kind: str) -> Column:
 def _payments(payments: DataFrame, as_of: date, channels: Sequence[str]) -> DataFrame:
     region = F.col("file_tx_region")
     wanted = (
-        rolling_months(F.col("utc_timestamp"), as_of, WINDOW_MONTHS)
+        rolling_months(F.col("utc_date"), as_of, WINDOW_MONTHS)
         & region.isin(*REGIONS)
         & subscription_rows(channels)
     )
@@ -92,7 +92,7 @@ def _payments(payments: DataFrame, as_of: date, channels: Sequence[str]) -> Data
         by_value(region, SOURCE_REGIONS).alias("source_region"),
         by_value(region, COMPANIES, default=F.lit("")).alias("company"),
         F.col("utc_timestamp").alias("created_timestamp"),
-        F.col("utc_timestamp").cast("date").alias("_day"),
+        F.col("utc_date").alias("_day"),
     )
 
 

@@ -111,6 +111,7 @@ def to_fact(provider: str, typed: DataFrame) -> DataFrame:
     )
     if provider == "amazon":
         values["psp_reference"] = F.coalesce("receipt_id", F.lit(""))
+    values["utc_date"] = values["utc_timestamp"].cast("date")
     values.setdefault("vat", F.lit(0))
     values.setdefault("local_timestamp", values["utc_timestamp"])
     values.setdefault("timezone", F.lit("UTC"))

@@ -173,9 +173,8 @@ def classify_skus(payments: DataFrame, apple: DataFrame, sku_ref: DataFrame) ->
     return classify_payment_skus(payments, sku_ref).unionByName(classify_apple_skus(apple, sku_ref))
 
 
-def promotable(sku_ref: DataFrame) -> DataFrame:
-    """Generated SKUs still left out that revenue may bring in."""
-    return sku_ref.where(
+def _may_be_promoted() -> Column:
+    return (
         (F.col("auto_generated_yn") == "Y")
         & (F.col("included_in_accrual_yn") == "N")
         & F.col("file_tx_region").isin(*ACCRUAL_REGIONS)
@@ -183,6 +182,11 @@ def promotable(sku_ref: DataFrame) -> DataFrame:
     )
 
 
+def promotable(sku_ref: DataFrame) -> DataFrame:
+    """Generated SKUs still left out that revenue may bring in."""
+    return sku_ref.where(_may_be_promoted())
+
+
 def store_sales(payments: DataFrame) -> DataFrame:
     """Payments of the three stores as SKU keys and absolute amounts; no filter on their type."""
     return payments.where(F.col("pmt_channel").isin(*STORE_CHANNELS)).select(
@@ -203,16 +207,16 @@ def apple_sales_values(apple: DataFrame) -> DataFrame:
     )
 
 
-def promoted_skus(sku_ref: DataFrame, sales: DataFrame) -> DataFrame:
-    """The reference rows that the sales turn from N to Y.
+def _earning(sales: DataFrame) -> DataFrame:
+    """SKUs with revenue. Sales shrink to one row per SKU before they meet the reference, so their
+    rows are never shuffled for the join, however long the reference is."""
+    revenue = sales.groupBy(*SKU_KEY).agg(F.sum("value").alias("_revenue"))
+    return revenue.where(F.col("_revenue") > 0)
 
-    Sales shrink to one row per SKU before they meet the reference, so their rows are never
-    shuffled for the join, however long the reference is.
-    """
-    earning = sales.groupBy(*SKU_KEY).agg(F.sum("value").alias("_revenue")).where(
-        F.col("_revenue") > 0
-    )
-    return promotable(sku_ref).join(earning, list(SKU_KEY), "left_semi").select(
+
+def promoted_skus(sku_ref: DataFrame, sales: DataFrame) -> DataFrame:
+    """The reference rows that the sales turn from N to Y."""
+    return promotable(sku_ref).join(_earning(sales), list(SKU_KEY), "left_semi").select(
         *[F.lit("Y").alias(c) if c == "included_in_accrual_yn" else c for c in sku_ref.columns]
     )
 
@@ -220,9 +224,11 @@ def promoted_skus(sku_ref: DataFrame, sales: DataFrame) -> DataFrame:
 def promote_skus(sku_ref: DataFrame, payments: DataFrame, apple: DataFrame) -> DataFrame:
     """The whole reference after promotion."""
     sales = store_sales(payments).unionByName(apple_sales_values(apple))
-    changed = promoted_skus(sku_ref, sales)
-    same = sku_ref.join(changed.select(*SKU_KEY), list(SKU_KEY), "left_anti")
-    return same.select(*sku_ref.columns).unionByName(changed)
+    promoted = _may_be_promoted() & F.col("_revenue").isNotNull()
+    included = F.when(promoted, "Y").otherwise(F.col("included_in_accrual_yn"))
+    return sku_ref.join(_earning(sales), list(SKU_KEY), "left").select(
+        *[included.alias(c) if c == "included_in_accrual_yn" else c for c in sku_ref.columns]
+    )
 
 
 def new_sku_alert(rows: DataFrame, sku_ref: DataFrame) -> DataFrame:

@@ -72,7 +72,8 @@ class LoadResult:
 def _record(tables: RevenueTables, load: FileLoad, status: str, staged: int | None) -> None:
     now = datetime.now(timezone.utc).replace(tzinfo=None)
     row = (load.file_tx_id, load.source, load.data_file, status, staged, now)
-    tables.append("load_audit_log", tables.spark.createDataFrame([row], ddl(LOAD_AUDIT)))
+    event = tables.spark.createDataFrame([row], ddl(LOAD_AUDIT)).coalesce(1)
+    tables.append("load_audit_log", event)
 
 
 def load_file(tables: RevenueTables, load: FileLoad) -> LoadResult:
@@ -154,7 +155,7 @@ def _supersede(tables: RevenueTables, load: FileLoad, channel: str) -> int:
             "load_date_time": F.lit(now).cast("timestamp_ntz"),
         }
         columns = [marked.get(c, F.col(c)).alias(c) for c in LOAD_AUDIT]
-        tables.append("load_audit_log", open_files.select(*columns))
+        tables.append("load_audit_log", open_files.select(*columns).coalesce(1))
     return dropped
 
 

@@ -182,7 +182,7 @@ TYPED = {
     },
 }
 
-# The payment fact, 37 columns in table order.
+# The payment fact, 37 columns in table order, and the day of utc_timestamp, which scans can skip by.
 PAYMENTS = {
     "company_account": "string",
     "merchant_account": "string",
@@ -190,6 +190,7 @@ PAYMENTS = {
     "local_timestamp": "timestamp_ntz",
     "timezone": "string",
     "utc_timestamp": "timestamp_ntz",
+    "utc_date": "date",
     "main_currency": "string",
     "main_amount": "decimal(20,6)",
     "payment_currency": "string",
