@@ -9,7 +9,7 @@ import re
 from array import array
 
 END_ID = 2
-_CACHED = 500_000  # words, about 250 bytes each
+_CACHED = 100_000  # words in each of two stores, about 250 bytes each
 _INNER_SPACE = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?:\s|$)")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
@@ -27,8 +27,9 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit integers.
 
     A byte-level BPE with the usual expression never joins a space that stands before a visible character
-    to what precedes it, so a text's ids are those of its words, cut there. Words recur: each is encoded
-    once and kept, up to a fixed number of them. Letters and the punctuation behind them are two pieces,
+    to what precedes it, so a text's ids are those of its words, cut there. Words recur: each is kept. When
+    a store is full it becomes the older one, in place of the last, and a new one is begun; what is used
+    again moves there, so that rare words go and common ones stay. Letters and the punctuation behind them are two pieces,
     which the model encodes without another look at the expression. Other tokenizers get whole texts.
     """
 
@@ -52,7 +53,7 @@ class Encoder:
         )
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}  # by what follows a space
-        self.stems: dict[str, bytes] = {}  # letters, with a space before them
+        self.older: dict[str, bytes] = {}  # the store before it, for words that come again
         self.marks: dict[str, bytes] = {}  # punctuation, without
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -65,25 +66,25 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > _CACHED:
-            self.words.clear()
-            self.stems.clear()
         others = []
         for word in words:
-            plain = _PLAIN.fullmatch(word)
-            if plain is None:
-                others.append(word)
-                continue
-            stem, mark = plain.groups()
-            ids = self.stems.get(stem)
+            ids = self.older.get(word)
             if ids is None:
-                ids = self.stems[stem] = self._piece(f" {stem}")
-            if mark:
-                if mark not in self.marks:
-                    if len(self.marks) > 10_000:
-                        self.marks.clear()
-                    self.marks[mark] = self._piece(mark)
-                ids += self.marks[mark]
+                plain = _PLAIN.fullmatch(word)
+                if plain is None:
+                    others.append(word)
+                    continue
+                stem, mark = plain.groups()
+                ids = (self.words.get(stem) or self.older.get(stem)) if mark else None
+                if ids is None:
+                    ids = self._piece(f" {stem}")
+                if mark:
+                    if mark not in self.marks:
+                        if len(self.marks) > 10_000:
+                            self.marks.clear()
+                        self.marks[mark] = self._piece(mark)
+                    self.words[stem] = ids
+                    ids += self.marks[mark]
             self.words[word] = ids
         self.words.update(zip(others, self._whole([f" {w}" for w in others])))
 
@@ -92,12 +93,10 @@ class Encoder:
             return self._whole([text])[0]
         first, *rest = _INNER_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
         head = self._whole([first])[0] if first else b""
+        if len(self.words) > _CACHED:
+            self.older, self.words = self.words, {}
         words = self.words
         self._learn({w for w in rest if w not in words})
-        try:
-            return head + b"".join(map(words.__getitem__, rest))
-        except KeyError:  # the store was emptied to make room
-            self._learn({w for w in rest if w not in words})
         return head + b"".join(map(words.__getitem__, rest))
 
 
