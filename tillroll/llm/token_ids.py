@@ -9,7 +9,7 @@ import re
 from array import array
 
 END_ID = 2
-_CACHED = 100_000  # words in each of two stores, about 250 bytes each
+_CACHED = 400_000  # words in each of two stores, about 250 bytes each
 _INNER_SPACE = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?:\s|$)")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
