@@ -303,3 +303,12 @@ def test_collisions_follow_the_weighted_jaccard():
 def test_crc_matches(spark):
     raw = ids_of("x y z")
     assert spark.createDataFrame([(raw,)], "ids binary").select(F.crc32("ids")).first()[0] == zlib.crc32(raw)
+
+
+def test_encoder_cuts_only_where_the_tokenizer_does():
+    """Random mixtures of spaces, line ends, letters and punctuation, against the tokenizer itself."""
+    own = encoder(default_tokenizer())
+    draw = random.Random(5)
+    texts = ["", "\n", "a\n", "\na", " \n a", "a\n\nb", "a\n\n\nb", "a\n\tb\n 'sx", "x.\nY!! z\r\nq", "a\n\x1cb"]
+    texts += ["".join(draw.choices("ab'sZé .,\n\t\r\x1c  1", k=draw.randint(0, 14))) for _ in range(5000)]
+    assert [own.encode(x) for x in texts] == own._whole(texts)

@@ -12,6 +12,7 @@ END_ID = 2
 _CACHED = 400_000  # words in each of two stores, about 250 bytes each
 _INNER_SPACE = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" (?:\s|$)")
+_LINE_END = re.compile(r"\n(?<!\s\n)")  # after a visible character
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE shows as they are
 _SHOWN = dict(zip([b for b in range(256) if b not in _KEPT], range(256, 512)))
@@ -27,7 +28,8 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit integers.
 
     A byte-level BPE with the usual expression never joins a space that stands before a visible character
-    to what precedes it, so a text's ids are those of its words, cut there. Words recur: each is kept. When
+    to what precedes it, nor a line end to the visible character before it, so a text's ids are those of its
+    words, cut there (a word behind a line end begins with it). Words recur: each is kept. When
     a store is full it becomes the older one, in place of the last, and a new one is begun; what is used
     again moves there, so that rare words go and common ones stay. Letters and the punctuation behind them are two pieces,
     which the model encodes without another look at the expression. Other tokenizers get whole texts.
@@ -52,7 +54,7 @@ class Encoder:
             and not model.get("end_of_word_suffix")
         )
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}  # by what follows a space
+        self.words: dict[str, bytes] = {}  # by what follows a space, or by line end and what follows
         self.older: dict[str, bytes] = {}  # the store before it, for words that come again
         self.marks: dict[str, bytes] = {}  # punctuation, without
 
@@ -70,28 +72,31 @@ class Encoder:
         for word in words:
             ids = self.older.get(word)
             if ids is None:
-                plain = _PLAIN.fullmatch(word)
+                line = word[0] == "\n"
+                plain = _PLAIN.fullmatch(word, line)
                 if plain is None:
                     others.append(word)
                     continue
                 stem, mark = plain.groups()
-                ids = (self.words.get(stem) or self.older.get(stem)) if mark else None
+                known = f"\n{stem}" if line else stem
+                ids = (self.words.get(known) or self.older.get(known)) if mark else None
                 if ids is None:
-                    ids = self._piece(f" {stem}")
+                    ids = self._piece("\n") + self._piece(stem) if line else self._piece(f" {stem}")
                 if mark:
                     if mark not in self.marks:
                         if len(self.marks) > 10_000:
                             self.marks.clear()
                         self.marks[mark] = self._piece(mark)
-                    self.words[stem] = ids
+                    self.words[known] = ids
                     ids += self.marks[mark]
             self.words[word] = ids
-        self.words.update(zip(others, self._whole([f" {w}" for w in others])))
+        self.words.update(zip(others, self._whole([w if w[0] == "\n" else f" {w}" for w in others])))
 
     def encode(self, text: str) -> bytes:
         if not self.by_parts:
             return self._whole([text])[0]
-        first, *rest = _INNER_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+        odd = _ODD_SPACE.search(text)
+        first, *rest = _INNER_SPACE.split(text) if odd else _LINE_END.sub(" \n", text).split(" ")
         head = self._whole([first])[0] if first else b""
         if len(self.words) > _CACHED:
             self.older, self.words = self.words, {}
