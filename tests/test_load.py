@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators.accrual import AccrualLookups
 from tillroll.plans.load import FileLoad, load_file
-from tillroll.plans.refresh import monitor_of, refresh_accrual, refresh_skus
+from tillroll.plans.refresh import Layers, monitor_of, refresh_accrual, refresh_skus
 from tillroll.sources.schemas import COLLECTION_AUDIT, MONITOR_CONFIG, PAYMENTS, ddl, raw_widths
 
 AS_OF = date(2024, 3, 1)
@@ -207,6 +207,10 @@ def test_the_monitor_follows_a_load(tables, spark, tmp_path):
     assert stamped[0].mv_updated_timestamp is not None
     again = monitor_of(tables, "m", "amazon", AS_OF)
     assert again.count() == 3
+    other = spark.createDataFrame([("d5",), ("d5",), ("d15",), ("x",)], "file_tx_id string")
+    given = monitor_of(tables, "m", "none", AS_OF, Layers([other, other], other, other))
+    raw = {r.file_tx_id: r.raw_transaction_count for r in given.collect()}
+    assert raw == {"d5": 4, "d15": 2, "d20": 0}
 
 
 def test_accrual_is_stored_per_day(tables, spark, tmp_path):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -25,17 +26,17 @@ from tillroll.sources.schemas import CHANNELS
 from tillroll.sources.tables import GOOGLE_SECOND_RAW, RevenueTables
 
 
-def monitor_of(tables: RevenueTables, mv_id: str, provider: str, as_of: date) -> DataFrame:
-    """The monitor of one provider. Every layer is cut to the covered files, which are its
-    partitions, so files outside the monitor's months are not opened."""
-    files = collected_files(
-        tables.read("collection_audit"), tables.audit(), tables.monitor_config(), mv_id, as_of
-    )
-    covered = files.select("file_tx_id").distinct()
+@dataclass(frozen=True)
+class Layers:
+    """The tables that a source's files pass through; each has file_tx_id."""
 
-    def of_covered(rows: DataFrame) -> DataFrame:
-        return rows.select("file_tx_id").join(covered, "file_tx_id", "left_semi")
+    raw: Sequence[DataFrame]
+    typed: DataFrame
+    fact: DataFrame
 
+
+def layers_of(tables: RevenueTables, provider: str) -> Layers:
+    """The stored layers of one provider."""
     raw = [tables.read(f"raw_{provider}")]
     if provider == "google":
         raw.append(tables.read(GOOGLE_SECOND_RAW))
@@ -43,17 +44,44 @@ def monitor_of(tables: RevenueTables, mv_id: str, provider: str, as_of: date) ->
         fact = tables.read("apple_sales")
     else:
         fact = tables.read("payments").where(F.col("pmt_channel") == CHANNELS[provider][0])
-    return ingestion_monitor(
-        files,
-        [of_covered(r) for r in raw],
-        of_covered(tables.read(f"typed_{provider}")),
-        of_covered(fact),
+    return Layers(raw, tables.read(f"typed_{provider}"), fact)
+
+
+def monitor_of_layers(files: DataFrame, layers: Layers) -> DataFrame:
+    """The monitor of any source. Every layer is cut to the covered files; where they are its
+    partitions, files outside the monitor's months are not opened."""
+    covered = files.select("file_tx_id").distinct()
+
+    def of_covered(rows: DataFrame) -> DataFrame:
+        return rows.select("file_tx_id").join(covered, "file_tx_id", "left_semi")
+
+    raw = [of_covered(r) for r in layers.raw]
+    return ingestion_monitor(files, raw, of_covered(layers.typed), of_covered(layers.fact))
+
+
+def monitor_of(
+    tables: RevenueTables,
+    mv_id: str,
+    provider: str,
+    as_of: date,
+    layers: Layers | None = None,
+) -> DataFrame:
+    """The monitor of one source, over its stored layers or over the given ones."""
+    files = collected_files(
+        tables.read("collection_audit"), tables.audit(), tables.monitor_config(), mv_id, as_of
     )
+    return monitor_of_layers(files, layers or layers_of(tables, provider))
 
 
-def refresh_monitor(tables: RevenueTables, mv_id: str, provider: str, as_of: date) -> None:
+def refresh_monitor(
+    tables: RevenueTables,
+    mv_id: str,
+    provider: str,
+    as_of: date,
+    layers: Layers | None = None,
+) -> None:
     """Replace the monitor's part of the master and note its extent in the config."""
-    rows = monitor_of(tables, mv_id, provider, as_of)
+    rows = monitor_of(tables, mv_id, provider, as_of, layers)
     tables.replace_partition("ingestion_master", master_rows(rows, mv_id), mv_id=mv_id)
     now = F.localtimestamp()
     stamped = stamp_config(tables.monitor_config(), tables.read("ingestion_master"), mv_id, now)

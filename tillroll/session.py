@@ -21,16 +21,19 @@ SETTINGS = {
 
 
 def local_session(
-    cores: int | str = 8, memory: str = "8g", shuffle_partitions: int | None = None
+    cores: int | str = 8,
+    memory: str = "8g",
+    shuffle_partitions: int | None = None,
+    warehouse: str | None = None,
 ) -> SparkSession:
-    """A single-machine session for tests and benchmarks."""
+    """A single-machine session for tests and benchmarks; without a warehouse folder, in a new one."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tillroll")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
-        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tillroll-wh-"))
+        .config("spark.sql.warehouse.dir", warehouse or tempfile.mkdtemp(prefix="tillroll-wh-"))
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
