@@ -204,6 +204,27 @@ def test_source_mix(spark, docs, nothing):
     assert source_mix.mix_sources(nothing).count() == 0 and source_mix.mixed(docs).columns == docs.columns
 
 
+def test_small_source_cuts_no_other(spark):
+    """Sources of 1, 3 and 30 rows beside large ones: only what is beyond a quarter of all rows goes."""
+    sizes = {"hot": 6001, "a": 2203, "b": 1998, "c": 1600, "few": 30, "": 3, "one": 1}
+    rows = [(i, name or None) for i, name in enumerate(n for n, size in sizes.items() for _ in range(size))]
+    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(3)
+    targets = {name: min(size, len(rows) // 4) for name, size in sizes.items()}
+    assert Counter(r["source"] or "" for r in source_mix.mixed(df).collect()) == targets
+    found = sorted(source_mix.mix_sources(df, cycle=256).collect(), key=lambda r: r["mix_position"])
+    assert [r["mix_position"] for r in found] == list(range(len(rows)))
+    assert [r["in_mix"] for r in found] == [True] * sum(targets.values()) + [False] * (len(rows) - sum(targets.values()))
+    assert all(r["mix_released"] <= r["mix_slot"] < r["mix_due"] for r in found)
+    blocks = {(r["source"] or "", r["mix_block"]): r["mix_slot"] for r in found if r["in_mix"]}
+    by_slot = {slot: name for (name, _), slot in blocks.items()}
+    own = {name: -(-size // 4) for name, size in targets.items()}
+    assert sorted(by_slot) == list(range(sum(own.values())))
+    seen = Counter()
+    for k in range(len(by_slot)):
+        seen[by_slot[k]] += 1
+        assert all(abs(seen[s] - (k + 1) * b / len(by_slot)) < 2 for s, b in own.items())
+
+
 def test_encoder_is_exact():
     own = encoder(default_tokenizer())
     rng = random.Random(5)

@@ -1,14 +1,20 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-Weights are whole numbers of slots in a cycle. Block k of a source with p of M slots is released at slot
-floor(k * M / p) and due at ceil((k + 1) * M / p); each slot takes the released block that is due first.
-All blocks meet their due times, so at every slot each source is less than one block away from its
-target. After M slots every source is exactly on target and the schedule repeats: it is computed once
-for a cycle, and a document's place follows from its rank in its source.
+A source's target is its share of the largest mix for which no source lacks a row; its rows are dealt in
+blocks, one block a slot. With N blocks in all, B of a source, the first T slots should hold T * B / N of
+its blocks. Slots are planned in cycles. At the end of a cycle every source has that number of blocks,
+rounded down or up; which sources are rounded up is decided in the order of their due times, so that no
+source ever has to give a block back, and rare sources have no block in most cycles. Within a cycle of M
+slots, block j of the p of a source is released at slot floor(j * M / p) and due at ceil((j + 1) * M / p);
+each slot takes the released block that is due first, and all meet their due times. So at every slot each
+source is less than two blocks away from its exact share, and at the end all have exactly their target.
+The ends of the cycles are one small sequence; the cycles are scheduled independently of each other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,81 +28,150 @@ MOST_DIGITS = 4  # cells of the hashed order: 16 to this power at most
 LARGEST_SHARE = 4  # by default no source weighs more than 1/4 of all rows
 
 
+def _div(a: Column, b: Column | int) -> Column:
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b).cast("long"))
+
+
+def _up(a: Column, b: Column | int) -> Column:
+    return -_div(-a, b) + (a % b > 0).cast("long")  # div drops the fraction
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _weighed(counts: DataFrame, weights: dict[str, int] | None) -> DataFrame:
+    if weights is None:
+        everything = Window.partitionBy()  # a row per source
+        return counts.withColumn("w", F.least("n", F.greatest(F.lit(1), F.floor(F.sum("n").over(everything) / LARGEST_SHARE))))
+    given = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.lit(None).cast("map<string,long>")
+    return counts.withColumn("w", given[F.col("name")].cast("long")).where("w > 0")
+
+
 def source_slots(counts: DataFrame, weights: dict[str, int] | None = None, cycle: int = CYCLE) -> DataFrame:
-    """name, n, p: the slots of each source in a cycle, by largest remainder and at least one.
+    """name, n, p: the slots of each source in a cycle, by largest remainder; a rare one may have none.
 
     counts: name, n per source. Without weights a source weighs its rows, but no more than a quarter of
     all rows. Sources that `weights` does not name, or names with 0, are left out.
     """
     everything = Window.partitionBy()  # a row per source
-    if weights is None:
-        weighed = counts.withColumn("w", F.least("n", F.greatest(F.lit(1), F.floor(F.sum("n").over(everything) / LARGEST_SHARE))))
-    else:
-        given = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.lit(None).cast("map<string,long>")
-        weighed = counts.withColumn("w", given[F.col("name")].cast("long")).where("w > 0")
-    spread = F.col("w") * (F.lit(cycle) - F.count("*").over(everything))
     total = F.sum("w").over(everything)
-    shared = weighed.select("name", "n", (spread - spread % total).alias("whole"), (spread % total).alias("rest"), total.alias("total"))
-    slots = shared.withColumn("p", 1 + (F.col("whole") / F.col("total")).cast("long"))
-    order = Window.orderBy(F.desc("rest"), "name")
+    shared = _weighed(counts, weights).select("name", "n", _div(F.col("w") * cycle, total).alias("p"), (F.col("w") * cycle % total).alias("rest"))
     left = F.lit(cycle) - F.sum("p").over(everything)
-    return slots.select("name", "n", (F.col("p") + (F.row_number().over(order) <= left).cast("long")).alias("p"))
+    order = Window.orderBy(F.desc("rest"), "name")
+    return shared.select("name", "n", (F.col("p") + (F.row_number().over(order) <= left).cast("long")).alias("p"))
+
 
+def source_targets(counts: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
+    """name, n, target: the rows of each source in the largest mix of these weights that no source is too
+    small for, rounded down. Weights as in source_slots: without any, a source of up to a quarter of all
+    rows has all its rows as target, however small it is.
+    """
+    weighed = _weighed(counts, weights)
+    scarce = F.min_by(F.struct("n", "w"), F.col("n") / F.col("w")).over(Window.partitionBy())
+    wide = "decimal(19,0)"
+    target = _div(F.col("w").cast(wide) * F.col("scarce.n").cast(wide), F.col("scarce.w").cast(wide))
+    return weighed.withColumn("scarce", scarce).select("name", "n", F.least("n", target).alias("target"))
 
-def cycle_schedule(slots: DataFrame, cycle: int = CYCLE) -> DataFrame:
-    """name, p, j, slot, released, due: where block j of each source runs within one cycle.
+
+def cycle_shares(blocks: DataFrame, cycle: int = CYCLE) -> DataFrame:
+    """begin, length, s (name, done, p): the p blocks after the first `done` of each source that has any
+    in the cycle of slots from `begin` on.
+
+    blocks: name, b per source. One step a cycle and source, over the number of blocks only.
+    """
+    one = (
+        blocks.where("b > 0")
+        .agg(F.sort_array(F.collect_list(F.struct("name", F.col("b").cast("long").alias("b")))).alias("s"), F.sum("b").cast("long").alias("total"))
+        .where("total > 0")
+    )
+    total = F.col("total")
+
+    def step(state: Column, m: Column) -> Column:
+        end = F.least(m * cycle, total)
+
+        def chosen(low: Column) -> Column:
+            def due(x: Column, i: Column) -> Column:
+                b = F.get(F.col("s"), i)["b"]
+                return F.when(x < _up(end * b, total), F.struct(_up((x + 1) * total, b).alias("due"), i.alias("i")))
+
+            def cut(dues: Column) -> Column:
+                extra = end - F.aggregate(low, F.lit(0).cast("long"), lambda a, x: a + x)
+                last = F.get(F.sort_array(F.filter(dues, lambda x: x.isNotNull())), (extra - 1).cast("int"))
+                return _let(last, lambda y: F.zip_with(low, dues, lambda x, d: x + F.coalesce((d <= y).cast("long"), F.lit(0).cast("long"))))
+
+            return _let(F.transform(low, due), cut)
+
+        def after(done: Column) -> Column:
+            own = F.transform("s", lambda x, i: F.struct(x["name"].alias("name"), F.get(state["done"], i).alias("done"), (F.get(done, i) - F.get(state["done"], i)).alias("p")))
+            begin = (m - 1) * cycle
+            now = F.struct(begin.alias("begin"), (end - begin).alias("length"), F.filter(own, lambda x: x["p"] > 0).alias("s"))
+            return F.struct(done.alias("done"), F.concat(state["cycles"], F.array(now)).alias("cycles"))
+
+        low = F.zip_with(state["done"], F.col("s"), lambda d, x: F.greatest(d, _div(end * x["b"], total)))
+        return _let(_let(low, chosen), after)
+
+    kind = "array<struct<begin:bigint,length:bigint,s:array<struct<name:string,done:bigint,p:bigint>>>>"
+    start = F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("done"), F.array().cast(kind).alias("cycles"))
+    steps = F.sequence(F.lit(1).cast("long"), _up(total, cycle))
+    return one.select(F.explode(F.aggregate(steps, start, step, lambda x: x["cycles"])).alias("c")).select("c.*")
+
+
+def cycle_schedule(shares: DataFrame) -> DataFrame:
+    """name, block, begin, slot, released, due: the blocks of the cycles of cycle_shares.
 
     Earliest due first, one slot after the other; ties go to the first name.
     """
-    one = slots.agg(F.sort_array(F.collect_list(F.struct("name", F.col("p").cast("int").alias("p")))).alias("s"))
 
     def run(state: Column, t: Column) -> Column:
         ready = F.transform(
-            F.arrays_zip(F.col("s.p").alias("p"), state["done"].alias("done")),
+            F.zip_with("s", state["done"], lambda x, d: F.struct(x["p"].alias("p"), d.alias("done"))),
             lambda x, i: F.when(
-                (x["done"] < x["p"]) & (F.floor(x["done"] * cycle / x["p"]) <= t),
-                F.struct(F.ceil((x["done"] + 1) * cycle / x["p"]).alias("due"), i.alias("i")),
+                (x["done"] < x["p"]) & (_div(x["done"] * F.col("length"), x["p"]) <= t),
+                F.struct(_up((x["done"] + 1) * F.col("length"), x["p"]).alias("due"), i.alias("i")),
             ),
         )
-        first = F.array_min(ready)["i"]
-        return F.struct(
-            F.transform(state["done"], lambda d, i: d + (i == first).cast("int")).alias("done"),
-            F.concat(state["taken"], F.array(first)).alias("taken"),
+        return _let(
+            F.array_min(ready)["i"],
+            lambda first: F.struct(
+                F.transform(state["done"], lambda d, i: d + (i == first).cast("long")).alias("done"),
+                F.concat(state["taken"], F.array(first)).alias("taken"),
+            ),
         )
 
-    start = F.struct(F.transform("s", lambda x: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("taken"))
-    taken = one.where(F.size("s") > 0).select("s", F.aggregate(F.sequence(F.lit(0), F.lit(cycle - 1)), start, run, lambda x: x["taken"]).alias("taken"))
-    rows = taken.select("s", F.posexplode("taken").alias("slot", "i")).select(
-        F.col("s")[F.col("i")]["name"].alias("name"), F.col("s")[F.col("i")]["p"].alias("p"), "slot"
-    )
-    j = F.row_number().over(Window.partitionBy("name").orderBy("slot")) - 1
+    start = F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("taken"))
+    slots = F.sequence(F.lit(0).cast("long"), F.col("length") - 1)
+    taken = shares.select("begin", "length", "s", F.aggregate(slots, start, run, lambda x: x["taken"]).alias("taken"))
+    rows = taken.select("begin", "length", "s", F.posexplode("taken").alias("at", "i")).select("begin", "length", "at", F.get(F.col("s"), F.col("i")).alias("x"))
+    j = (F.row_number().over(Window.partitionBy("begin", "x.name").orderBy("at")) - 1).cast("long")
     return rows.withColumn("j", j).select(
-        "name",
-        F.col("p").cast("long").alias("p"),
-        F.col("j").cast("long").alias("j"),
-        F.col("slot").cast("long").alias("slot"),
-        F.floor(F.col("j") * cycle / F.col("p")).alias("released"),
-        F.ceil((F.col("j") + 1) * cycle / F.col("p")).alias("due"),
+        F.col("x.name").alias("name"),
+        (F.col("x.done") + F.col("j")).alias("block"),
+        "begin",
+        (F.col("begin") + F.col("at")).alias("slot"),
+        (F.col("begin") + _div(F.col("j") * F.col("length"), F.col("x.p"))).alias("released"),
+        (F.col("begin") + _up((F.col("j") + 1) * F.col("length"), F.col("x.p"))).alias("due"),
     )
 
 
-def mix_sources(
-    docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, cycle: int = CYCLE
-) -> DataFrame:
-    """All rows of docs with mix_block, mix_released, mix_due, mix_slot, mix_position and in_mix.
+def _scheduled(sizes: DataFrame, block_rows: int, cycle: int) -> DataFrame:
+    """name, block, slot, released, due, before (the rows in earlier slots) for sources of `rows` rows."""
+    spark = sizes.sparkSession
+    shares = stored(cycle_shares(sizes.select("name", _up(F.col("rows"), block_rows).alias("b")), cycle), "mix-cycles")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = cycle_schedule(shares.repartition(tasks, "begin")).join(sizes, "name")
+    held = stored(plan.withColumn("held", F.least(F.lit(block_rows), F.col("rows") - F.col("block") * block_rows)), "mix-schedule")
+    cycles = held.groupBy("begin").agg(F.sum("held").alias("all"))
+    earlier = Window.orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)  # a row per cycle
+    begins = cycles.select("begin", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("rows_before"))
+    within = Window.partitionBy("begin").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("rows_before") + F.coalesce(F.sum("held").over(within), F.lit(0))
+    return held.join(begins, "begin").select("name", "block", "slot", "released", "due", before.alias("before"))
 
-    Rows of a source are taken in the order of md5(doc_id), doc_id; mix_block numbers its blocks of
-    block_rows rows. in_mix says that the row stands before the first slot that a source can no longer
-    fill with a whole block: up to there every source holds its weight to less than a block. mix_position
-    orders the rows; it is gapless where in_mix. Columns of docs with one of these names are replaced.
 
-    Nulls: a null source is the source ''; a null doc_id is ordered like an empty one. Rows with equal
-    doc_id and source are interchangeable. Sources without weight get nulls and are not in the mix. An
-    empty table gives no rows. Ranks are taken in cells of a source, so a source of any size is dealt
-    over many tasks; what grows with the data is one count per source and cell.
-    """
-    added = ("mix_block", "mix_released", "mix_due", "mix_slot", "mix_position", "in_mix")
-    own = [c for c in docs.columns if c not in added]
+def _ranked(docs: DataFrame, own: list[str], weights: dict[str, int] | None) -> tuple[DataFrame, DataFrame]:
+    """The rows with __name, __rank within their source and __target (null without weight); the targets."""
     named = docs.select(*own).withColumn("__name", F.coalesce(F.col("source").cast("string"), F.lit("")))
     rows = named.withColumn("__order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     total = docs.count()
@@ -104,13 +179,7 @@ def mix_sources(
     rows = rows.withColumn("__cell", F.substring("__order", 1, digits))
     cells = stored(rows.groupBy("__name", "__cell").agg(F.count("*").alias("n")), "mix-cells")
     counts = cells.groupBy(F.col("__name").alias("name")).agg(F.sum("n").alias("n"))
-    length = max(cycle, 4 * counts.count())
-    slots = stored(source_slots(counts, weights, length), "mix-slots")
-    schedule = stored(cycle_schedule(slots, length), "mix-schedule")
-
-    missing = slots.withColumn("k", F.floor(F.col("n") / block_rows))
-    at = missing.join(schedule.drop("p"), (missing["name"] == schedule["name"]) & (F.col("k") % F.col("p") == F.col("j")))
-    end = at.agg(F.min(F.floor(F.col("k") / F.col("p")) * length + F.col("slot"))).first()[0] or 0
+    targets = stored(source_targets(counts, weights), "mix-targets")
 
     before = Window.partitionBy("__name").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select("__name", "__cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
@@ -119,31 +188,60 @@ def mix_sources(
         rows.withColumn("__row", F.row_number().over(within) - 1)
         .join(offsets, ["__name", "__cell"])
         .withColumn("__rank", F.col("__before") + F.col("__row"))
-        .join(slots.select(F.col("name").alias("__name"), F.col("p").alias("__p")), "__name", "left")
-        .withColumn("mix_block", F.floor(F.col("__rank") / block_rows))
-        .withColumn("__j", F.col("mix_block") % F.col("__p"))
-        .withColumn("__start", F.floor(F.col("mix_block") / F.col("__p")) * length)
+        .join(targets.select(F.col("name").alias("__name"), F.col("target").alias("__target")), "__name", "left")
     )
-    placed = ranked.join(
-        schedule.select(F.col("name").alias("__name"), F.col("j").alias("__j"), "slot", "released", "due"),
-        ["__name", "__j"],
-        "left",
+    return ranked, targets
+
+
+def mix_sources(
+    docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, cycle: int = CYCLE
+) -> DataFrame:
+    """All rows of docs with mix_block, mix_released, mix_due, mix_slot, mix_position and in_mix.
+
+    Rows of a source are taken in the order of md5(doc_id), doc_id; mix_block numbers its blocks of
+    block_rows rows. in_mix says that the row is within its source's target (see source_targets); the
+    last block of a target may be a partial one. The surplus of all sources follows behind the mix, in
+    blocks of its own, each source by its share of the surplus. mix_position orders the rows and is
+    gapless. Columns of docs with one of these names are replaced.
+
+    Nulls: a null source is the source ''; a null doc_id is ordered like an empty one. Rows with equal
+    doc_id and source are interchangeable. Sources without weight get nulls and are not in the mix. An
+    empty table gives no rows. Ranks are taken in cells of a source, so a source of any size is dealt
+    over many tasks; what grows with the data is one count per source and cell, and one row per block.
+    """
+    added = ("mix_block", "mix_released", "mix_due", "mix_slot", "mix_position", "in_mix")
+    own = [c for c in docs.columns if c not in added]
+    ranked, targets = _ranked(docs, own, weights)
+    mix = _scheduled(targets.select("name", F.col("target").alias("rows")), block_rows, cycle)
+    rest = _scheduled(targets.select("name", (F.col("n") - F.col("target")).alias("rows")), block_rows, cycle)
+    sums = targets.agg(F.sum("target"), F.sum(_up(F.col("target"), block_rows))).first()
+    rows_in, slots_in = (x or 0 for x in sums)
+    shifted = rest.select(
+        "name", "block", *[(F.col(c) + slots_in).alias(c) for c in ("slot", "released", "due")], (F.col("before") + rows_in).alias("before")
     )
-    slot = F.col("__start") + F.col("slot")
+    places = mix.withColumn("in_mix", F.lit(True)).unionByName(shifted.withColumn("in_mix", F.lit(False)))
+    places = places.select(F.col("name").alias("__name"), F.col("in_mix").alias("__in"), F.col("block").alias("__block"), "slot", "released", "due", "before")
+
+    inside = F.coalesce(F.col("__rank") < F.col("__target"), F.lit(False))
+    at = F.when(inside, F.col("__rank")).otherwise(F.col("__rank") - F.col("__target"))
+    dealt = ranked.withColumn("__in", inside).withColumn("__at", at).withColumn("__block", _div(F.col("__at"), block_rows))
+    whole = F.when(F.col("__in"), F.lit(0).cast("long")).otherwise(_up(F.col("__target"), block_rows))
+    placed = dealt.join(places, ["__name", "__in", "__block"], "left")
     return placed.select(
         *own,
-        "mix_block",
-        (F.col("__start") + F.col("released")).alias("mix_released"),
-        (F.col("__start") + F.col("due")).alias("mix_due"),
-        slot.alias("mix_slot"),
-        (slot * block_rows + F.col("__rank") % block_rows).alias("mix_position"),
-        F.coalesce(slot < end, F.lit(False)).alias("in_mix"),
+        (F.col("__block") + whole).alias("mix_block"),
+        F.col("released").alias("mix_released"),
+        F.col("due").alias("mix_due"),
+        F.col("slot").alias("mix_slot"),
+        (F.col("before") + F.col("__at") % block_rows).alias("mix_position"),
+        F.col("__in").alias("in_mix"),
     )
 
 
 def mixed(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
     """The rows of docs that are in the mix, with the columns of docs.
 
-    Rows beyond the point where a source runs out are the surplus over the target weights and go.
+    Only the rows by which a source exceeds its own target go.
     """
-    return mix_sources(docs, weights).where("in_mix").select(*docs.columns)
+    ranked, _ = _ranked(docs, docs.columns, weights)
+    return ranked.where(F.col("__rank") < F.col("__target")).select(*docs.columns)
