@@ -321,6 +321,30 @@ def test_collisions_follow_the_weighted_jaccard():
     assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.09
 
 
+def test_fingerprints_tell_all_words_apart():
+    work = Sampler()
+    a, b = (" ".join(f"{k}{i}" for i in range(20_000)) for k in "xy")
+    assert likeness(work.fingerprint(a), work.fingerprint(b)) <= 2 / 64
+    words = [f"w{i}" for i in range(1500)]
+    assert len({work.fingerprint(w) for w in words}) == len(words)
+    small = Sampler(kept=256)  # what is kept, and the order of words, change nothing
+    text = " ".join(words + words[:700])
+    assert small.fingerprint(text) == work.fingerprint(text) == work.fingerprint(" ".join(reversed(text.split())))
+
+
+def test_collisions_over_many_vocabularies():
+    """One vocabulary of 120 words has 64 fixed samples, so its own mean is off by some 0.035; theirs together is not."""
+    work, off = Sampler(), []
+    for letter in "abcdefghijklmnopqrstuvwxyz!#$%&*+-/:;=?@":
+        rng = random.Random(7)
+        for _ in range(20):
+            a = Counter(rng.choices(range(60), k=120))
+            b = a + Counter(rng.choices(range(60, 120), k=rng.randint(0, 200)))
+            x, y = (" ".join(f"{letter}{k}" for k in c.elements()) for c in (a, b))
+            off.append(likeness(work.fingerprint(x), work.fingerprint(y)) - sum((a & b).values()) / sum((a | b).values()))
+    assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.09
+
+
 def test_crc_matches(spark):
     raw = ids_of("x y z")
     assert spark.createDataFrame([(raw,)], "ids binary").select(F.crc32("ids")).first()[0] == zlib.crc32(raw)
