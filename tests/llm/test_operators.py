@@ -74,6 +74,18 @@ def test_trie_finds_what_all_pairs_find():
         assert got == want and want
 
 
+def test_join_counts_a_link_once_where_blocks_are_empty(spark, monkeypatch):
+    rng, rows = random.Random(8), []
+    for group in range(12):
+        words = [f"g{group}w{i}" for i in range(60)]
+        for _ in range(3):
+            rows.append((len(rows), " ".join(words + [f"n{rng.random()}"])))
+    monkeypatch.setattr("tillroll.llm.ngram_join.BLOCK_NGRAMS", 50)  # four blocks for three sets
+    found = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["n_links"] for r in found} == {2}
+    assert all(r["component_id"] == r["doc_id"] // 3 * 3 for r in found)
+
+
 def test_language(spark, docs, nothing):
     rng = random.Random(1)
     words = {"en": ["the", "and", "thing", "when"], "de": ["der", "und", "nicht", "über"], "fr": ["les", "été", "où", "dans"]}

@@ -254,7 +254,8 @@ def _join_block(threshold: int):
                 x = root[x]
             return x
 
-        if len(ids) > 1:
+        across = pdf["i"].iloc[0] != pdf["j"].iloc[0]  # pairs within a block are the task (i, i)'s
+        if len(ids) > 1 and not (across and pdf["side"].nunique() == 1):
             sets = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
             here, copies = pdf["group_key"].iloc[0], pdf["copies"].to_numpy()
             groups = [set(x) for x in pdf["groups"]]
