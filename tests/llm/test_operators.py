@@ -369,3 +369,15 @@ def test_encoder_cuts_only_where_the_tokenizer_does():
     texts = ["", "\n", "a\n", "\na", " \n a", "a\n\nb", "a\n\n\nb", "a\n\tb\n 'sx", "x.\nY!! z\r\nq", "a\n\x1cb"]
     texts += ["".join(draw.choices("ab'sZé .,\n\t\r\x1c  1", k=draw.randint(0, 14))) for _ in range(5000)]
     assert [own.encode(x) for x in texts] == own._whole(texts)
+
+
+def test_special_tokens_are_one_id():
+    """Against a tokenizer as the file loads it."""
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(default_tokenizer()), encoder(default_tokenizer())
+    assert np.frombuffer(own.encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    draw = random.Random(9)
+    parts = ["<|endoftext|>", "<|endoftext", "a", "B.", " ", "  ", "\n", "\t", "é", "|>"]
+    texts = ["".join(draw.choices(parts, k=draw.randint(0, 9))) for _ in range(3000)]
+    assert [np.frombuffer(own.encode(x), "<u4").tolist() for x in texts] == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]

@@ -32,7 +32,9 @@ class Encoder:
     words, cut there (a word behind a line end begins with it). Words recur: each is kept. When
     a store is full it becomes the older one, in place of the last, and a new one is begun; what is used
     again moves there, so that rare words go and common ones stay. Letters and the punctuation behind them are two pieces,
-    which the model encodes without another look at the expression. Other tokenizers get whole texts.
+    which the model encodes without another look at the expression. Texts that hold the string of an added
+    token, such as <|endoftext|>, are encoded whole: it is one id, and cuts the text before and behind it.
+    Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
@@ -40,9 +42,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         plan = json.loads(self.tokenizer.to_str())
         before, model = plan["pre_tokenizer"] or {}, plan["model"]
+        added = [re.escape(x["content"]) for x in plan["added_tokens"]]
+        self.added = re.compile("|".join(added)) if added else None  # one in a text ends the piece before it
         self.by_parts = (
             plan["normalizer"] is None
             and before.get("type") == "ByteLevel"
@@ -93,7 +96,7 @@ class Encoder:
         self.words.update(zip(others, self._whole([w if w[0] == "\n" else f" {w}" for w in others])))
 
     def encode(self, text: str) -> bytes:
-        if not self.by_parts:
+        if not self.by_parts or (self.added and self.added.search(text)):
             return self._whole([text])[0]
         odd = _ODD_SPACE.search(text)
         first, *rest = _INNER_SPACE.split(text) if odd else _LINE_END.sub(" \n", text).split(" ")
