@@ -16,9 +16,12 @@ from tillroll.llm.ngram_join import ngram_jaccard_join
 from tillroll.llm.oracle import LLM_SQL
 from tillroll.llm.packing import pack, token_pieces
 from tillroll.llm.secret_scan import BASE, count_of, scan_secrets, spans_text
+from tillroll.llm.shortest_pack import pack_documents
 from tillroll.llm.source_mix import mix_sources
+from tillroll.llm.spelling import spelling_variants
 from tillroll.llm.token_output import document_keys, write_tokens
 from tillroll.llm.toxicity import ToxicitySettings, fit_chain, predict_toxicity
+from tillroll.llm.whitening import whiten
 
 CATEGORIES = ["low_quality", "toxic"]
 
@@ -103,6 +106,18 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def shortest_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": ngram_join,
     "op2_language": language,
@@ -114,6 +129,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": token_output,
     "op9_packing": packing,
     "op10_fingerprints": fingerprints,
+    "op11_whitening": whitening,
+    "op12_spelling": spelling,
+    "op13_shortest_pack": shortest_pack,
     "pipeline": corpus_pipeline.run,
 }
 
