@@ -52,6 +52,22 @@ def test_ngram_join_keeps_one(docs, nothing):
     assert ngram_jaccard_join(nothing).count() == 0 and one_of_each(nothing).count() == 0
 
 
+def test_near_dedup_tells_texts_of_one_id_apart(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    other, third = " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60))
+    rows = [(1, base), (5, base + " more"), (5, other), (7, third), (7, third + " more"), (8, third + " less"), (None, base), (9, None)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, set_id int, text_key string").repartition(3)
+    kept = Counter((r["doc_id"], r["text"]) for r in one_of_each(docs).collect())
+    assert kept.pop((7, third), 0) + kept.pop((7, third + " more"), 0) == 1
+    assert kept == Counter([(1, base), (5, other), (None, base), (9, None)])
+
+
+def test_exact_dedup_keeps_clashing_columns(docs):
+    kept = without_copies(docs.withColumn("text_sha256", F.lit("own")).withColumn("keep_id", F.lit(1)))
+    assert kept.columns[-2:] == ["text_sha256", "keep_id"] and {r["text_sha256"] for r in kept.collect()} == {"own"}
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in without_copies(docs).collect())
+
+
 def test_trie_finds_what_all_pairs_find():
     rng = random.Random(4)
     base = [rng.sample(range(400), 60) for _ in range(5)]
@@ -265,6 +281,20 @@ def test_token_output(docs, nothing):
     assert write_tokens(nothing).read(document_keys(nothing)).count() == 0
 
 
+def test_token_output_of_many_blocks_and_wide_vocabularies(docs, monkeypatch):
+    monkeypatch.setattr("tillroll.llm.token_output.BLOCK_BYTES", 64)
+    monkeypatch.setattr("tillroll.llm.token_output.SHARD_BYTES", 512)
+    wide = write_tokens(docs, width=4)
+    assert wide.payload.select("shard").distinct().count() > 1 and wide.payload.count() > 4
+    found = sorted(((r["start"], r["n_tokens"], bytes(r["ids"])) for r in wide.read(document_keys(docs)).collect()))
+    at = 0
+    for (start, n, raw), (_, text, *_) in zip(found, sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))):
+        assert (start, n, raw) == (at, len(raw) // 4, ids_of(text))
+        at += n
+    with pytest.raises(Exception, match="does not fit"):
+        write_tokens(docs, width=1)
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**63, (2, 5000), dtype=np.uint64)

@@ -101,8 +101,11 @@ def exact_duplicates(docs: DataFrame, bucket_keys: int = BUCKET_KEYS, key_bits:
 
 def without_copies(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """docs without the rows that exact_duplicates drops; columns as given."""
-    dropped = exact_duplicates(docs, bucket_keys).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), "text_sha256").distinct()
-    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
-    return (
-        docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("__id")) & (sha == F.col("text_sha256")), "left_anti")
+    dropped = (
+        exact_duplicates(docs, bucket_keys)
+        .where(~F.col("kept"))
+        .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+        .distinct()
     )
+    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_anti")

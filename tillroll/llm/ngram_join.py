@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.graph import components
@@ -93,19 +93,24 @@ def _sets(words: int, threshold: int):
                     keep = max(np.searchsorted(grams, np.uint64(_LOW_END)), prefix_length(size, threshold))
                     lows.append(grams[:keep])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), _long_lists(lows)],
-                    ["doc_id", "n_shingles", "set_id", "first"],
+                    [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), _long_lists(lows)],
+                    ["doc_id", "text_key", "n_shingles", "set_id", "first"],
                 )
 
     return run
 
 
+def _text_key() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64("text")
+
+
 def ngram_sets(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, set_id (digest of the set; null if empty), first (its least n-grams by hash)."""
-    plain = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    """doc_id, text_key, n_shingles, set_id (digest of the set; null if empty), first (its least n-grams by hash)."""
+    plain = docs.select("doc_id", F.col("text").cast("binary").alias("text"), _text_key().alias("text_key"))
     kind = plain.schema["doc_id"].dataType.simpleString()
     return plain.mapInArrow(
-        _sets(words, threshold), f"doc_id {kind}, n_shingles long, set_id binary, first array<long>"
+        _sets(words, threshold), f"doc_id {kind}, text_key long, n_shingles long, set_id binary, first array<long>"
     )
 
 
@@ -291,18 +296,9 @@ def _full_sets(words: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """Components of documents whose n-gram sets overlap in `threshold` per cent of their union.
-
-    Returns doc_id, n_shingles, component_id (least doc_id reachable by links, its own included),
-    n_links (other documents it is linked with; copies count). Every link is found: hashes decide, of 63
-    bits an n-gram and 128 a set.
-
-    Nulls: a null text counts as empty, an empty set is linked with nothing; a row without doc_id is
-    linked like others but lends no id to its component, so component_id is null if no row has one.
-    Repeated rows each come back. An empty table gives no rows. Columns other than doc_id and text are
-    not read.
-    """
+def _classes(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (see ngram_sets) and the classes of equal sets: set_id, component_id, n_links, stays (the least
+    doc_id of the class if it is the class of its component that stays, else null)."""
     docs = docs.select("doc_id", "text")
     sets = stored(ngram_sets(docs, words, threshold), "ngram-sets")
     classes = (
@@ -319,8 +315,10 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, threshold: int = THR
     blocks = members.groupBy("leader").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_NGRAMS)).cast("int").alias("n")
     )
+    large = stored(blocks.where("n > 1"), "large-groups")  # few and known by size, so members need not be shuffled
     dealt = (
-        members.join(blocks, "leader")
+        members.join(large, "leader", "left")
+        .withColumn("n", F.coalesce("n", F.lit(1)))
         .withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("n")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         .select(
@@ -347,20 +345,38 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, threshold: int = THR
 
     roots = components(ties, "set_id", "to_id").withColumnRenamed("node", "set_id")
     held = roots.join(classes, "set_id").select("set_id", "root", "least_id")
-    lowest = held.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    joined = held.join(lowest, "root").select("set_id", "component_id")
+    first = F.min(F.when(F.col("least_id").isNotNull(), F.struct("least_id", "set_id"))).alias("first")
+    joined = held.join(held.groupBy("root").agg(first), "root").select("set_id", "first")
     others = ties.groupBy("set_id").agg(F.sum("links").alias("links"))
+    alone = F.struct("least_id", "set_id")
     per_class = (
         classes.join(joined, "set_id", "left")
         .join(others, "set_id", "left")
+        .withColumn("first", F.coalesce("first", alone))
         .select(
             "set_id",
-            F.coalesce("component_id", "least_id").alias("component_id"),
+            F.col("first.least_id").alias("component_id"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+            F.when(F.col("first.set_id") == F.col("set_id"), F.col("least_id")).alias("stays"),
         )
     )
-    found = stored(per_class, "classes")  # a plain table, so that a class with very many copies can be split
-    return sets.select("doc_id", "n_shingles", "set_id").join(found, "set_id", "left").select(
+    return sets, stored(per_class, "classes")  # a plain table, so that a class with very many copies can be split
+
+
+def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """Components of documents whose n-gram sets overlap in `threshold` per cent of their union.
+
+    Returns doc_id, n_shingles, component_id (least doc_id reachable by links, its own included),
+    n_links (other documents it is linked with; copies count). Every link is found: hashes decide, of 63
+    bits an n-gram and 128 a set.
+
+    Nulls: a null text counts as empty, an empty set is linked with nothing; a row without doc_id is
+    linked like others but lends no id to its component, so component_id is null if no row has one.
+    Repeated rows each come back. An empty table gives no rows. Columns other than doc_id and text are
+    not read.
+    """
+    sets, classes = _classes(docs, words, threshold)
+    return sets.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
@@ -371,12 +387,15 @@ def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, threshold: int = THR
 def one_of_each(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """The documents without all but the least doc_id of each component; columns and rows as given.
 
-    Documents without words are in no group and stay. Rows without doc_id stay.
+    A row goes by its own text: where a doc_id has several texts, those that are linked with nothing stay, and
+    of linked texts with the least doc_id one set stays. Documents without words are in no group and stay.
+    Rows without doc_id stay. Equal rows, and rows of equal sets with the least doc_id, stay or go together.
     """
+    sets, classes = _classes(docs, words, threshold)
     dropped = (
-        ngram_jaccard_join(docs, words, threshold)
-        .where(F.col("doc_id") != F.col("component_id"))
-        .select(F.col("doc_id").alias("__dropped"))
+        sets.join(classes, "set_id")
+        .where(F.col("doc_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("stays")))
+        .select(F.col("doc_id").alias("__dropped"), F.col("text_key").alias("__key"))
         .distinct()
     )
-    return docs.join(dropped, docs["doc_id"] == F.col("__dropped"), "left_anti")
+    return docs.join(dropped, (docs["doc_id"] == F.col("__dropped")) & (_text_key() == F.col("__key")), "left_anti")

@@ -24,57 +24,68 @@ from tillroll.llm.scratch import shared_folder, stored
 from tillroll.llm.token_ids import END_ID, default_tokenizer, encoder
 
 BLOCK_BYTES = 1 << 20
+SHARD_BYTES = 1 << 28
 PART_KEYS = 1024
 LEVELS = 40
 
 
-def _shards(path: str, width: int):
+def _encoded(path: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
-        shard, block, at = TaskContext.get().partitionId(), 0, 0
-        payload, ids, places, lengths, repeats, size = [], [], [], [], [], 0
-        before, repeat = object(), 0
-
-        def written() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([shard], pa.int32()),
-                    pa.array([block], pa.int32()),
-                    pa.array([places[0]], pa.int64()),
-                    pa.array([b"".join(payload)], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, id_type)),
-                    pa.array([repeats], pa.list_(pa.int32())),
-                    pa.array([places], pa.list_(pa.int64())),
-                    pa.array([lengths], pa.list_(pa.int64())),
-                ],
-                ["shard", "block", "first", "payload", "doc_ids", "repeats", "places", "lengths"],
-            )
-
+        own = encoder(path)
+        size = max(own.tokenizer.get_vocab_size(), END_ID + 1)
+        if size > 1 << 8 * width:
+            raise ValueError(f"a vocabulary of {size} ids does not fit into {width} bytes an id")
+        end = np.array([END_ID], f"<u{width}").tobytes()
         for batch in batches:
-            id_type = batch.schema.field(0).type
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                key = doc_id.as_py()
-                repeat = repeat + 1 if key == before else 0
-                before = key
-                found = np.append(np.frombuffer(encode(text.as_py()), "<u4"), np.uint32(END_ID))
-                raw = found.astype(f"<u{width}").tobytes()
-                payload.append(raw)
-                size += len(raw)
-                ids.append(key)
-                repeats.append(repeat)
-                places.append(at)
-                lengths.append(len(found))
-                at += len(found)
-                if size >= BLOCK_BYTES:
-                    yield written()
-                    block += 1
-                    payload, ids, places, lengths, repeats, size = [], [], [], [], [], 0
-        if ids:
-            yield written()
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                ids = [np.frombuffer(own.encode(text.as_py()), "<u4").astype(f"<u{width}").tobytes() + end for text in part.column(1)]
+                sizes = pa.array([len(x) // width for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), sizes], ["doc_id", "ids", "n_tokens"])
 
     return run
 
 
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of one shard from its documents in order."""
+    shard, block, at = TaskContext.get().partitionId(), 0, 0
+    payload, ids, places, lengths, repeats, size = [], [], [], [], [], 0
+    before, repeat = object(), 0
+
+    def written() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([shard], pa.int32()),
+                pa.array([block], pa.int32()),
+                pa.array([places[0]], pa.int64()),
+                pa.array([b"".join(payload)], pa.binary()),
+                pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, id_type)),
+                pa.array([repeats], pa.list_(pa.int32())),
+                pa.array([places], pa.list_(pa.int64())),
+                pa.array([lengths], pa.list_(pa.int64())),
+            ],
+            ["shard", "block", "first", "payload", "doc_ids", "repeats", "places", "lengths"],
+        )
+
+    for batch in batches:
+        id_type = batch.schema.field(0).type
+        for key, raw, n in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+            repeat = repeat + 1 if key == before else 0
+            before = key
+            payload.append(raw)
+            size += len(raw)
+            ids.append(key)
+            repeats.append(repeat)
+            places.append(at)
+            lengths.append(n)
+            at += n
+            if size >= BLOCK_BYTES:
+                yield written()
+                block += 1
+                payload, ids, places, lengths, repeats, size = [], [], [], [], [], 0
+    if ids:
+        yield written()
+
+
 def _mix(a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = a ^ (b * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level + 1) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -136,13 +147,14 @@ def _build_part(pdf: pd.DataFrame) -> pd.DataFrame:
             "bits": [bits],
             "fingerprints": [_fingerprint(a, b)[order].astype("<u4").tobytes()],
             "shards": [pdf["shard"].to_numpy()[order].astype("<u4").tobytes()],
+            "blocks": [pdf["block"].to_numpy()[order].astype("<u4").tobytes()],
             "places": [pdf["place"].to_numpy()[order].astype("<u8").tobytes()],
             "lengths": [pdf["n_tokens"].to_numpy()[order].astype("<u8").tobytes()],
         }
     )
 
 
-_INDEX = "part long, levels array<int>, bits binary, fingerprints binary, shards binary, places binary, lengths binary"
+_INDEX = "part long, levels array<int>, bits binary, fingerprints binary, shards binary, blocks binary, places binary, lengths binary"
 
 
 def _with_keys(df: DataFrame, parts: int) -> DataFrame:
@@ -156,11 +168,11 @@ def _with_keys(df: DataFrame, parts: int) -> DataFrame:
 class TokenFiles:
     """Shard files, their index, and keyed access to both."""
 
-    def __init__(self, payload: DataFrame, index: DataFrame, starts: DataFrame, parts: int, width: int):
-        self.payload, self.index, self.starts, self.parts, self.width = payload, index, starts, parts, width
+    def __init__(self, payload: DataFrame, index: DataFrame, starts: DataFrame, parts: int, width: int, name: str):
+        self.payload, self.index, self.starts, self.parts, self.width, self.name = payload, index, starts, parts, width, name
 
     def find(self, keys: DataFrame) -> DataFrame:
-        """doc_id, repeat, shard, place, n_tokens of the keys (doc_id, repeat) that were written.
+        """doc_id, repeat, shard, block, place, n_tokens of the keys (doc_id, repeat) that were written.
 
         repeat numbers the documents of one doc_id from 0.
         """
@@ -169,7 +181,7 @@ class TokenFiles:
 
         def look_up(pdf: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
             if not len(pdf) or not len(part):
-                return pd.DataFrame({c: [] for c in ("doc_id", "repeat", "shard", "place", "n_tokens")})
+                return pd.DataFrame({c: [] for c in ("doc_id", "repeat", "shard", "block", "place", "n_tokens")})
             row = part.iloc[0]
             a, b = _keys(pdf)
             slots = find_slots(a, b, list(row["levels"]), row["bits"])
@@ -177,44 +189,43 @@ class TokenFiles:
             hit = (slots >= 0) & (known[slots] == _fingerprint(a, b))
             at = slots[hit]
             out = pdf.loc[hit, ["doc_id", "repeat"]].reset_index(drop=True)
-            for name, column, width in (("shard", "shards", "<u4"), ("place", "places", "<u8"), ("n_tokens", "lengths", "<u8")):
+            for name, column, width in (("shard", "shards", "<u4"), ("block", "blocks", "<u4"), ("place", "places", "<u8"), ("n_tokens", "lengths", "<u8")):
                 out[name] = np.frombuffer(row[column], width)[at].astype(np.int64)
             return out
 
         return (
             asked.groupBy("part")
             .cogroup(self.index.groupBy("part"))
-            .applyInPandas(look_up, f"doc_id {kind}, repeat int, shard int, place long, n_tokens long")
+            .applyInPandas(look_up, f"doc_id {kind}, repeat int, shard int, block int, place long, n_tokens long")
         )
 
     def read(self, keys: DataFrame) -> DataFrame:
         """doc_id, repeat, start, n_tokens, ids (little-endian unsigned 32-bit) of the keys, from the files.
 
-        start counts the ids of all documents before. The shard files are bucketed by shard, so the places
-        come to the payload and the payload is not shuffled.
+        start counts the ids of all documents before. The shard files are bucketed by block, so the places
+        come to the payload, which is not shuffled, and a task holds one block at a time.
         """
         kind, width = keys.schema["doc_id"].dataType.simpleString(), self.width
-
-        def slice_out(places: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-            if not len(places):
-                return pd.DataFrame({c: [] for c in ("doc_id", "repeat", "shard", "place", "n_tokens", "ids")})
-            blocks = blocks.sort_values("first")
-            firsts, payloads = blocks["first"].to_numpy(), blocks["payload"].to_list()
-            found = []
-            for place, n in zip(places["place"].to_numpy(), places["n_tokens"].to_numpy()):
-                k = int(np.searchsorted(firsts, place, "right")) - 1
-                ids = np.frombuffer(payloads[k], f"<u{width}", int(n), int(place - firsts[k]) * width)
-                found.append(ids.astype("<u4").tobytes())
-            return places[["doc_id", "repeat", "shard", "place", "n_tokens"]].assign(ids=found)
-
-        blocks = self.payload.select("shard", "first", "payload")
+        names = ["doc_id", "repeat", "shard", "place", "n_tokens"]
+
+        def slice_out(places: pa.Table, blocks: pa.Table) -> pa.Table:
+            ids = []
+            if len(places):
+                first = blocks.column("first")[0].as_py()
+                raw = np.frombuffer(blocks.column("payload")[0].as_py(), f"<u{width}").astype("<u4").tobytes()
+                start = (places.column("place").to_numpy() - first) * 4
+                end = start + places.column("n_tokens").to_numpy() * 4
+                ids = [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
+            return places.select(names).append_column("ids", pa.array(ids, pa.binary()))
+
+        blocks = self.payload.select("shard", "block", "first", "payload")
         sliced = (
             self.find(keys)
-            .groupBy("shard")
-            .cogroup(blocks.groupBy("shard"))
-            .applyInPandas(slice_out, f"doc_id {kind}, repeat int, shard int, place long, n_tokens long, ids binary")
+            .groupBy("shard", "block")
+            .cogroup(blocks.groupBy("shard", "block"))
+            .applyInArrow(slice_out, f"doc_id {kind}, repeat int, shard int, place long, n_tokens long, ids binary")
         )
-        return sliced.join(F.broadcast(self.starts), "shard").select(
+        return sliced.join(self.starts, "shard").select(
             "doc_id", "repeat", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids"
         )
 
@@ -222,8 +233,10 @@ class TokenFiles:
 def write_tokens(docs: DataFrame, tokenizer: str | None = None, width: int = 2) -> TokenFiles:
     """Write the ids of every whole text and the end id in ascending doc_id order, and index them.
 
-    width: bytes per id, 2 for vocabularies of up to 65,536 ids and 4 for others. Rows of equal doc_id are
-    ordered by their text and numbered.
+    Texts are encoded where they stand; their ids go to the shards, so many that none holds more than
+    SHARD_BYTES (but for one long document or one doc_id). width: bytes per id, 2 for vocabularies of up to
+    65,536 ids and 4 for others; a vocabulary that does not fit raises. Rows of equal doc_id are ordered by
+    their ids and numbered. The blocks are a table of the session's catalog, named by `TokenFiles.name`.
 
     Nulls: a null text counts as empty (the end id alone); rows without doc_id come first and are found
     under a null key. An empty table gives files without documents. Other columns are not read.
@@ -231,36 +244,45 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, width: int = 2)
     spark = docs.sparkSession
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = plain.schema["doc_id"].dataType.simpleString()
+    encoded = stored(
+        plain.mapInArrow(_encoded(tokenizer or default_tokenizer(), width), f"doc_id {kind}, ids binary, n_tokens long"), "token-ids"
+    )
+    total = encoded.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("ids")).first()
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = total["ids"] * width
     made = (
-        plain.repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        encoded.repartitionByRange(max(1, -(-size // SHARD_BYTES), min(buckets, size // BLOCK_BYTES)), "doc_id")
+        .sortWithinPartitions("doc_id", "ids")
         .mapInArrow(
-            _shards(tokenizer or default_tokenizer(), width),
+            _shards,
             f"shard int, block int, first long, payload binary, doc_ids array<{kind}>, repeats array<int>, places array<long>, lengths array<long>",
         )
     )
     name = f"token_shards_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
-        made.write.bucketBy(buckets, "shard")
+        made.write.bucketBy(buckets, "shard", "block")
         .sortBy("shard", "block")
         .option("compression", "zstd")
         .option("path", f"{shared_folder(spark)}/{name}")
         .saveAsTable(name)
     )
     payload = spark.table(name)
-    entries = payload.select(
-        "shard", F.explode(F.arrays_zip("doc_ids", "repeats", "places", "lengths")).alias("e")
-    ).select("shard", F.col("e.doc_ids").alias("doc_id"), F.col("e.repeats").alias("repeat"), F.col("e.places").alias("place"), F.col("e.lengths").alias("n_tokens"))
-    per_shard = stored(entries.groupBy("shard").agg(F.sum("n_tokens").alias("ids"), F.count("*").alias("docs")), "shard-sizes")
+    zipped = F.explode(F.arrays_zip("doc_ids", "repeats", "places", "lengths")).alias("e")
+    entries = payload.select("shard", "block", zipped).select(
+        "shard",
+        "block",
+        F.col("e.doc_ids").alias("doc_id"),
+        F.col("e.repeats").alias("repeat"),
+        F.col("e.places").alias("place"),
+        F.col("e.lengths").alias("n_tokens"),
+    )
+    held = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    per_shard = stored(payload.groupBy("shard").agg(F.sum(held).alias("ids")), "shard-sizes")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     starts = per_shard.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
-    total = per_shard.agg(F.sum("docs")).first()[0] or 0
-    parts = max(1, -(-total // PART_KEYS))
-    index = stored(
-        _with_keys(entries, parts).groupBy("part").applyInPandas(_build_part, _INDEX), "token-index"
-    )
-    return TokenFiles(payload, index, starts, parts, width)
+    parts = max(1, -(-total["docs"] // PART_KEYS))
+    index = stored(_with_keys(entries, parts).groupBy("part").applyInPandas(_build_part, _INDEX), "token-index")
+    return TokenFiles(payload, index, starts, parts, width, name)
 
 
 def document_keys(docs: DataFrame) -> DataFrame:
