@@ -13,6 +13,7 @@ from tillroll.operators.recon import (
     match_google,
     match_paypal,
     recon_levels,
+    reconcile,
     settlement,
     vendor_reference_lists,
     within_dates,
@@ -131,8 +132,78 @@ def test_amazon_needs_the_subscription(spark):
 def test_amazon_lists_charges_that_no_payment_answers(spark):
     charges = [charge(1), charge(2, "other"), charge(3, sub=None), charge(4, " ")]
     rows = run(spark, match_amazon, [pay(1), pay(2)], charges)
-    assert states(rows) == {"MATCHED": 2, "CHARGE_ONLY": 3}
+    assert states(rows) == {"MATCHED": 1, "PAYMENT_ONLY": 1, "CHARGE_ONLY": 3}
     assert {r.charge_id for r in rows if r.state == "CHARGE_ONLY"} == {2, 3, 4}
+    pair = next(r for r in rows if r.state == "MATCHED")
+    assert (pair.payment_id, pair.charge_id, pair.charge_amount) == (1, 1, Decimal("1"))
+
+
+def test_amazon_serves_the_payment_whose_window_closes_first(spark):
+    def day(n):
+        return START + timedelta(days=n)
+
+    payments = [pay(1, at=day(0)), pay(2, at=day(1)), pay(3, at=day(2))]
+    charges = [charge(1, at=day(1)), charge(2, at=day(2)), charge(3, at=day(3))]
+    rows = run(spark, match_amazon, payments, charges)
+    assert {(r.payment_id, r.charge_id) for r in rows} == {(1, 1), (2, 2), (3, 3)}
+
+
+def most_pairs(payments, charges, days):
+    """A maximum matching by augmenting paths."""
+    answer = {}
+
+    def place(i, seen):
+        for j, other in enumerate(charges):
+            if abs(payments[i] - other) <= days and j not in seen:
+                seen.add(j)
+                if j not in answer or place(answer[j], seen):
+                    answer[j] = i
+                    return True
+        return False
+
+    return sum(place(i, set()) for i in range(len(payments)))
+
+
+@pytest.mark.parametrize("days", [0, 1, 3])
+def test_amazon_pairs_are_as_many_as_can_be(spark, days):
+    rng = random.Random(days)
+    sides = {"p": [], "c": []}
+    for sub in range(1, 41):  # subscription 1 holds a third of all rows
+        span, many = rng.choice([2, 6, 30]), 240 if sub == 1 else rng.randint(0, 12)
+        for side in sides:
+            sides[side] += [(sub, rng.randrange(span)) for _ in range(many)]
+
+    def at(n):
+        return START + timedelta(days=n, seconds=rng.randrange(86400))
+
+    payments = [pay(i, sub=sub, at=at(n)) for i, (sub, n) in enumerate(sides["p"])]
+    charges = [charge(i, sub=sub, at=at(n)) for i, (sub, n) in enumerate(sides["c"])]
+    rows = match_amazon(
+        spark.createDataFrame(payments, PAYMENT).repartition(3),
+        spark.createDataFrame(charges, CHARGE).repartition(3),
+        days,
+    ).collect()
+    pairs = [(r.payment_id, r.charge_id) for r in rows if r.state == "MATCHED"]
+    assert len({p for p, _ in pairs}) == len({c for _, c in pairs}) == len(pairs)
+    for p, c in pairs:
+        (one, day), (other, answered) = sides["p"][p], sides["c"][c]
+        assert one == other and abs(day - answered) <= days
+    most = 0
+    for sub in range(1, 41):
+        most += most_pairs(*[[n for s, n in sides[k] if s == sub] for k in "pc"], days)
+    assert len(pairs) == most
+    assert states(rows)["PAYMENT_ONLY"] == len(payments) - most
+    assert states(rows)["CHARGE_ONLY"] == len(charges) - most
+
+
+def test_reconcile_leaves_charges_of_other_providers_out(spark):
+    payments = spark.createDataFrame([pay(1, "a"), pay(2, "b")], PAYMENT)
+    charges = [(*charge(1, "a"), "amazon"), (*charge(2, "b"), "Google"), (*charge(3, "c"), None)]
+    scoped = spark.createDataFrame(charges, f"{CHARGE}, payment_provider string")
+    rows = reconcile("Amazon", payments, scoped).collect()
+    assert {(r.payment_id, r.charge_id) for r in rows} == {(1, 1), (2, None)}
+    with pytest.raises(ValueError):
+        reconcile("Amazon", payments, scoped.drop("payment_provider"))
 
 
 def test_a_date_range_keeps_pairs_over_its_edge(spark):

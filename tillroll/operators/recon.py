@@ -3,12 +3,12 @@
 A match is one to one: the n-th payment of a match key pairs with its n-th charge, so two equal
 charges need two payments. Both sides are numbered within the key (cell by cell, see `ordered`) and
 joined on key and number, which no hot key can skew. A NULL or blank reference identifies nothing:
-its rows are unmatched and never shuffled into one group. Charges of other providers come out as
-CHARGE_ONLY, so pass the provider's own.
+its rows are unmatched and never shuffled into one group. A matcher lists every charge it is given, so
+charges of other providers come out as CHARGE_ONLY: `reconcile` cuts them to the provider's own.
 
 Payments: payment_id, merchant_account, record_type, psp_reference, merchant_reference,
 invoice_number, event_code, product_id, subscription_id, amount, currency, utc_timestamp.
-Charges: charge_id, merchant_account, transaction_type, psp_reference, vendor_reference_id,
+payment_id and charge_id are unique. Charges: charge_id, merchant_account, transaction_type, psp_reference, vendor_reference_id,
 merchant_reference, invoice_id, product_id, subscription_id, amount, currency, charged_timestamp.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.money import RATE, TOTAL
 from tillroll.functions.text import blank_to_null, by_value
+from tillroll.operators.intervals import pair_within_days
 from tillroll.operators.lookups import unique_lookup
 from tillroll.operators.ordered import exact_quantiles, hour_bucket, position
 
@@ -200,63 +201,33 @@ def match_google(payments: DataFrame, charges: DataFrame) -> DataFrame:
     return _detail(_merged(pairs))
 
 
-def _answered(rows: DataFrame, others: DataFrame, days: int) -> DataFrame:
-    """`rows` with `_found`, true where the other side has the same subscription and reference within
-    `days` of the row's recon_date.
-
-    The other side is kept as distinct (subscription, reference, day) rows, each offered to its
-    neighbouring days, so the day window is a plain equi-join whose cost does not grow with the length
-    of a subscription's history. Rows without a subscription or a reference are not found.
-    """
-    keys = ["subscription_id", "psp_reference", "recon_date"]
-    whole = _reference("psp_reference").isNotNull() & F.col("subscription_id").isNotNull()
-    around = F.array(*[F.date_add("recon_date", n) for n in range(-days, days + 1)])
-    offered = (
-        others.where(whole)
-        .select(*keys)
-        .distinct()
-        .withColumn("recon_date", F.explode(around))
-        .distinct()
-        .withColumn("_found", F.lit(True))
-    )
-    return (
-        rows.where(whole)
-        .join(offered, keys, "left")
-        .unionByName(rows.where(~whole), allowMissingColumns=True)
-    )
-
-
 def match_amazon(payments: DataFrame, charges: DataFrame, days: int = 1) -> DataFrame:
-    """A payment matches when its reference is among its subscription's vendor references within
-    `days` of the payment day. Charges that no payment answers in this way are listed too; those that
-    one answers are not, as their payment's row stands for them."""
-    shared = ("subscription_id", "merchant_account", "product_id")
+    """A payment matches a charge of its subscription whose vendor reference is the payment's and whose day
+    is at most `days` from the payment's day, one to one: as many pairs as can be (see `intervals`). A pair
+    is one row, dated by the payment. Payments without subscription or reference match nothing, charges
+    neither."""
+    keys = ["subscription_id", "_reference"]
     paid = payments.select(
-        *shared,
-        F.col("utc_timestamp").cast("date").alias("recon_date"),
-        "payment_id",
-        "psp_reference",
-        "record_type",
-        F.col("amount").alias("payment_amount"),
+        "subscription_id",
+        _reference("psp_reference").alias("_reference"),
+        F.col("payment_id").alias("_id"),
+        F.col("utc_timestamp").alias("_at"),
     )
     charged = charges.select(
-        *shared,
-        F.col("charged_timestamp").cast("date").alias("recon_date"),
-        "charge_id",
-        F.col("vendor_reference_id").alias("psp_reference"),
-        F.col("transaction_type").alias("record_type"),
-        F.col("amount").alias("charge_amount"),
+        "subscription_id",
+        _reference("vendor_reference_id").alias("_reference"),
+        F.col("charge_id").alias("_id"),
+        F.col("charged_timestamp").alias("_at"),
     )
-    state = F.when(F.col("_found"), MATCHED).otherwise(PAYMENT_ONLY)
-    of_payments = _answered(paid, charged, days).withColumn("state", state)
-    of_charges = (
-        _answered(charged, paid, days)
-        .where(F.col("_found").isNull())
-        .withColumn("state", F.lit(CHARGE_ONLY))
+    whole = F.col("subscription_id").isNotNull() & F.col("_reference").isNotNull() & F.col("_at").isNotNull()
+    pairs = pair_within_days(paid.where(whole), charged.where(whole), keys, "_at", "_id", days).select(
+        F.col("_id_left").alias("payment_id"), F.col("_id_right").alias("charge_id")
     )
-    return of_payments.unionByName(of_charges, allowMissingColumns=True).select(
-        "recon_date",
-        "state",
+    answers = charges.select("charge_id", F.col("amount").alias("charge_amount"))
+    answered = pairs.join(answers, "charge_id")
+    of_payments = payments.join(answered, "payment_id", "left").select(
+        F.col("utc_timestamp").cast("date").alias("recon_date"),
+        F.when(F.col("charge_id").isNotNull(), MATCHED).otherwise(PAYMENT_ONLY).alias("state"),
         "payment_id",
         "charge_id",
         "subscription_id",
@@ -264,9 +235,44 @@ def match_amazon(payments: DataFrame, charges: DataFrame, days: int = 1) -> Data
         "merchant_account",
         "record_type",
         "product_id",
-        "payment_amount",
+        F.col("amount").alias("payment_amount"),
         "charge_amount",
     )
+    of_charges = charges.join(pairs.select("charge_id"), "charge_id", "left_anti").select(
+        F.col("charged_timestamp").cast("date").alias("recon_date"),
+        F.lit(CHARGE_ONLY).alias("state"),
+        "charge_id",
+        "subscription_id",
+        F.col("vendor_reference_id").alias("psp_reference"),
+        "merchant_account",
+        F.col("transaction_type").alias("record_type"),
+        "product_id",
+        F.col("amount").alias("charge_amount"),
+    )
+    return of_payments.unionByName(of_charges, allowMissingColumns=True)
+
+
+MATCHERS = {
+    "Adyen": match_adyen,
+    "PayPal": match_paypal,
+    "Google": match_google,
+    "Amazon": match_amazon,
+}
+
+
+def reconcile(provider: str, payments: DataFrame, charges: DataFrame) -> DataFrame:
+    """The provider's payments against its own charges: those whose payment_provider it is, in any case.
+    Charges without a provider belong to none. Payments are the provider's own; where they have a
+    payment_provider too, they are cut in the same way."""
+
+    def own(rows: DataFrame) -> DataFrame:
+        if "payment_provider" not in rows.columns:
+            return rows
+        return rows.where(F.lower("payment_provider") == provider.lower())
+
+    if "payment_provider" not in charges.columns:
+        raise ValueError("charges have no payment_provider")
+    return MATCHERS[provider](own(payments), own(charges))
 
 
 def within_dates(detail: DataFrame, first: date, last: date) -> DataFrame:

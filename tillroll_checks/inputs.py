@@ -433,6 +433,32 @@ select o_orderkey + 1 as payment_id, {pick("o_custkey", ACCOUNTS)} as merchant_a
 from {{orders}}
 """
 
+VIEWS["provider_charges"] = f"""
+select c.*, {pick("charge_id", ["Adyen", "PayPal", "Google", "Amazon"])} as payment_provider
+from ({VIEWS["charges"]}) c
+"""
+
+# Few subscriptions, each with one reference, and few days: many equal rows compete for each other. Every
+# seventh charge has no payment, every fifth payment comes two days late.
+CROWDED_AT = "cast('1996-01-01 00:00:00' as timestamp) + interval '1' day * (o_custkey % 97)"
+VIEWS["crowded_charges"] = f"""
+select c.charge_id, c.merchant_account, c.transaction_type, c.psp_reference,
+  concat('v', cast(o_orderkey % 23 as string)) as vendor_reference_id, c.merchant_reference,
+  c.invoice_id, c.product_id, o_orderkey % 23 as subscription_id, c.amount, c.currency,
+  {CROWDED_AT} + interval '1' second * (o_orderkey % 86400) as charged_timestamp
+from ({VIEWS["charges"]}) c join {{orders}} on o_orderkey = charge_id
+"""
+VIEWS["crowded_payments"] = f"""
+select p.payment_id, p.merchant_account, p.record_type,
+  concat('v', cast(o_orderkey % 23 as string)) as psp_reference, p.merchant_reference,
+  p.invoice_number, p.event_code, p.product_id, o_orderkey % 23 as subscription_id, p.amount,
+  p.currency, {CROWDED_AT} + interval '1' second * ((o_orderkey * 31) % 86400)
+    + interval '1' day * (case when o_custkey % 5 = 0 then 2 else o_orderkey % 3 - 1 end)
+    as utc_timestamp
+from ({VIEWS["psp_payments"]}) p join {{orders}} on o_orderkey + 1 = payment_id
+where o_orderkey % 7 <> 0
+"""
+
 # Authorised when the customer's order is made, settled or refunded when lines ship.
 VIEWS["delay_payments"] = f"""
 select 'acct' as merchant_account, 'Authorised' as record_type,

@@ -671,20 +671,38 @@ DETAILS = {
         "transaction_type",
         "vendor_reference_id",
     ),
-    "amazon": """, answer as (select payment_id, charge_id from psp_payments p join charges c
-        on c.subscription_id = p.subscription_id and c.vendor_reference_id = p.psp_reference
-      where trim(p.psp_reference) <> '' and abs(date_diff('day', cast(p.utc_timestamp as date),
-        cast(c.charged_timestamp as date))) <= 1),
+    # Two pointers a key: the earliest open payment and charge pair if their days are close enough, else the
+    # earlier of the two is passed over.
+    "amazon": """, ap as (select payment_id, cast(utc_timestamp as date) as day, subscription_id as s,
+        psp_reference as r, row_number() over (partition by subscription_id, psp_reference
+          order by utc_timestamp, payment_id) as nr
+      from psp_payments where trim(psp_reference) <> '' and subscription_id is not null),
+    ac as (select charge_id, cast(charged_timestamp as date) as day, subscription_id as s,
+        vendor_reference_id as r, row_number() over (partition by subscription_id, vendor_reference_id
+          order by charged_timestamp, charge_id) as nr
+      from charges where trim(vendor_reference_id) <> '' and subscription_id is not null),
+    walk as (select s, r, cast(1 as bigint) as i, cast(1 as bigint) as j, cast(null as bigint) as payment_id,
+        cast(null as bigint) as charge_id from (select distinct s, r from ap) semi join ac using (s, r)
+      union all select w.s, w.r,
+        w.i + case when ac.day < ap.day - 1 then 0 else 1 end,
+        w.j + case when ap.day < ac.day - 1 then 0 else 1 end,
+        case when abs(date_diff('day', ap.day, ac.day)) <= 1 then ap.payment_id end,
+        case when abs(date_diff('day', ap.day, ac.day)) <= 1 then ac.charge_id end
+      from walk w join ap on ap.s = w.s and ap.r = w.r and ap.nr = w.i
+        join ac on ac.s = w.s and ac.r = w.r and ac.nr = w.j),
+    answer as (select payment_id, charge_id from walk where payment_id is not null),
     detail as (select cast(utc_timestamp as date) as recon_date,
-      case when payment_id in (select payment_id from answer) then 'MATCHED'
-        else 'PAYMENT_ONLY' end as state,
-      payment_id, cast(null as bigint) as charge_id, subscription_id, psp_reference,
-      merchant_account, record_type, product_id, amount as payment_amount,
-      cast(null as decimal(20,6)) as charge_amount from psp_payments
+      case when a.charge_id is not null then 'MATCHED' else 'PAYMENT_ONLY' end as state,
+      p.payment_id, a.charge_id, p.subscription_id, p.psp_reference,
+      p.merchant_account, p.record_type, p.product_id, p.amount as payment_amount,
+      c.amount as charge_amount
+      from psp_payments p left join answer a on a.payment_id = p.payment_id
+        left join charges c on c.charge_id = a.charge_id
     union all select cast(charged_timestamp as date), 'CHARGE_ONLY', null, charge_id,
       subscription_id, vendor_reference_id, merchant_account, transaction_type, product_id, null,
       amount from charges where charge_id not in (select charge_id from answer))""",
 }
+PROVIDERS = {"adyen": "Adyen", "paypal": "PayPal", "google": "Google", "amazon": "Amazon"}
 LEVELS = """ select cast(case when grouping(recon_date) = 1 then 0 when grouping(product_id) = 1
     then 1 else 2 end as int) as level, recon_date, merchant_account, record_type, product_id,
   count(*) filter (state = 'MATCHED') as matched,
@@ -699,6 +717,23 @@ for _name, _detail in DETAILS.items():
     )
     ORACLE[f"recon_{_name}_levels"] = with_views(["psp_payments", "charges"], _detail + LEVELS)
 
+ORACLE["recon_amazon_crowded"] = with_views(
+    ["crowded_payments", "crowded_charges"],
+    ", psp_payments as (select * from crowded_payments), charges as (select * from crowded_charges)"
+    + DETAILS["amazon"]
+    + " select * from detail",
+)
+for _name, _provider in PROVIDERS.items():
+    ORACLE[f"recon_{_name}_own"] = with_views(
+        ["psp_payments", "provider_charges"],
+        f""", charges as (select * from provider_charges where payment_provider = '{_provider}')"""
+        + DETAILS[_name]
+        + " select * from detail",
+    )
+
+for _name in [n for n in ORACLE if n.startswith("recon_amazon")]:
+    ORACLE[_name] = ORACLE[_name].replace("with ", "with recursive ", 1)
+
 ORACLE["recon_adyen_range"] = with_views(
     ["psp_payments", "charges"],
     DETAILS["adyen"]

@@ -331,12 +331,7 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return view(spark, d, "psp_payments"), view(spark, d, "charges")
 
 
-MATCHERS = {
-    "adyen": recon.match_adyen,
-    "paypal": recon.match_paypal,
-    "google": recon.match_google,
-    "amazon": recon.match_amazon,
-}
+MATCHERS = {name.lower(): matcher for name, matcher in recon.MATCHERS.items()}
 
 
 def _match(name: str, levels: bool) -> Query:
@@ -347,6 +342,24 @@ def _match(name: str, levels: bool) -> Query:
     return run
 
 
+def _own(provider: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        charges = view(spark, d, "provider_charges")
+        return recon.reconcile(provider, view(spark, d, "psp_payments"), charges)
+
+    return run
+
+
+for _name in recon.MATCHERS:
+    add(f"recon_{_name.lower()}_own", _own(_name))
+
+
+@query
+def recon_amazon_crowded(spark, d):
+    payments, charges = view(spark, d, "crowded_payments"), view(spark, d, "crowded_charges")
+    return recon.match_amazon(payments, charges)
+
+
 for _name in MATCHERS:
     add(f"recon_{_name}", _match(_name, levels=False))
     add(f"recon_{_name}_levels", _match(_name, levels=True))
