@@ -1,5 +1,6 @@
 """Loading files end to end: landing, fact, supersession, SKUs, monitor, audit."""
 
+import time
 from datetime import date, datetime
 
 import pytest
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 from tillroll.operators.accrual import AccrualLookups
 from tillroll.plans.load import FileLoad, load_file
 from tillroll.plans.refresh import Layers, monitor_of, refresh_accrual, refresh_skus
+from tillroll.operators.skus import sku_revenue, store_sales
 from tillroll.sources.schemas import COLLECTION_AUDIT, MONITOR_CONFIG, PAYMENTS, ddl, raw_widths
+from tillroll.sources.tables import LOGS, RevenueTables
 
 AS_OF = date(2024, 3, 1)
 
@@ -102,12 +105,22 @@ def test_a_failed_load_is_marked_and_can_be_repeated(tables, tmp_path):
     assert tables.read("typed_amazon").count() == 2
 
 
+def store(tables, rows, file_id, channel="Amazon"):
+    """Put payments in force as a load does."""
+    staged = tables.stage(channel, file_id, rows, sku_revenue(store_sales(rows)))
+    tables.publish(staged)
+
+
 def test_partitions_are_replaced_also_by_nothing(tables, spark, tmp_path):
     path = amazon_file(tmp_path, 5, [amazon_row(1)])
     load_file(tables, amazon_load(path, "d5"))
-    empty = spark.createDataFrame([], ddl(PAYMENTS))
-    tables.replace_partition("payments", empty, pmt_channel="Amazon", file_tx_id="d5")
+    store(tables, spark.createDataFrame([], ddl(PAYMENTS)), "d5")
     assert tables.read("payments").count() == 0
+    raw = spark.createDataFrame([], ddl(tables.schemas["raw_amazon"][0]))
+    tables.replace_partition("raw_amazon", raw, file_tx_id="d5")
+    assert tables.read("raw_amazon").count() == 0
+    with pytest.raises(ValueError):
+        tables.replace_partition("raw_amazon", raw)
 
 
 def test_file_ids_with_quotes_are_safe(tables, tmp_path):
@@ -237,14 +250,150 @@ def test_accrual_is_stored_per_day(tables, spark, tmp_path):
     assert stored[0].mv_last_updated is not None
 
 
-def test_readers_of_live_payments_never_see_a_replaced_file(tables, spark, tmp_path):
+def files_seen(tables):
+    """What readers see: by the method and by the view."""
+    by_view = tables.spark.table(tables.name("payments")).select("file_tx_id").distinct().collect()
+    by_method = tables.payments().select("file_tx_id").distinct().collect()
+    assert sorted(by_view) == sorted(by_method)
+    return sorted(r.file_tx_id for r in by_view)
+
+
+def test_readers_see_a_file_or_those_it_replaces(tables, spark, tmp_path):
     load_file(tables, amazon_load(amazon_file(tmp_path, 5, [amazon_row(1)]), "d5"))
-    load_file(tables, amazon_load(amazon_file(tmp_path, 6, [amazon_row(1)]), "d6"))
-    row = spark.createDataFrame(tables.read("payments").collect(), ddl(PAYMENTS))
-    tables.replace_partition("payments", row, pmt_channel="Amazon", file_tx_id="d5")
-    assert tables.read("payments").count() == 2
-    live = tables.live_payments().select(F.col("file_tx_id")).collect()
-    assert [r.file_tx_id for r in live] == ["d6"]
+    rows = spark.createDataFrame(tables.payments().collect(), ddl(PAYMENTS))
+    newer = rows.withColumn("file_tx_id", F.lit("d6"))
+    staged = tables.stage("Amazon", "d6", newer, sku_revenue(store_sales(newer)))
+    assert files_seen(tables) == ["d5"]  # a reader, or a load that died, between the two steps
+    gone = spark.createDataFrame([("Amazon", "d5")], "pmt_channel string, file_tx_id string")
+    tables.publish(staged, gone)
+    assert files_seen(tables) == ["d6"]
+    assert [r.file_tx_id for r in tables.sku_sales().collect()] == ["d6"]
+
+
+def test_vacuum_drops_what_is_not_in_force(tables, spark, tmp_path):
+    for day in (5, 6):
+        load_file(tables, amazon_load(amazon_file(tmp_path, day, [amazon_row(1)]), f"d{day}"))
+    rows = spark.createDataFrame(tables.payments().collect(), ddl(PAYMENTS))
+    tables.stage("Amazon", "died", rows, sku_revenue(store_sales(rows)))
+    raw = spark.table(tables.name("payments_store"))
+    assert raw.count() == 3
+    assert tables.vacuum(before=0) == 0
+    assert tables.vacuum(before=time.time_ns()) == 4  # payments and sums of d5 and of the load that died
+    assert spark.table(tables.name("payments_store")).count() == 1
+    assert files_seen(tables) == ["d6"] and tables.sku_sales().count() == 1
+
+
+def files_opened(df):
+    """How many data files the scan of the payments opened."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    opened = 0
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if "generation" in leaf.toString() and "record_key" in leaf.toString():
+            opened += leaf.metrics().apply("numFiles").value()
+    return opened
+
+
+def test_only_files_with_days_in_the_window_are_opened(tables, spark, tmp_path):
+    for month in range(1, 7):
+        row = {**amazon_row(month), "transaction_time": f"2024-{month:02d}-10 12:00:00 UTC"}
+        path = write_file(tmp_path, f"amazon_go_sales_2024-{month:02d}-28.csv", "amazon", [row])
+        load_file(tables, amazon_load(path, f"m{month}"))
+    days = {r.file_tx_id: (r.first_day, r.last_day, r.file_rows) for r in tables.file_sets().collect()}
+    assert days["m3"] == (date(2024, 3, 10), date(2024, 3, 10), 1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # its plan hides the scans
+    try:
+        assert files_opened(tables.payments().select("record_key", "file_tx_id")) == 6
+        some = tables.payments(date(2024, 3, 1), date(2024, 4, 30))
+        assert {r.file_tx_id for r in some.collect()} == {"m3", "m4"}
+        assert files_opened(some.select("record_key", "file_tx_id")) == 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def sku_flags(tables):
+    return sorted((r.sku_id, r.included_in_accrual_yn) for r in tables.skus().collect())
+
+
+def test_the_ledger_follows_reloads_and_supersession(tables, spark, tmp_path):
+    free, paid = amazon_row(1, sku="a.month", price="0"), amazon_row(2, sku="a.month", price="4")
+    other = amazon_row(3, sku="b.month", price="0")
+    load_file(tables, amazon_load(amazon_file(tmp_path, 5, [free, other]), "d5"))
+    assert sku_flags(tables) == [("a.month", "N"), ("b.month", "N")]
+    load_file(tables, amazon_load(amazon_file(tmp_path, 6, [paid, other]), "d6"))
+    assert sku_flags(tables) == [("a.month", "Y"), ("b.month", "N")]
+    sums = {(r.file_tx_id, r.sku_id): str(r.value) for r in tables.sku_sales().collect()}
+    assert sums == {("d6", "a.month"): "4.000000", ("d6", "b.month"): "0.000000"}
+    before = sku_flags(tables)
+    refresh_skus(tables)
+    assert sku_flags(tables) == before
+    # the file comes again with other rows: its sums are replaced, not added
+    tables.append("load_audit_log", tables.audit().where("file_tx_id = 'd6'").withColumns({
+        "status": F.lit("LOAD_ERROR"), "load_date_time": F.localtimestamp()}))
+    load_file(tables, amazon_load(amazon_file(tmp_path, 6, [{**other, "sales_price_marketplace_currency": "3"}]), "d6"))
+    assert {(r.file_tx_id, r.sku_id, str(r.value)) for r in tables.sku_sales().collect()} == {("d6", "b.month", "3.000000")}
+    assert sku_flags(tables) == [("a.month", "Y"), ("b.month", "Y")]
+
+
+def test_apple_returns_count_in_the_ledger(tables, tmp_path):
+    def load(file_id, units):
+        row = {"sku": "a.month", "units": units, "customer_price": "2", "begin_date": "1/5/2024",
+               "end_date": "1/6/2024", "subscription": "New"}
+        path = write_file(tmp_path, f"{file_id}.txt", "apple", [row], sep="\t")
+        load_file(tables, FileLoad("apple", "AMER", path, file_id, as_of=AS_OF))
+
+    load("f1", 0)
+    load("f2", -3)
+    load("f3", 2)
+    assert sku_flags(tables) == [("a.month", "N")]
+    load("f4", 2)
+    assert sku_flags(tables) == [("a.month", "Y")]
+
+
+def log_files(tables, log):
+    rows = tables.read(log).select(F.input_file_name().alias("f")).distinct()
+    return rows.count()
+
+
+def test_compaction_keeps_every_answer(tables, spark, tmp_path, monkeypatch):
+    for day in range(6, 9):
+        load_file(tables, amazon_load(amazon_file(tmp_path, day, [amazon_row(day)]), f"d{day}"))
+
+    def answers():
+        return [sorted(map(str, x.collect())) for x in (tables.audit(), tables.skus(), tables.file_sets(), tables.payments())]
+
+    before = answers()
+    assert log_files(tables, "load_audit_log") > 8
+    for log in LOGS:
+        tables.compact(log)
+        assert answers() == before and log_files(tables, log) <= 1
+    load_file(tables, amazon_load(amazon_file(tmp_path, 9, [amazon_row(9)]), "d9"))
+    assert files_seen(tables) == ["d9"] and statuses(tables)["d8"] == "SUPERSEDED"
+    before = answers()
+
+    class Died(Exception):
+        pass
+
+    real, turns = RevenueTables._turn, []
+
+    def die_at_the_switch(self, log, read_from, write_epoch):
+        turns.append(read_from)
+        if len(turns) == 2:
+            raise Died
+        real(self, log, read_from, write_epoch)
+
+    monkeypatch.setattr(RevenueTables, "_turn", die_at_the_switch)
+    with pytest.raises(Died):
+        tables.compact("load_audit_log")
+    monkeypatch.undo()
+    assert answers() == before
+    load_file(tables, amazon_load(amazon_file(tmp_path, 10, [amazon_row(10)]), "d10"))
+    before = answers()
+    for _ in range(2):
+        tables.compact("load_audit_log")
+        assert answers() == before and log_files(tables, "load_audit_log") == 1
+    assert spark.sql(f"SHOW PARTITIONS {tables.name('load_audit_log')}").count() == 2
 
 
 def test_a_sku_that_was_only_refunded_before_is_promoted_by_its_history(tables, tmp_path):
@@ -263,7 +412,7 @@ def test_refreshing_skus_finds_what_single_loads_missed(tables, spark, tmp_path)
     load_file(tables, amazon_load(amazon_file(tmp_path, 5, [amazon_row(1)]), "d5"))
     rows = tables.read("payments").collect()
     extra = spark.createDataFrame(rows, ddl(PAYMENTS)).withColumn("vendor_sku", F.lit("late.year"))
-    tables.replace_partition("payments", extra, pmt_channel="Amazon", file_tx_id="d6")
+    store(tables, extra.withColumn("file_tx_id", F.lit("d6")), "d6")
     refresh_skus(tables)
     refresh_skus(tables)
     assert sorted(r.sku_id for r in tables.skus().collect()) == ["go.plan.annual", "late.year"]

@@ -182,11 +182,6 @@ def _may_be_promoted() -> Column:
     )
 
 
-def promotable(sku_ref: DataFrame) -> DataFrame:
-    """Generated SKUs still left out that revenue may bring in."""
-    return sku_ref.where(_may_be_promoted())
-
-
 def store_sales(payments: DataFrame) -> DataFrame:
     """Payments of the three stores as SKU keys and absolute amounts; no filter on their type."""
     return payments.where(F.col("pmt_channel").isin(*STORE_CHANNELS)).select(
@@ -207,6 +202,12 @@ def apple_sales_values(apple: DataFrame) -> DataFrame:
     )
 
 
+def sku_revenue(sales: DataFrame) -> DataFrame:
+    """Sales as one sum per SKU, as the ledger of SKU sales keeps them for each file."""
+    known = sales.where(F.col("sku_id").isNotNull() & F.col("value").isNotNull())
+    return known.groupBy(*SKU_KEY).agg(F.sum("value").cast(TOTAL).alias("value"))
+
+
 def _earning(sales: DataFrame) -> DataFrame:
     """SKUs with revenue. Sales shrink to one row per SKU before they meet the reference, so their
     rows are never shuffled for the join, however long the reference is."""
@@ -216,7 +217,7 @@ def _earning(sales: DataFrame) -> DataFrame:
 
 def promoted_skus(sku_ref: DataFrame, sales: DataFrame) -> DataFrame:
     """The reference rows that the sales turn from N to Y."""
-    return promotable(sku_ref).join(_earning(sales), list(SKU_KEY), "left_semi").select(
+    return sku_ref.where(_may_be_promoted()).join(_earning(sales), list(SKU_KEY), "left_semi").select(
         *[F.lit("Y").alias(c) if c == "included_in_accrual_yn" else c for c in sku_ref.columns]
     )
 

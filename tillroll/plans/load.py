@@ -1,8 +1,8 @@
 """Loading one provider file: guard, land, type, fact, supersede, SKUs, monitor, audit.
 
-Each step overwrites what the file owns or appends to a log, so a load that died is repaired by
-running it again. Readers that must not see a replaced file between two steps use
-`RevenueTables.live_payments`.
+Each step overwrites what the file owns, writes a generation that nobody reads yet, or appends to a log, so
+a load that died is repaired by running it again. The new file and the files it replaces change places in
+one step: readers of `payments` see the one or the others.
 """
 
 from __future__ import annotations
@@ -27,15 +27,15 @@ from tillroll.operators.skus import (
     apple_sales_values,
     classify_apple_skus,
     classify_payment_skus,
-    promotable,
     promoted_skus,
+    sku_revenue,
     store_sales,
 )
 from tillroll.operators.staging import TYPERS
 from tillroll.plans.refresh import refresh_monitor
 from tillroll.sources.landing import land_raw
-from tillroll.sources.schemas import CHANNELS, LOAD_AUDIT, SKU_KEY, SKUS, ddl
-from tillroll.sources.tables import GOOGLE_SECOND_RAW, RevenueTables
+from tillroll.sources.schemas import CHANNELS, LOAD_AUDIT, ddl
+from tillroll.sources.tables import GOOGLE_SECOND_RAW, SET_KEY, FileSet, RevenueTables
 
 SKIPPED = "SKIPPED"
 
@@ -118,84 +118,57 @@ def _stage(tables: RevenueTables, load: FileLoad) -> int:
 
 
 def _store(tables: RevenueTables, load: FileLoad) -> tuple[str, int]:
-    """Fact rows of the file; returns its status and how many files it replaced."""
+    """Fact rows of the file in force; returns its status and how many files it replaced."""
     typed = tables.read_file(f"typed_{load.provider}", load.file_tx_id)
+    channel = CHANNELS[load.provider][0]
     if load.provider == "apple":
         tables.replace_partition("apple_sales", to_apple_fact(typed), file_tx_id=load.file_tx_id)
+        sales = sku_revenue(apple_sales_values(tables.read_file("apple_sales", load.file_tx_id)))
+        tables.publish(tables.stage(channel, load.file_tx_id, None, sales))
         return LOADED_FACT, 0
-    channel = CHANNELS[load.provider][0]
-    part = {"pmt_channel": channel, "file_tx_id": load.file_tx_id}
-    if load.provider == "amazon":
-        newer = superseding_files(tables.audit(), load.file_tx_id)
-        if newer.limit(1).count() > 0:
-            tables.drop_partition("payments", **part)
-            return SUPERSEDED, 0
-    rows = to_fact(load.provider, typed).sortWithinPartitions("utc_timestamp")
-    tables.replace_partition("payments", rows, **part)
+    audit = tables.audit()
+    if load.provider == "amazon" and superseding_files(audit, load.file_tx_id).limit(1).count() > 0:
+        gone = tables.file_sets().where(F.col("file_tx_id") == load.file_tx_id)
+        tables.publish(None, gone.select(*SET_KEY))
+        return SUPERSEDED, 0
+    rows = to_fact(load.provider, typed)
+    staged = tables.stage(channel, load.file_tx_id, rows.sortWithinPartitions("utc_timestamp"), sku_revenue(store_sales(rows)))
     if load.provider != "amazon":
+        tables.publish(staged)
         return LOADED_FACT, 0
-    return LOADED_FACT, _supersede(tables, load, channel)
+    return LOADED_FACT, _supersede(tables, load, staged, audit)
 
 
-def _supersede(tables: RevenueTables, load: FileLoad, channel: str) -> int:
-    """Drop the partitions of the files this one replaces, then mark them in the audit."""
-    audit = tables.audit()
+def _supersede(tables: RevenueTables, load: FileLoad, staged: FileSet, audit: DataFrame) -> int:
+    """Put the file in force and those it replaces out of force at once, then mark them in the audit."""
     replaced = superseded_files(audit, load.file_tx_id)
+    tables.publish(staged, replaced.select(F.lit(staged.pmt_channel).alias("pmt_channel"), "file_tx_id"))
     open_files = audit.where(~F.col("status").eqNullSafe(F.lit(SUPERSEDED))).join(
         replaced, "file_tx_id", "left_semi"
     )
-    dropped = 0
-    for row in open_files.select("file_tx_id").toLocalIterator():
-        tables.drop_partition("payments", pmt_channel=channel, file_tx_id=row.file_tx_id)
-        dropped += 1
-    if dropped:
-        now = datetime.now(timezone.utc).replace(tzinfo=None)
-        marked = {
-            "status": F.lit(SUPERSEDED),
-            "load_date_time": F.lit(now).cast("timestamp_ntz"),
-        }
-        columns = [marked.get(c, F.col(c)).alias(c) for c in LOAD_AUDIT]
-        tables.append("load_audit_log", open_files.select(*columns).coalesce(1))
-    return dropped
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
+    marked = {
+        "status": F.lit(SUPERSEDED),
+        "load_date_time": F.lit(now).cast("timestamp_ntz"),
+    }
+    columns = [marked.get(c, F.col(c)).alias(c) for c in LOAD_AUDIT]
+    event = tables.append("load_audit_log", open_files.select(*columns).coalesce(1))
+    return tables.read("load_audit_log").where(F.col("event_seq") == event).count()
 
 
 def _update_skus(tables: RevenueTables, load: FileLoad) -> None:
     """Append the file's new SKUs, then those that revenue promotes.
 
-    Earlier loads have classified the SKUs of earlier files, so new ones come from this file alone.
-    They have also promoted what earned by then: a store SKU still out has no amount in the fact so
-    far, and only this file can bring one. The whole fact is read for the few SKUs that are new and
-    still out, and, as Apple's returns count against its sales, for Apple's candidates in this file.
-    `refresh_skus` does the same over everything at once.
+    Earlier loads have classified the SKUs of earlier files, so new ones come from this file alone. Revenue
+    comes from the ledger of sums per SKU and file, in which a reloaded file has replaced its sums and a
+    superseded one has none: no earlier payment is read. `refresh_skus` does the same over the facts.
     """
     if load.provider == "direct_billing":
         return
     if load.provider == "apple":
         rows = tables.read_file("apple_sales", load.file_tx_id)
-        here = apple_sales_values(rows)
         tables.append("sku_log", classify_apple_skus(rows, tables.skus()))
-        known = tables.skus().join(here, list(SKU_KEY), "left_semi")
-        history = apple_sales_values(tables.read("apple_sales"))
-        tables.append("sku_log", promoted_skus(known, _sales_of(history, known)))
-        return
-    rows = tables.read_file("payments", load.file_tx_id).where(
-        F.col("pmt_channel") == CHANNELS[load.provider][0]
-    )
-    here = store_sales(rows)
-    event = tables.append("sku_log", classify_payment_skus(rows, tables.skus()))
-    fresh = tables.read("sku_log").where(F.col("event_seq") == event).select(*SKUS)
-    known = (
-        tables.skus()
-        .join(here, list(SKU_KEY), "left_semi")
-        .join(fresh, list(SKU_KEY), "left_anti")
-        .select(*SKUS)
-    )
-    history = store_sales(tables.read("payments"))
-    by_history = promoted_skus(fresh, _sales_of(history, fresh))
-    tables.append("sku_log", promoted_skus(known, here).unionByName(by_history))
-
-
-def _sales_of(sales: DataFrame, sku_ref: DataFrame) -> DataFrame:
-    """Sales of the few SKUs that may be promoted; with none of them the sales are not read."""
-    keys = promotable(sku_ref).select(*SKU_KEY)
-    return sales.join(keys, list(SKU_KEY), "left_semi")
+    else:
+        rows = tables.read_file("payments", load.file_tx_id)
+        tables.append("sku_log", classify_payment_skus(rows, tables.skus()))
+    tables.append("sku_log", promoted_skus(tables.skus(), tables.sku_sales()))

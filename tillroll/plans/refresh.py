@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.operators.accrual import AccrualLookups, accrual, with_run_stamp
+from tillroll.operators.accrual import WINDOW_MONTHS, AccrualLookups, accrual, with_run_stamp
 from tillroll.operators.monitor import (
     collected_files,
     ingestion_monitor,
@@ -90,7 +90,7 @@ def refresh_monitor(
 
 def refresh_skus(tables: RevenueTables) -> None:
     """Classify and promote over the whole facts, whatever single loads have done."""
-    payments, apple = tables.live_payments(), tables.read("apple_sales")
+    payments, apple = tables.payments(), tables.read("apple_sales")
     tables.append("sku_log", classify_skus(payments, apple, tables.skus()))
     sales = store_sales(payments).unionByName(apple_sales_values(apple))
     tables.append("sku_log", promoted_skus(tables.skus(), sales))
@@ -103,6 +103,8 @@ def refresh_accrual(
     path: str,
     channels: Sequence[str] = ("Amazon",),
 ) -> None:
-    """Store the whole accrual as of a day, one folder per day; repeating a day replaces it."""
-    rows = accrual(tables.live_payments(), lookups, as_of, channels)
+    """Store the whole accrual as of a day, one folder per day; repeating a day replaces it. Files whose days
+    lie outside the accrual's window are not opened."""
+    payments = tables.payments(F.add_months(F.lit(as_of), -WINDOW_MONTHS), as_of)
+    rows = accrual(payments, lookups, as_of, channels)
     with_run_stamp(rows).write.mode("overwrite").parquet(f"{path}/as_of={as_of.isoformat()}")

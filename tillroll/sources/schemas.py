@@ -239,6 +239,27 @@ SKUS = {
 }
 SKU_KEY = ("payment_provider", "sku_id", "file_tx_region")
 
+# What of each file is in force: the generation that readers see (below zero: none) and its days.
+FILE_SETS = {
+    "pmt_channel": "string",
+    "file_tx_id": "string",
+    "generation": "bigint",
+    "first_day": "date",
+    "last_day": "date",
+    "file_rows": "bigint",
+}
+# Revenue of a SKU in a file, summed as promotion counts it.
+SKU_SALES = {
+    "payment_provider": "string",
+    "sku_id": "string",
+    "file_tx_region": "string",
+    "value": "decimal(38,6)",
+    "file_tx_id": "string",
+    "generation": "bigint",
+}
+# Which epochs of a log count: from read_from on; what is appended goes to write_epoch.
+LOG_HEADS = {"log": "string", "read_from": "bigint", "write_epoch": "bigint", "event_seq": "bigint"}
+
 COLLECTION_AUDIT = {
     "file_tx_id": "string",
     "data_source": "string",

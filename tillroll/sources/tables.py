@@ -1,29 +1,38 @@
 """Parquet tables of the revenue database.
 
-Plain parquet has no row updates, so state is kept in two ways that survive a lost job:
+Plain parquet has no row updates and no transactions, so state is kept in ways that survive a lost job:
 
-* file-keyed tables are partitioned by file, and a load overwrites the file's own partition;
-* the audit, the SKU reference and the monitor config are append-only logs whose last row per key
-  counts. Nothing is ever rewritten from itself.
+* raw and typed tables are partitioned by file, and a load overwrites the file's own partition;
+* payments and SKU sales are partitioned by file and generation. A load writes a generation that nobody
+  reads yet; one appended file of the `file_sets_log` then puts it in force and takes the files that it
+  replaces out of force, so that readers see both or neither. The view `payments` resolves this;
+* the audit, the SKU reference, the monitor config and the file sets are append-only logs whose last row
+  per key counts. A log has epochs: compaction copies the last rows to a new one, and one row of
+  `log_heads` lets readers begin there. Nothing is ever rewritten from itself.
 """
 
 from __future__ import annotations
 
 import time
+from datetime import date
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators.files import current_audit
 from tillroll.operators.ordered import latest
 from tillroll.sources.schemas import (
     COLLECTION_AUDIT,
+    FILE_SETS,
     LOAD_AUDIT,
+    LOG_HEADS,
     MASTER,
     MONITOR_CONFIG,
     PAYMENTS,
     PROVIDERS,
     SKU_KEY,
+    SKU_SALES,
     SKUS,
     ddl,
     raw_schema,
@@ -31,6 +40,15 @@ from tillroll.sources.schemas import (
 )
 
 GOOGLE_SECOND_RAW = "raw_google_emea"
+SET_KEY = ("pmt_channel", "file_tx_id")
+NO_GENERATION = -1
+# The logs and the keys whose last row counts.
+LOGS = {
+    "load_audit_log": (LOAD_AUDIT, ("file_tx_id",)),
+    "sku_log": (SKUS, SKU_KEY),
+    "monitor_config_log": (MONITOR_CONFIG, ("mv_id",)),
+    "file_sets_log": (FILE_SETS, SET_KEY),
+}
 
 
 def table_schemas() -> dict[str, tuple[dict[str, str], tuple[str, ...]]]:
@@ -40,21 +58,32 @@ def table_schemas() -> dict[str, tuple[dict[str, str], tuple[str, ...]]]:
         tables[f"raw_{provider}"] = (raw_schema(provider), ("file_tx_id",))
         tables[f"typed_{provider}"] = (typed_schema(provider), ("file_tx_id",))
     tables[GOOGLE_SECOND_RAW] = (raw_schema("google"), ("file_tx_id",))
-    tables["payments"] = (PAYMENTS, ("pmt_channel", "file_tx_id"))
+    tables["payments_store"] = ({**PAYMENTS, "generation": "bigint"}, (*SET_KEY, "generation"))
+    tables["sku_sales"] = (SKU_SALES, ("file_tx_id", "generation"))
     tables["apple_sales"] = (typed_schema("apple"), ("file_tx_id",))
     tables["collection_audit"] = (COLLECTION_AUDIT, ())
-    tables["load_audit_log"] = ({**LOAD_AUDIT, "event_seq": "bigint"}, ())
-    tables["sku_log"] = ({**SKUS, "event_seq": "bigint"}, ())
-    tables["monitor_config_log"] = ({**MONITOR_CONFIG, "event_seq": "bigint"}, ())
+    for log, (columns, _) in LOGS.items():
+        tables[log] = ({**columns, "event_seq": "bigint", "epoch": "bigint"}, ("epoch",))
+    tables["log_heads"] = (LOG_HEADS, ())
     tables["ingestion_master"] = (MASTER, ("mv_id",))
     return tables
 
 
-def _literal(value: str) -> str:
+def _literal(value: str | int) -> str:
+    if isinstance(value, int):
+        return str(value)
     escaped = value.replace("\\", "\\\\").replace("'", "\\'")
     return f"'{escaped}'"
 
 
+class FileSet(NamedTuple):
+    """A generation of a file that is written and not yet in force."""
+
+    pmt_channel: str
+    file_tx_id: str
+    generation: int
+
+
 class RevenueTables:
     """The tables of one database."""
 
@@ -70,19 +99,34 @@ class RevenueTables:
             self.spark.sql(
                 f"CREATE TABLE IF NOT EXISTS {self.name(name)} ({ddl(columns)}) USING parquet{by}"
             )
+        head = f"SELECT max_by(read_from, event_seq) FROM {self.name('log_heads')} WHERE log = 'file_sets_log'"
+        self.spark.sql(
+            f"""CREATE OR REPLACE VIEW {self.name('payments')} AS
+            SELECT {', '.join(PAYMENTS)} FROM {self.name('payments_store')}
+            LEFT SEMI JOIN (
+              SELECT * FROM (SELECT pmt_channel, file_tx_id, max_by(generation, event_seq) AS generation
+                FROM {self.name('file_sets_log')} WHERE epoch >= coalesce(({head}), 0)
+                GROUP BY pmt_channel, file_tx_id) WHERE generation > {NO_GENERATION})
+            USING (pmt_channel, file_tx_id, generation)"""
+        )
 
     def name(self, table: str) -> str:
         return f"`{self.database}`.`{table}`"
 
     def read(self, table: str) -> DataFrame:
-        """The table, with its columns in schema order."""
-        return self.spark.table(self.name(table)).select(*self.schemas[table][0])
+        """The table, with its columns in schema order. Of a log, the epochs that count."""
+        if table == "payments":
+            return self.payments()
+        rows = self.spark.table(self.name(table)).select(*self.schemas[table][0])
+        if table in LOGS:
+            return rows.where(F.col("epoch") >= self._head(table, "read_from")).drop("epoch")
+        return rows
 
     def read_file(self, table: str, file_tx_id: str) -> DataFrame:
         """The rows of one file; only its partition is scanned."""
         return self.read(table).where(F.col("file_tx_id") == file_tx_id)
 
-    def replace_partition(self, table: str, rows: DataFrame, **spec: str) -> None:
+    def replace_partition(self, table: str, rows: DataFrame, **spec: str | int) -> None:
         """Overwrite one partition, also when there are no rows. Running it twice is harmless."""
         columns, parts = self.schemas[table]
         if set(spec) != set(parts):
@@ -95,7 +139,7 @@ class RevenueTables:
             rows=rows,
         )
 
-    def drop_partition(self, table: str, **spec: str) -> None:
+    def drop_partition(self, table: str, **spec: str | int) -> None:
         values = ", ".join(f"`{k}` = {_literal(v)}" for k, v in spec.items())
         self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION ({values})")
 
@@ -105,25 +149,144 @@ class RevenueTables:
         event = time.time_ns()
         if "event_seq" in columns:
             rows = rows.withColumn("event_seq", F.lit(event).cast("bigint"))
+        if table in LOGS:
+            rows = rows.withColumn("epoch", self._head(table, "write_epoch"))
         rows.select(*columns).write.insertInto(self.name(table))
         return event
 
+    # Payments and SKU sales by generation.
+
+    def file_sets(self) -> DataFrame:
+        """What of each file is in force."""
+        rest = [c for c in FILE_SETS if c not in SET_KEY]
+        newest = F.max_by(F.struct(*rest), "event_seq").alias("_set")
+        sets = self.read("file_sets_log").groupBy(*SET_KEY).agg(newest)
+        return sets.select(*SET_KEY, *[F.col("_set")[c].alias(c) for c in rest])
+
+    def payments(self, first: date | Column | None = None, last: date | Column | None = None) -> DataFrame:
+        """The payments in force. With days, only files are opened that hold some between them, both
+        included; the rows are not filtered."""
+        sets = self.file_sets().where(F.col("generation") > NO_GENERATION)
+        if first is not None:
+            sets = sets.where(F.col("last_day") >= F.lit(first))
+        if last is not None:
+            sets = sets.where(F.col("first_day") <= F.lit(last))
+        keys = [*SET_KEY, "generation"]
+        store = self.spark.table(self.name("payments_store"))
+        return store.join(sets.select(*keys), keys, "left_semi").select(*PAYMENTS)
+
+    def sku_sales(self) -> DataFrame:
+        """Revenue per SKU and file, of the files in force."""
+        sets = self.file_sets().where(F.col("generation") > NO_GENERATION)
+        keys = ["file_tx_id", "generation"]
+        return self.read("sku_sales").join(sets.select(*keys), keys, "left_semi").select(*SKU_SALES)
+
+    def stage(self, channel: str, file_tx_id: str, payments: DataFrame | None, sales: DataFrame) -> FileSet:
+        """Write a file's payments (None where the channel has a fact of its own) and SKU sales as a
+        generation of its own, which no reader sees before `publish`."""
+        staged = FileSet(channel, file_tx_id, time.time_ns())
+        if payments is not None:
+            self.replace_partition("payments_store", payments, **staged._asdict())
+        self.replace_partition("sku_sales", sales, file_tx_id=file_tx_id, generation=staged.generation)
+        return staged
+
+    def publish(self, staged: FileSet | None, gone: DataFrame | None = None) -> None:
+        """Put a staged file in force and take the files `gone` (pmt_channel, file_tx_id) out of force, in one
+        appended file: readers see all of it or nothing."""
+        events = []
+        if staged is not None:
+            store = self.spark.table(self.name("payments_store"))
+            own = store.where(
+                (F.col("pmt_channel") == staged.pmt_channel)
+                & (F.col("file_tx_id") == staged.file_tx_id)
+                & (F.col("generation") == staged.generation)
+            )
+            events.append(
+                own.agg(F.min("utc_date").alias("first_day"), F.max("utc_date").alias("last_day"), F.count("*").alias("file_rows")).select(
+                    F.lit(staged.pmt_channel).alias("pmt_channel"),
+                    F.lit(staged.file_tx_id).alias("file_tx_id"),
+                    F.lit(staged.generation).alias("generation"),
+                    "first_day",
+                    "last_day",
+                    "file_rows",
+                )
+            )
+        if gone is not None:
+            none = {c: F.lit(None).cast(kind) for c, kind in FILE_SETS.items()}
+            none["generation"] = F.lit(NO_GENERATION)
+            events.append(gone.distinct().select(*[F.col(c) if c in SET_KEY else none[c].alias(c) for c in FILE_SETS]))
+        rows = events[0]
+        for more in events[1:]:
+            rows = rows.unionByName(more)
+        self.append("file_sets_log", rows.coalesce(1))
+
+    def vacuum(self, before: int) -> int:
+        """Drop the generations written before this time (ns) that are not in force: replaced ones and
+        those of loads that died. Choose a time before which no reader or load has begun that still runs."""
+        held = (
+            self.spark.table(self.name("payments_store")).select(*SET_KEY, "generation")
+            .unionByName(self.read("sku_sales").select(F.lit(None).cast("string").alias("pmt_channel"), "file_tx_id", "generation"))
+            .where(F.col("generation") < before)
+            .distinct()
+        )
+        sets = self.file_sets().select("file_tx_id", "generation")
+        dropped = 0
+        for row in held.join(sets, ["file_tx_id", "generation"], "left_anti").toLocalIterator():
+            if row.pmt_channel is not None:
+                self.drop_partition("payments_store", pmt_channel=row.pmt_channel, file_tx_id=row.file_tx_id, generation=row.generation)
+            else:
+                self.drop_partition("sku_sales", file_tx_id=row.file_tx_id, generation=row.generation)
+            dropped += 1
+        return dropped
+
+    # Logs.
+
+    def _head(self, log: str, which: str) -> Column:
+        """An epoch of the log's head, looked up when the query runs."""
+        heads = self.spark.table(self.name("log_heads")).where(F.col("log") == log)
+        return heads.agg(F.coalesce(F.max_by(which, "event_seq"), F.lit(0)).cast("bigint")).scalar()
+
+    def compact(self, log: str, files: int = 1) -> None:
+        """Copy the last row per key to a new epoch of `files` files and let readers begin there.
+
+        First the new epoch is opened: what is appended from now on goes there, and readers read both. The
+        copies keep their event numbers, so while both are read, and after a job that died here, every
+        answer is the same as before. Then readers switch, and older epochs are dropped but for those
+        that running readers may be in. Run one compaction of a log at a time, with no load running.
+        """
+        columns, keys = LOGS[log]
+        epochs = self.spark.table(self.name("log_heads")).where(F.col("log") == log)
+        read_from, epoch = epochs.agg(
+            F.coalesce(F.max_by("read_from", "event_seq"), F.lit(0)), F.coalesce(F.max_by("write_epoch", "event_seq"), F.lit(0))
+        ).first()
+        self._turn(log, read_from, epoch + 1)
+        kept = latest(self.read(log), list(keys), self._newest(log))
+        copy = kept.withColumn("epoch", F.lit(epoch + 1).cast("bigint")).select(*self.schemas[log][0])
+        copy.repartition(files).write.insertInto(self.name(log))
+        self._turn(log, epoch + 1, epoch + 1)
+        for row in self.spark.sql(f"SHOW PARTITIONS {self.name(log)}").toLocalIterator():
+            old = int(row.partition.removeprefix("epoch="))
+            if old < read_from:
+                self.drop_partition(log, epoch=old)
+
+    def _turn(self, log: str, read_from: int, write_epoch: int) -> None:
+        row = (log, read_from, write_epoch, 0)
+        self.append("log_heads", self.spark.createDataFrame([row], ddl(LOG_HEADS)).coalesce(1))
+
+    def _newest(self, log: str) -> list[Column]:
+        if log == "load_audit_log":
+            return [F.col("load_date_time").desc(), F.col("event_seq").desc()]
+        return [F.col("event_seq").desc()]
+
     def audit(self) -> DataFrame:
         """The load audit as it stands."""
         return current_audit(self.read("load_audit_log"))
 
     def skus(self) -> DataFrame:
         """The SKU reference as it stands."""
-        log = self.read("sku_log")
-        return latest(log, list(SKU_KEY), [F.col("event_seq").desc()]).drop("event_seq")
+        return latest(self.read("sku_log"), list(SKU_KEY), self._newest("sku_log")).drop("event_seq")
 
     def monitor_config(self) -> DataFrame:
         """The monitor config as it stands."""
         log = self.read("monitor_config_log")
-        return latest(log, ["mv_id"], [F.col("event_seq").desc()]).drop("event_seq")
-
-    def live_payments(self) -> DataFrame:
-        """The fact without files the audit calls superseded, also between a load's insert and its
-        partition drops."""
-        gone = self.audit().where(F.col("status") == "SUPERSEDED").select("file_tx_id")
-        return self.read("payments").join(gone, "file_tx_id", "left_anti").select(*PAYMENTS)
+        return latest(log, ["mv_id"], self._newest("monitor_config_log")).drop("event_seq")
