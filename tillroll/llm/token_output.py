@@ -24,68 +24,63 @@ from tillroll.llm.scratch import shared_folder, stored
 from tillroll.llm.token_ids import END_ID, default_tokenizer, encoder
 
 BLOCK_BYTES = 1 << 20
-SHARD_BYTES = 1 << 28
 PART_KEYS = 1024
 LEVELS = 40
 
 
-def _encoded(path: str, width: int):
+def _shards(path: str, width: int):
+    """The blocks of one shard from its texts in order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        size = max(own.tokenizer.get_vocab_size(), END_ID + 1)
-        if size > 1 << 8 * width:
-            raise ValueError(f"a vocabulary of {size} ids does not fit into {width} bytes an id")
-        end = np.array([END_ID], f"<u{width}").tobytes()
+        vocabulary = max(own.tokenizer.get_vocab_size(), END_ID + 1)
+        if vocabulary > 1 << 8 * width:
+            raise ValueError(f"a vocabulary of {vocabulary} ids does not fit into {width} bytes an id")
+        encode, end = own.encode, np.array([END_ID], "<u4").tobytes()
+        shard, block, at = TaskContext.get().partitionId(), 0, 0
+        payload, ids, places, lengths, repeats, size = [], [], [], [], [], 0
+        before, repeat = object(), 0
+
+        def written() -> pa.RecordBatch:
+            raw = np.frombuffer(b"".join(payload), "<u4").astype(f"<u{width}").tobytes()
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([shard], pa.int32()),
+                    pa.array([block], pa.int32()),
+                    pa.array([places[0]], pa.int64()),
+                    pa.array([raw], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, id_type)),
+                    pa.array([repeats], pa.list_(pa.int32())),
+                    pa.array([places], pa.list_(pa.int64())),
+                    pa.array([lengths], pa.list_(pa.int64())),
+                ],
+                ["shard", "block", "first", "payload", "doc_ids", "repeats", "places", "lengths"],
+            )
+
         for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                ids = [np.frombuffer(own.encode(text.as_py()), "<u4").astype(f"<u{width}").tobytes() + end for text in part.column(1)]
-                sizes = pa.array([len(x) // width for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), sizes], ["doc_id", "ids", "n_tokens"])
+            id_type = batch.schema.field(0).type
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                key = doc_id.as_py()
+                repeat = repeat + 1 if key == before else 0
+                before = key
+                raw = encode(text.as_py()) + end
+                payload.append(raw)
+                size += len(raw)
+                ids.append(key)
+                repeats.append(repeat)
+                places.append(at)
+                lengths.append(len(raw) // 4)
+                at += len(raw) // 4
+                if size >= BLOCK_BYTES * 4 // width:
+                    yield written()
+                    block += 1
+                    payload, ids, places, lengths, repeats, size = [], [], [], [], [], 0
+        if ids:
+            yield written()
 
     return run
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks of one shard from its documents in order."""
-    shard, block, at = TaskContext.get().partitionId(), 0, 0
-    payload, ids, places, lengths, repeats, size = [], [], [], [], [], 0
-    before, repeat = object(), 0
-
-    def written() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([shard], pa.int32()),
-                pa.array([block], pa.int32()),
-                pa.array([places[0]], pa.int64()),
-                pa.array([b"".join(payload)], pa.binary()),
-                pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, id_type)),
-                pa.array([repeats], pa.list_(pa.int32())),
-                pa.array([places], pa.list_(pa.int64())),
-                pa.array([lengths], pa.list_(pa.int64())),
-            ],
-            ["shard", "block", "first", "payload", "doc_ids", "repeats", "places", "lengths"],
-        )
-
-    for batch in batches:
-        id_type = batch.schema.field(0).type
-        for key, raw, n in zip(*[batch.column(k).to_pylist() for k in range(3)]):
-            repeat = repeat + 1 if key == before else 0
-            before = key
-            payload.append(raw)
-            size += len(raw)
-            ids.append(key)
-            repeats.append(repeat)
-            places.append(at)
-            lengths.append(n)
-            at += n
-            if size >= BLOCK_BYTES:
-                yield written()
-                block += 1
-                payload, ids, places, lengths, repeats, size = [], [], [], [], [], 0
-    if ids:
-        yield written()
-
-
 def _mix(a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = a ^ (b * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level + 1) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -233,10 +228,10 @@ class TokenFiles:
 def write_tokens(docs: DataFrame, tokenizer: str | None = None, width: int = 2) -> TokenFiles:
     """Write the ids of every whole text and the end id in ascending doc_id order, and index them.
 
-    Texts are encoded where they stand; their ids go to the shards, so many that none holds more than
-    SHARD_BYTES (but for one long document or one doc_id). width: bytes per id, 2 for vocabularies of up to
-    65,536 ids and 4 for others; a vocabulary that does not fit raises. Rows of equal doc_id are ordered by
-    their ids and numbered. The blocks are a table of the session's catalog, named by `TokenFiles.name`.
+    Texts are ranged over the shards by doc_id and encoded there. Blocks hold BLOCK_BYTES, or one longer
+    document. width: bytes per id, 2 for vocabularies of up to 65,536 ids and 4 for others; a vocabulary that
+    does not fit raises. Rows of equal doc_id are ordered by their text and numbered. The blocks are a table
+    of the session's catalog, named by `TokenFiles.name`.
 
     Nulls: a null text counts as empty (the end id alone); rows without doc_id come first and are found
     under a null key. An empty table gives files without documents. Other columns are not read.
@@ -244,17 +239,12 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, width: int = 2)
     spark = docs.sparkSession
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = plain.schema["doc_id"].dataType.simpleString()
-    encoded = stored(
-        plain.mapInArrow(_encoded(tokenizer or default_tokenizer(), width), f"doc_id {kind}, ids binary, n_tokens long"), "token-ids"
-    )
-    total = encoded.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("ids")).first()
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = total["ids"] * width
     made = (
-        encoded.repartitionByRange(max(1, -(-size // SHARD_BYTES), min(buckets, size // BLOCK_BYTES)), "doc_id")
-        .sortWithinPartitions("doc_id", "ids")
+        plain.repartitionByRange("doc_id")
+        .sortWithinPartitions("doc_id", "text")
         .mapInArrow(
-            _shards,
+            _shards(tokenizer or default_tokenizer(), width),
             f"shard int, block int, first long, payload binary, doc_ids array<{kind}>, repeats array<int>, places array<long>, lengths array<long>",
         )
     )
@@ -262,7 +252,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, width: int = 2)
     (
         made.write.bucketBy(buckets, "shard", "block")
         .sortBy("shard", "block")
-        .option("compression", "zstd")
+        .option("compression", "snappy")
         .option("path", f"{shared_folder(spark)}/{name}")
         .saveAsTable(name)
     )
@@ -277,10 +267,13 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, width: int = 2)
         F.col("e.lengths").alias("n_tokens"),
     )
     held = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
-    per_shard = stored(payload.groupBy("shard").agg(F.sum(held).alias("ids")), "shard-sizes")
+    per_shard = stored(
+        payload.groupBy("shard").agg(F.sum(held).alias("ids"), F.sum(F.size("lengths")).cast("long").alias("docs")), "shard-sizes"
+    )
+    total = per_shard.agg(F.sum("docs")).first()[0] or 0
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     starts = per_shard.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
-    parts = max(1, -(-total["docs"] // PART_KEYS))
+    parts = max(1, -(-total // PART_KEYS))
     index = stored(_with_keys(entries, parts).groupBy("part").applyInPandas(_build_part, _INDEX), "token-index")
     return TokenFiles(payload, index, starts, parts, width, name)
 
