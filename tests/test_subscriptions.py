@@ -1,10 +1,14 @@
-from datetime import date, datetime
+import random
+from collections import Counter
+from datetime import date, datetime, timezone
 from decimal import Decimal as D
+from zoneinfo import ZoneInfo
 
 import pytest
 
 from tillroll.functions.clock import PACIFIC
 from tillroll.operators import lifecycle
+from tillroll.operators.lifecycle import active_snapshots
 from tillroll.operators.subscriptions import (
     active_subscribers,
     affiliate_share,
@@ -37,6 +41,54 @@ def test_trend_counts_a_missing_month_as_zero(spark):
     }
 
 
+def test_a_last_fall_to_zero_is_reported(spark):
+    rows = [("Roku", "go", datetime(2024, 1, 5), datetime(2024, 4, 9)), ("Roku", "dplay", datetime(2024, 1, 5), None)]
+    df = spark.createDataFrame(
+        rows,
+        "payment_provider string, realm string, start_timestamp timestamp_ntz, "
+        "termination_timestamp timestamp_ntz",
+    )
+    got = {
+        (r.realm, r.kind, r.month.month): (r.current_month, r.kpi_value)
+        for r in subscription_trend(df).collect()
+    }
+    assert got == {
+        ("go", "START", 1): (1, None), ("go", "START", 2): (0, -100.0), ("go", "START", 3): (0, None),
+        ("go", "START", 4): (0, None), ("go", "TERMINATION", 4): (1, None), ("dplay", "START", 1): (1, None),
+    }
+
+
+@pytest.mark.parametrize("zone", [None, "America/Los_Angeles"])
+def test_snapshots_of_any_day(spark, zone):
+    rng = random.Random(3)
+    rows = []
+    for n in range(400):
+        sub = 1 if n % 3 == 0 else rng.randint(2, 25)
+        epoch = 1_704_067_200 + rng.randrange(40) * 21_600 + rng.choice([0, 1, 1])
+        kind = rng.choice(["RENEWAL", "CANCEL", "SWITCH"])
+        rows.append((n, sub, epoch, kind, rng.choice(["basic", None]), "svod", "p", "none", rng.randint(1, 2)))
+    events = spark.createDataFrame(
+        rows,
+        "event_id bigint, subscription_id bigint, event_epoch bigint, kind string, product_plan string, "
+        "vod_type string, price_plan string, promo string, billing_anchor int",
+    ).repartition(3)
+    days = [date(2023, 12, 1), date(2024, 1, 1), date(2024, 1, 4), date(2024, 1, 5), date(2024, 6, 30), date(2024, 1, 4)]
+    got = Counter()
+    for r in active_snapshots(events, days, zone).collect():
+        got[r.snapshot_date, r.product_plan, r.billing_anchor] += r.active_subscribers
+    want = Counter()
+    for day in set(days):
+        last = {}
+        for e in sorted(rows, key=lambda e: (e[2], e[0])):
+            at = datetime.fromtimestamp(e[2], timezone.utc)
+            if zone:
+                at = at.astimezone(ZoneInfo(zone))
+            if at.date() <= day:
+                last[e[1]] = e
+        want.update((day, e[4], e[8]) for e in last.values() if e[3] != "CANCEL")
+    assert got == want and len({k[0] for k in want}) >= 3
+
+
 def test_active_subscribers_count_the_last_state_by_the_realms_id(spark):
     def row(n, sub, realm, status, day, who="g1"):
         return (n, sub, who, realm, "amer", "Roku", status, datetime(2024, 1, day))

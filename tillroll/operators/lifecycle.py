@@ -7,7 +7,10 @@ invoice_id, term_end_epoch. Kinds: TRIAL, ACQUIRE, RENEWAL, SWITCH, CANCEL, PAYM
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.clock import from_epoch, in_zone
@@ -53,6 +56,61 @@ def active_snapshot(events: DataFrame) -> DataFrame:
     )
 
 
+SNAPSHOT_KEYS = ("product_plan", "vod_type", "price_plan", "promo", "billing_anchor")
+
+
+def state_days(events: DataFrame, zone: str | None = None) -> DataFrame:
+    """The days on which each event is its subscription's last: from_day to to_day, both included and NULL
+    while no later day has an event. Events that another one of the same day follows have none."""
+    turned = dated(events, zone).withColumns({"_epoch": -F.col("event_epoch"), "_id": -F.col("event_id")})
+    followed = previous(
+        turned,
+        ["subscription_id"],
+        ["_epoch", "_id"],
+        F.floor(F.col("_epoch") / 3600),
+        {"event_date": "_next"},
+    )
+    return (
+        followed.where(F.col("_next").isNull() | (F.col("_next") > F.col("event_date")))
+        .withColumn("to_day", F.date_sub("_next", 1))
+        .withColumnRenamed("event_date", "from_day")
+        .drop("_epoch", "_id", "_next")
+    )
+
+
+def active_snapshots(events: DataFrame, days: Sequence[date], zone: str | None = None) -> DataFrame:
+    """active_snapshot as of the end of each of these days.
+
+    A state counts from its first day and no longer counts after its last: these gains and losses are summed
+    per group and snapshot that they first show in, and a running total of the sums is the snapshot. So a state
+    of many years is two numbers, not a row for every day, and the whole history is read once for all days.
+    """
+    wanted = F.array(*[F.lit(d) for d in sorted(set(days))])
+    active = state_days(events, zone).where(F.col("kind") != "CANCEL")
+    changes = active.select(
+        *SNAPSHOT_KEYS,
+        F.explode(
+            F.array(
+                F.struct(F.col("from_day").alias("day"), F.lit(1).alias("n")),
+                F.struct(F.date_add("to_day", 1).alias("day"), F.lit(-1).alias("n")),
+            )
+        ).alias("_x"),
+    ).where(F.col("_x.day").isNotNull())
+    shown = F.array_min(F.filter(wanted, lambda d: d >= F.col("_x.day")))
+    summed = (
+        changes.withColumn("snapshot_date", shown)
+        .where(F.col("snapshot_date").isNotNull())
+        .groupBy(*SNAPSHOT_KEYS, "snapshot_date")
+        .agg(F.sum("_x.n").alias("_n"))
+    )
+    later = F.explode(F.filter(wanted, lambda d: d >= F.col("_first")))
+    groups = summed.groupBy(*SNAPSHOT_KEYS).agg(F.min("snapshot_date").alias("_first"))
+    every = groups.select(*SNAPSHOT_KEYS, later.alias("snapshot_date")).withColumn("_n", F.lit(0).cast("bigint"))
+    total = F.sum(F.sum("_n")).over(Window.partitionBy(*SNAPSHOT_KEYS).orderBy("snapshot_date"))
+    counted = summed.unionByName(every).groupBy(*SNAPSHOT_KEYS, "snapshot_date").agg(total.alias("active_subscribers"))
+    return counted.where(F.col("active_subscribers") > 0).select("snapshot_date", *SNAPSHOT_KEYS, "active_subscribers")
+
+
 def with_previous(events: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Events with values of the subscription's event before."""
     return previous(

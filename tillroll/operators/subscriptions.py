@@ -20,8 +20,9 @@ def subscription_trend(subscriptions: DataFrame, realm: str = "%") -> DataFrame:
     """Starts and terminations per month, provider and realm, against the month before.
 
     Each kind is counted first and the two counts are united, so the month step runs on one row
-    per month and group. From a group's first to its last month every month has
-    a row, one without events counts as zero; change from zero has no percentage.
+    per month and group. From a kind's first month to the last month of its provider and realm, of
+    either kind, every month has a row; one without events counts as zero, so a last fall to zero shows.
+    Change from zero has no percentage.
     """
     rows = subscriptions.where(realm_filter(F.col("realm"), realm))
     kinds = {"START": "start_timestamp", "TERMINATION": "termination_timestamp"}
@@ -35,7 +36,12 @@ def subscription_trend(subscriptions: DataFrame, realm: str = "%") -> DataFrame:
         )
         counted = one if counted is None else counted.unionByName(one)
     group = ["kind", "payment_provider", "realm"]
-    spans = counted.groupBy(*group).agg(F.min("month").alias("_first"), F.max("month").alias("_last"))
+    of_both = Window.partitionBy("payment_provider", "realm")  # two rows
+    spans = (
+        counted.groupBy(*group)
+        .agg(F.min("month").alias("_first"), F.max("month").alias("_end"))
+        .withColumn("_last", F.max("_end").over(of_both))
+    )
     step = F.expr("interval 1 month")
     months = spans.select(*group, F.explode(F.sequence("_first", "_last", step)).alias("month"))
     zeros = months.withColumn("current_month", F.lit(0).cast("bigint"))

@@ -33,13 +33,17 @@ from tillroll.operators.skus import (
 )
 from tillroll.operators.staging import TYPERS
 from tillroll.plans.refresh import refresh_monitor
-from tillroll.sources.landing import land_raw
+from tillroll.sources.landing import land_checked
 from tillroll.sources.schemas import CHANNELS, LOAD_AUDIT, ddl
 from tillroll.sources.tables import GOOGLE_SECOND_RAW, SET_KEY, FileSet, RevenueTables
 
 SKIPPED = "SKIPPED"
 
 
+class LoadRefused(ValueError):
+    """The file's content does not pass the checks of the load."""
+
+
 @dataclass(frozen=True)
 class FileLoad:
     """One provider file to load."""
@@ -52,6 +56,9 @@ class FileLoad:
     data_source: str = ""
     as_of: date = field(default_factory=lambda: datetime.now(timezone.utc).date())
     monitor_id: str | None = None
+    required: tuple[str, ...] = ()  # raw columns that no row may lack
+    most_rejects: int = 0
+    expected_rows: int | None = None  # lines that the file must have, as its collection noted
 
     @property
     def data_file(self) -> str:
@@ -110,13 +117,29 @@ def _stage(tables: RevenueTables, load: FileLoad) -> int:
     second = load.provider == "google" and load.region == "EMEA"
     raw = GOOGLE_SECOND_RAW if second else f"raw_{load.provider}"
     typed = f"typed_{load.provider}"
-    landed = land_raw(tables.spark, load.provider, load.path, load.file_tx_id, load.load_tx_id)
+    landed, rejected = land_checked(
+        tables.spark, load.provider, load.path, load.file_tx_id, load.load_tx_id, load.required
+    )
     tables.replace_partition(raw, landed, file_tx_id=load.file_tx_id)
+    tables.replace_partition("rejects", rejected, file_tx_id=load.file_tx_id)
+    _guard(tables, load, raw)
     rows = TYPERS[load.provider](tables.read_file(raw, load.file_tx_id), load.region)
     tables.replace_partition(typed, rows, file_tx_id=load.file_tx_id)
     return tables.read_file(typed, load.file_tx_id).count()
 
 
+def _guard(tables: RevenueTables, load: FileLoad, raw: str) -> None:
+    """Refuse a file with too many rejected lines or another number of lines than its collection noted. The
+    rejects stay in their table."""
+    rejects = tables.read_file("rejects", load.file_tx_id).count()
+    if rejects > load.most_rejects:
+        raise LoadRefused(f"{load.file_tx_id}: {rejects} lines rejected, {load.most_rejects} allowed")
+    if load.expected_rows is not None:
+        lines = tables.read_file(raw, load.file_tx_id).count() + rejects
+        if lines != load.expected_rows:
+            raise LoadRefused(f"{load.file_tx_id}: {lines} lines, {load.expected_rows} expected")
+
+
 def _store(tables: RevenueTables, load: FileLoad) -> tuple[str, int]:
     """Fact rows of the file in force; returns its status and how many files it replaced."""
     typed = tables.read_file(f"typed_{load.provider}", load.file_tx_id)

@@ -257,6 +257,14 @@ SKU_SALES = {
     "file_tx_id": "string",
     "generation": "bigint",
 }
+# Lines of provider files that are no rows of the raw tables.
+REJECTS = {
+    "provider": "string",
+    "line": "string",
+    "reason": "string",
+    "load_tx_id": "string",
+    "file_tx_id": "string",
+}
 # Which epochs of a log count: from read_from on; what is appended goes to write_epoch.
 LOG_HEADS = {"log": "string", "read_from": "bigint", "write_epoch": "bigint", "event_seq": "bigint"}
 

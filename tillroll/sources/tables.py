@@ -31,6 +31,7 @@ from tillroll.sources.schemas import (
     MONITOR_CONFIG,
     PAYMENTS,
     PROVIDERS,
+    REJECTS,
     SKU_KEY,
     SKU_SALES,
     SKUS,
@@ -61,6 +62,7 @@ def table_schemas() -> dict[str, tuple[dict[str, str], tuple[str, ...]]]:
     tables["payments_store"] = ({**PAYMENTS, "generation": "bigint"}, (*SET_KEY, "generation"))
     tables["sku_sales"] = (SKU_SALES, ("file_tx_id", "generation"))
     tables["apple_sales"] = (typed_schema("apple"), ("file_tx_id",))
+    tables["rejects"] = (REJECTS, ("file_tx_id",))
     tables["collection_audit"] = (COLLECTION_AUDIT, ())
     for log, (columns, _) in LOGS.items():
         tables[log] = ({**columns, "event_seq": "bigint", "epoch": "bigint"}, ("epoch",))

@@ -554,6 +554,8 @@ from {{lineitem}}
 """
 
 # Lifecycle events; {{epoch}} is the engine's own way to get epoch seconds.
+SNAPSHOTS = ["2023-12-31", "2024-01-03", "2024-01-10", "2024-01-17", "2024-01-24", "2024-01-31", "2024-03-31"]
+
 VIEWS["lifecycle"] = f"""
 select event_id, user_id as subscription_id, {{epoch}} as event_epoch,
   case event_type when 'signup' then (case when event_id % 2 = 0 then 'TRIAL' else 'ACQUIRE' end)

@@ -5,7 +5,8 @@ Windows, pair joins and long unions are fine here: this runs on one machine over
 
 from __future__ import annotations
 
-from tillroll_checks.inputs import PLAIN, with_views
+from tillroll.sources.schemas import raw_widths
+from tillroll_checks.inputs import PLAIN, SNAPSHOTS, with_views
 
 ORACLE: dict[str, str] = {}
 
@@ -800,8 +801,10 @@ def trend(test: str) -> str:
           union select 'TERMINATION', payment_provider, realm,
             cast(date_trunc('month', termination_timestamp) as date), count(*)
           from subscriptions where {test} and termination_timestamp is not null group by 1, 2, 3, 4),
-        spans as (select kind, payment_provider, realm, min(month) as first, max(month) as last
-          from counts group by 1, 2, 3),
+        spans as (select kind, payment_provider, realm, min(month) as first,
+            (select max(month) from counts o where o.payment_provider = c.payment_provider
+              and o.realm = c.realm) as last
+          from counts c group by 1, 2, 3),
         months as (select kind, payment_provider, realm,
           cast(unnest(generate_series(first, last, interval '1 month')) as date) as month from spans),
         counted as (select m.*, coalesce(c.n, 0) as n from months m left join counts c
@@ -1024,6 +1027,18 @@ ORACLE["sox_active"] = with_views(
       count(*) as active_subscribers
     from ranked where nr = 1 and kind <> 'CANCEL' group by 1, 2, 3, 4, 5""",
 )
+for _zone, _stamp in STAMPS.items():
+    ORACLE[f"sox_active_weekly{_zone}"] = with_views(
+        ["lifecycle"],
+        f""", days as (select cast(unnest([{", ".join(f"date '{d}'" for d in SNAPSHOTS)}]) as date) as snapshot_date),
+        stamped as (select *, cast({_stamp} as date) as event_date from lifecycle),
+        ranked as (select s.*, snapshot_date, row_number() over (partition by snapshot_date, subscription_id
+          order by event_epoch desc, event_id desc) as nr
+          from days join stamped s on s.event_date <= snapshot_date)
+        select snapshot_date, product_plan, vod_type, price_plan, promo, billing_anchor,
+          count(*) as active_subscribers
+        from ranked where nr = 1 and kind <> 'CANCEL' group by 1, 2, 3, 4, 5, 6""",
+    )
 ORACLE["pacific_variant"] = with_views(
     ["lifecycle"],
     f"""select event_id, event_epoch, {STAMPS['_pacific']} as event_ts,
@@ -1042,3 +1057,26 @@ ORACLE["case_states_l2"] = with_views(
     from case_states where state = 'IN_REVIEW'
       and cast(state_timestamp as date) between date '2024-01-05' and date '2024-01-20'""",
 )
+
+
+# Landing
+
+
+def landed(provider: str, view: str) -> str:
+    """The raw rows as their lines give them back: blanks to NULL, cut to the width, blank where the view has
+    no such column."""
+    columns = ", ".join(
+        f"left(case when trim({c}) <> '' then {c} end, {n}) as {c}" for c, n in raw_widths(provider).items()
+    )
+    return f"select {columns} from {view}"
+
+
+for _provider, _view in (("apple", "raw_apple"), ("amazon", "raw_amazon"), ("direct_billing", "raw_billing")):
+    ORACLE[f"land_{_provider}"] = with_views([_view], landed(_provider, _view))
+ORACLE["land_rejects"] = with_views(
+    ["raw_amazon"],
+    """ select case when l.i % 13 = 0 then 'fields' when l.receipt_id is null then 'missing receipt_id'
+        else 'landed' end as reason, count(*) as lines
+      from (select receipt_id, cast(split_part(substr(transaction_id, 2), '-', 1) as bigint) as i
+        from raw_amazon) l group by 1""",
+)

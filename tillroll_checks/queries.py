@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll_checks.inputs import view
+from tillroll_checks.inputs import SNAPSHOTS, view
 from tillroll.functions import clock, money, realms, text
 from tillroll.operators import (
     accrual as acc,
@@ -23,6 +23,8 @@ from tillroll.operators import (
     staging,
     subscriptions,
 )
+from tillroll.sources import landing
+from tillroll.sources.schemas import raw_widths
 
 AS_OF = date(2001, 12, 1)
 MONITOR_AS_OF = date(2001, 6, 15)
@@ -504,6 +506,18 @@ def sox_active(spark, d):
     return lifecycle.active_snapshot(view(spark, d, "lifecycle"))
 
 
+@query
+def sox_active_weekly(spark, d):
+    days = [date.fromisoformat(x) for x in SNAPSHOTS]
+    return lifecycle.active_snapshots(view(spark, d, "lifecycle"), days)
+
+
+@query
+def sox_active_weekly_pacific(spark, d):
+    days = [date.fromisoformat(x) for x in SNAPSHOTS]
+    return lifecycle.active_snapshots(view(spark, d, "lifecycle"), days, clock.PACIFIC)
+
+
 REPORTS = {
     "sox_acquired": lifecycle.acquired_subscribers,
     "sox_renewals": lifecycle.renewals_summary,
@@ -541,3 +555,41 @@ def case_states_l2(spark, d):
     return subscriptions.state_records(
         view(spark, d, "case_states"), "IN_REVIEW", CASE_FROM, CASE_TO
     )
+
+
+# Landing: the raw rows as lines of text, parsed again.
+
+
+def _lines(spark: SparkSession, d: str, provider: str, name: str) -> DataFrame:
+    raw = view(spark, d, name)
+    fields = F.struct(*raw_widths(provider))
+    if provider == "direct_billing":
+        return raw.select(F.to_json(fields).alias("value"))
+    sep = {"sep": landing.SEPARATORS[provider], "escape": '"'}
+    return raw.select(F.to_csv(fields, sep).alias("value"))
+
+
+@query
+def land_apple(spark, d):
+    return staging.clean_raw(landing.parse_text(_lines(spark, d, "apple", "raw_apple"), "apple"), "apple")
+
+
+@query
+def land_amazon(spark, d):
+    return staging.clean_raw(landing.parse_text(_lines(spark, d, "amazon", "raw_amazon"), "amazon"), "amazon")
+
+
+@query
+def land_direct_billing(spark, d):
+    rows = landing.parse_json(_lines(spark, d, "direct_billing", "raw_billing"))
+    return staging.clean_raw(rows, "direct_billing")
+
+
+@query
+def land_rejects(spark, d):
+    """Every thirteenth order's lines lose their first separator; others may lack a required field."""
+    order = F.regexp_extract("value", ",t([0-9]+)-", 1).cast("bigint")
+    broken = F.when(order % 13 == 0, F.regexp_replace("value", "^([^,]*),", "$1")).otherwise(F.col("value"))
+    lines = _lines(spark, d, "amazon", "raw_amazon").select(broken.alias("value"))
+    rows = landing.with_required(landing.parse_text(lines, "amazon"), ["receipt_id"])
+    return rows.groupBy(F.coalesce("_reason", F.lit("landed")).alias("reason")).agg(F.count("*").alias("lines"))
