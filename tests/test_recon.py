@@ -2,12 +2,15 @@
 
 import random
 from collections import Counter, defaultdict
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tillroll.operators.recon import (
+    MATCHERS,
     match_adyen,
     match_amazon,
     match_google,
@@ -18,6 +21,7 @@ from tillroll.operators.recon import (
     vendor_reference_lists,
     within_dates,
 )
+from tillroll.plans.reconcile import reconcile_day, reconciled
 
 PAYMENT = (
     "payment_id bigint, merchant_account string, record_type string, psp_reference string, "
@@ -196,6 +200,45 @@ def test_amazon_pairs_are_as_many_as_can_be(spark, days):
     assert states(rows)["CHARGE_ONLY"] == len(charges) - most
 
 
+@pytest.mark.parametrize("provider", ["Amazon", "Google"])
+def test_daily_runs_find_what_one_run_finds(spark, tables, provider):
+    rng = random.Random(11)
+
+    def at(n):
+        return START + timedelta(days=n, seconds=rng.randrange(86400))
+
+    def reference():
+        return rng.choice(["hot", "hot", f"r{rng.randrange(12)}", "", None])
+
+    payments, charges = [], []
+    for n in range(160):
+        day = rng.randrange(6)
+        sub = rng.randrange(3)
+        charges.append(charge(n, vendor=reference(), sub=sub, at=at(day)))
+        payments.append(pay(n, reference(), sub=sub, at=at(day)))
+    paid, charged = spark.createDataFrame(payments, PAYMENT), spark.createDataFrame(charges, CHARGE)
+    whole = MATCHERS[provider](paid, charged).collect()
+    for day in (0, 1, 1, 3, 5):  # the second day twice, two days at once
+        first, last = {0: (0, 0), 1: (1, 1), 3: (2, 3), 5: (4, 5)}[day]
+        span = [START + timedelta(days=first), START + timedelta(days=last + 1)]
+        of_day = [
+            df.where((F.col(c) >= F.lit(span[0]).cast("timestamp_ntz")) & (F.col(c) < F.lit(span[1]).cast("timestamp_ntz")))
+            for df, c in ((paid, "utc_timestamp"), (charged, "charged_timestamp"))
+        ]
+        reconcile_day(tables, provider, (START + timedelta(days=day)).date(), *of_day)
+    daily = reconciled(tables, provider).collect()
+    keys = ("state", "payment_id", "charge_id", "recon_date", "payment_amount", "charge_amount")
+    assert Counter(tuple(r[k] for k in keys) for r in daily) == Counter(tuple(r[k] for k in keys) for r in whole)
+    assert states(whole)["MATCHED"] > 40
+    late = [pay(1000, "late", sub=9, at=at(0))], [charge(1000, vendor="late", sub=9, at=at(0))]
+    nothing = paid.where("false"), charged.where("false")
+    reconcile_day(tables, provider, date(2024, 2, 1), spark.createDataFrame(late[0], PAYMENT), nothing[1])
+    reconcile_day(tables, provider, date(2024, 2, 2), nothing[0], spark.createDataFrame(late[1], CHARGE))
+    assert (1000, 1000) in {(r.payment_id, r.charge_id) for r in reconciled(tables, provider).collect()}
+    with pytest.raises(ValueError, match="before that"):
+        reconcile_day(tables, provider, date(2024, 1, 1), *nothing)
+
+
 def test_reconcile_leaves_charges_of_other_providers_out(spark):
     payments = spark.createDataFrame([pay(1, "a"), pay(2, "b")], PAYMENT)
     charges = [(*charge(1, "a"), "amazon"), (*charge(2, "b"), "Google"), (*charge(3, "c"), None)]

@@ -257,6 +257,48 @@ SKU_SALES = {
     "file_tx_id": "string",
     "generation": "bigint",
 }
+# The two sides of a reconciliation, and what a match says of them.
+PSP_PAYMENTS = {
+    "payment_id": "bigint",
+    "merchant_account": "string",
+    "record_type": "string",
+    "psp_reference": "string",
+    "merchant_reference": "string",
+    "invoice_number": "string",
+    "event_code": "string",
+    "product_id": "string",
+    "subscription_id": "bigint",
+    "amount": "decimal(20,6)",
+    "currency": "string",
+    "utc_timestamp": "timestamp_ntz",
+}
+PSP_CHARGES = {
+    "charge_id": "bigint",
+    "merchant_account": "string",
+    "transaction_type": "string",
+    "psp_reference": "string",
+    "vendor_reference_id": "string",
+    "merchant_reference": "string",
+    "invoice_id": "string",
+    "product_id": "string",
+    "subscription_id": "bigint",
+    "amount": "decimal(20,6)",
+    "currency": "string",
+    "charged_timestamp": "timestamp_ntz",
+}
+RECON_DETAIL = {
+    "recon_date": "date",
+    "state": "string",
+    "payment_id": "bigint",
+    "charge_id": "bigint",
+    "subscription_id": "bigint",
+    "psp_reference": "string",
+    "merchant_account": "string",
+    "record_type": "string",
+    "product_id": "string",
+    "payment_amount": "decimal(20,6)",
+    "charge_amount": "decimal(20,6)",
+}
 # Lines of provider files that are no rows of the raw tables.
 REJECTS = {
     "provider": "string",

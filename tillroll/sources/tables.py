@@ -31,6 +31,9 @@ from tillroll.sources.schemas import (
     MONITOR_CONFIG,
     PAYMENTS,
     PROVIDERS,
+    PSP_CHARGES,
+    PSP_PAYMENTS,
+    RECON_DETAIL,
     REJECTS,
     SKU_KEY,
     SKU_SALES,
@@ -63,6 +66,10 @@ def table_schemas() -> dict[str, tuple[dict[str, str], tuple[str, ...]]]:
     tables["sku_sales"] = (SKU_SALES, ("file_tx_id", "generation"))
     tables["apple_sales"] = (typed_schema("apple"), ("file_tx_id",))
     tables["rejects"] = (REJECTS, ("file_tx_id",))
+    run = {"provider": "string", "run_day": "date"}
+    for name, columns in (("detail", RECON_DETAIL), ("open_payments", PSP_PAYMENTS), ("open_charges", PSP_CHARGES)):
+        tables[f"recon_{name}"] = ({**columns, **run}, tuple(run))
+    tables["recon_runs"] = (run, ())
     tables["collection_audit"] = (COLLECTION_AUDIT, ())
     for log, (columns, _) in LOGS.items():
         tables[log] = ({**columns, "event_seq": "bigint", "epoch": "bigint"}, ("epoch",))
@@ -71,9 +78,11 @@ def table_schemas() -> dict[str, tuple[dict[str, str], tuple[str, ...]]]:
     return tables
 
 
-def _literal(value: str | int) -> str:
+def _literal(value: str | int | date) -> str:
     if isinstance(value, int):
         return str(value)
+    if isinstance(value, date):
+        return f"DATE'{value.isoformat()}'"
     escaped = value.replace("\\", "\\\\").replace("'", "\\'")
     return f"'{escaped}'"
 
@@ -128,7 +137,7 @@ class RevenueTables:
         """The rows of one file; only its partition is scanned."""
         return self.read(table).where(F.col("file_tx_id") == file_tx_id)
 
-    def replace_partition(self, table: str, rows: DataFrame, **spec: str | int) -> None:
+    def replace_partition(self, table: str, rows: DataFrame, **spec: str | int | date) -> None:
         """Overwrite one partition, also when there are no rows. Running it twice is harmless."""
         columns, parts = self.schemas[table]
         if set(spec) != set(parts):
@@ -141,7 +150,14 @@ class RevenueTables:
             rows=rows,
         )
 
-    def drop_partition(self, table: str, **spec: str | int) -> None:
+    def renew_partition(self, table: str, rows: DataFrame, **spec: str | int | date) -> None:
+        """Drop one partition and write it anew from rows that may come from other partitions of the table.
+        Running it twice is harmless; whoever reads the partition must know by other means that it is whole."""
+        self.drop_partition(table, **spec)
+        values = {k: F.lit(v).cast(self.schemas[table][0][k]) for k, v in spec.items()}
+        rows.withColumns(values).select(*self.schemas[table][0]).write.insertInto(self.name(table))
+
+    def drop_partition(self, table: str, **spec: str | int | date) -> None:
         values = ", ".join(f"`{k}` = {_literal(v)}" for k, v in spec.items())
         self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION ({values})")
 

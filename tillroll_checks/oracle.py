@@ -718,6 +718,7 @@ for _name, _detail in DETAILS.items():
     )
     ORACLE[f"recon_{_name}_levels"] = with_views(["psp_payments", "charges"], _detail + LEVELS)
 
+ORACLE["recon_google_daily"] = ORACLE["recon_google"]
 ORACLE["recon_amazon_crowded"] = with_views(
     ["crowded_payments", "crowded_charges"],
     ", psp_payments as (select * from crowded_payments), charges as (select * from crowded_charges)"

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll_checks.inputs import SNAPSHOTS, view
+from tillroll_checks.loads import scratch_tables
 from tillroll.functions import clock, money, realms, text
 from tillroll.operators import (
     accrual as acc,
@@ -23,6 +24,7 @@ from tillroll.operators import (
     staging,
     subscriptions,
 )
+from tillroll.plans.reconcile import reconcile_day, reconciled
 from tillroll.sources import landing
 from tillroll.sources.schemas import raw_widths
 
@@ -356,6 +358,28 @@ for _name in recon.MATCHERS:
     add(f"recon_{_name.lower()}_own", _own(_name))
 
 
+def _daily(provider: str) -> Query:
+    """The match in three runs, each over the rows of its years and the rows left open before."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        tables = scratch_tables(spark)
+        payments, charges = _sides(spark, d)
+        for first, last in ((1900, 1993), (1994, 1996), (1997, 2100)):
+            reconcile_day(
+                tables,
+                provider,
+                date(last, 12, 31),
+                payments.where(F.year("utc_timestamp").between(first, last)),
+                charges.where(F.year("charged_timestamp").between(first, last)),
+            )
+        return reconciled(tables, provider).drop("subscription_id")
+
+    return run
+
+
+add("recon_google_daily", _daily("Google"))
+
+
 @query
 def recon_amazon_crowded(spark, d):
     payments, charges = view(spark, d, "crowded_payments"), view(spark, d, "crowded_charges")
