@@ -1081,3 +1081,58 @@ ORACLE["land_rejects"] = with_views(
       from (select receipt_id, cast(split_part(substr(transaction_id, 2), '-', 1) as bigint) as i
         from raw_amazon) l group by 1""",
 )
+
+
+# Loads
+
+SENT = """, sent as (select *, cast(substr(transaction_time, 9, 2) as int) as day from raw_amazon
+    where substr(transaction_time, 1, 7) = '1996-03' and cast(substr(transaction_time, 9, 2) as int) <= 20),
+  apple as (select * from raw_apple where file_tx_id = 'f_Apple_1996-03')"""
+
+
+def loads(select: str) -> str:
+    return with_views(["raw_amazon", "raw_apple"], SENT + select)
+
+
+ORACLE["load_audit"] = loads(
+    """ select 'd' || n as file_tx_id, 'Amazon_AMER' as data_source,
+      'amazon_go_sales_1996-03-' || lpad(cast(n as varchar), 2, '0') || '.csv' as data_file,
+      case when n = 20 then 'LOADED_FACT' else 'SUPERSEDED' end as status,
+      (select count(*) from sent where day <= n) as record_count_staging
+    from (values (5), (10), (20)) f(n)
+    union all select 'apple', 'Apple_AMER', 'apple.txt', 'LOADED_FACT', (select count(*) from apple)"""
+)
+UTC_TIME = AMAZON_TYPED.split(" as transaction_time_utc")[0].rsplit("transaction_time_local_tz,", 1)[1].strip()
+ORACLE["load_payments"] = loads(
+    f""" select 'd20' as file_tx_id, transaction_id,
+      cast(sales_price_marketplace_currency as decimal(20,6)) as main_amount,
+      {UTC_TIME} as utc_timestamp,
+      coalesce(receipt_id, '') || '~' || cast({UTC_TIME} as varchar) || '~' || transaction_type || '~' as record_key
+    from sent"""
+)
+REVENUE = """select 'Amazon' as payment_provider, vendor_sku as sku_id, 'd20' as file_tx_id,
+      sum(abs(cast(sales_price_marketplace_currency as decimal(20,6)))) as revenue,
+      bool_or(transaction_type = 'Charge' and item_type = 'Subscription') as eligible
+    from sent where vendor_sku is not null group by 1, 2
+    union all select 'Apple', sku, 'apple', sum(abs(cast(customer_price as decimal(20,6))) * cast(units as int)), true
+    from apple where subscription in ('New', 'Renewal') group by 1, 2"""
+ORACLE["load_sku_sales"] = loads(
+    f""" select payment_provider, sku_id, 'AMER' as file_tx_region, file_tx_id,
+      cast(revenue as decimal(38,6)) as value from ({REVENUE})"""
+)
+ORACLE["load_skus"] = loads(
+    f""" select payment_provider, sku_id, 'AMER' as file_tx_region,
+      case when revenue > 0 and not (sku_id ilike '%.foodnetwork.%' or sku_id ilike '%golftv%' or sku_id ilike '%ppv%')
+        then 'Y' else 'N' end as included_in_accrual_yn
+    from ({REVENUE}) where eligible"""
+)
+ORACLE["load_master"] = loads(
+    """ select 'm' as mv_id, 'd' || n as file_tx_id,
+      case when n = 20 then 'LOADED_FACT' else 'SUPERSEDED' end as load_status,
+      (select count(*) from sent where day <= n) as raw_transaction_count,
+      (select count(*) from sent where day <= n) as final_transaction_count,
+      case when n = 20 then (select count(*) from sent) else 0 end as fact_transaction_count
+    from (values (5), (10), (20)) f(n)"""
+)
+ORACLE["load_monitor_stamp"] = """select 'm' as mv_id, 'ENABLED' as mv_status, date '1996-03-05' as mv_min_date,
+  date '1996-03-20' as mv_max_date, cast(3 as bigint) as mv_row_count"""

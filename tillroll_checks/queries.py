@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll_checks.inputs import SNAPSHOTS, view
-from tillroll_checks.loads import scratch_tables
+from tillroll_checks.loads import loaded, scratch_tables
 from tillroll.functions import clock, money, realms, text
 from tillroll.operators import (
     accrual as acc,
@@ -617,3 +617,41 @@ def land_rejects(spark, d):
     lines = _lines(spark, d, "amazon", "raw_amazon").select(broken.alias("value"))
     rows = landing.with_required(landing.parse_text(lines, "amazon"), ["receipt_id"])
     return rows.groupBy(F.coalesce("_reason", F.lit("landed")).alias("reason")).agg(F.count("*").alias("lines"))
+
+
+# Loads of files from end to end
+
+
+@query
+def load_audit(spark, d):
+    columns = ("file_tx_id", "data_source", "data_file", "status", "record_count_staging")
+    return loaded(spark, d).audit().select(*columns)
+
+
+@query
+def load_payments(spark, d):
+    columns = ("file_tx_id", "transaction_id", "main_amount", "utc_timestamp", "record_key")
+    return loaded(spark, d).read("payments").select(*columns)
+
+
+@query
+def load_sku_sales(spark, d):
+    return loaded(spark, d).sku_sales().drop("generation")
+
+
+@query
+def load_skus(spark, d):
+    columns = ("payment_provider", "sku_id", "file_tx_region", "included_in_accrual_yn")
+    return loaded(spark, d).skus().select(*columns)
+
+
+@query
+def load_master(spark, d):
+    counts = ("raw_transaction_count", "final_transaction_count", "fact_transaction_count")
+    return loaded(spark, d).read("ingestion_master").select("mv_id", "file_tx_id", "load_status", *counts)
+
+
+@query
+def load_monitor_stamp(spark, d):
+    columns = ("mv_id", "mv_status", "mv_min_date", "mv_max_date", "mv_row_count")
+    return loaded(spark, d).monitor_config().select(*columns)
