@@ -12,7 +12,7 @@ from tests.llm.plain import ROWS, groups_of, shingles
 from pyspark.sql import functions as F
 
 from tillroll.llm import chat_format, packing, secret_scan, source_mix
-from tillroll.llm.exact_dedup import exact_duplicates, without_copies
+from tillroll.llm.exact_dedup import build_index, exact_duplicates, without_copies
 from tillroll.llm.fingerprints import Sampler, edited, fingerprint_documents, likeness
 from tillroll.llm.graph import components
 from tillroll.llm.language import LanguageSettings, fit_language_model, held_out, identified, predict_language
@@ -62,6 +62,20 @@ def test_near_dedup_tells_texts_of_one_id_apart(spark):
     assert kept == Counter([(1, base), (5, other), (None, base), (9, None)])
 
 
+def test_the_chains_decide_the_groups(spark, docs):
+    """With one key for all texts, only the comparison along its chain tells them apart."""
+    index = build_index(docs, F.lit(7).cast("long")).collect()
+    texts = {(t or "").encode() for _, t, *_ in ROWS}
+    assert {bytes(r["text"]) for r in index} == texts and {r["key"] for r in index} == {7}
+    assert sorted(r["chain"] for r in index) == list(range(1, len(texts) + 1)) and {r["links"] for r in index} == {len(texts)}
+    many = spark.range(3000).selectExpr("id AS doc_id", "concat('t', id % 1000) AS text")
+    key = F.xxhash64("text")
+    buckets = Counter(r["bucket"] for r in build_index(many, key, 62).collect())
+    assert sum(buckets.values()) == 1000 and max(buckets.values()) <= 62
+    assert len({b.split(":")[0] for b in buckets}) > 1  # depths of their own
+    assert {r["group_size"] for r in exact_duplicates(many, 50).collect()} == {3}
+
+
 def test_exact_dedup_keeps_clashing_columns(docs):
     kept = without_copies(docs.withColumn("text_sha256", F.lit("own")).withColumn("keep_id", F.lit(1)))
     assert kept.columns[-2:] == ["text_sha256", "keep_id"] and {r["text_sha256"] for r in kept.collect()} == {"own"}
