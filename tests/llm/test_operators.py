@@ -1,6 +1,7 @@
 """Small fixtures with odd rows, each against a plain computation."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -350,6 +351,43 @@ def test_plan_uses_every_piece_once():
     assert packing.plan({}) == []
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_the_sum_index_finds_every_combination(seed):
+    """While pieces are taken and `most` falls, against all combinations of the free lengths."""
+    rng, high = random.Random(seed), 24
+    index = packing.SumIndex(dict(Counter(rng.randint(1, high - 1) for _ in range(40))), high)
+    for most in range(high - 1, 0, -1):
+        for total in rng.sample(range(1, high), 8):
+            pieces = [n for n in range(1, high) for _ in range(int(index.free[n]))]
+            sums = {2: set(), 3: set()}
+            for size in sums:
+                for c in itertools.combinations(pieces, size):
+                    if max(c) <= most and sum(c) == total:
+                        sums[size].add(tuple(sorted(c, reverse=True)))
+            assert index.single(total) == ((total,) if total in pieces else None)
+            pair, triple = index.pair(total, most), index.triple(total, most)
+            assert pair == max(sums[2], default=None) and triple == max(sums[3], default=None)
+            for found in (pair, triple):
+                if found and rng.random() < 0.2 and all(index.free[x] >= found.count(x) for x in found):
+                    assert index.take(found) > 0
+
+
+def test_the_plan_says_how_many_parts_it_uses():
+    parts, plan = packing.best_plan({600: 2, 424: 2, 300: 1, 62: 2}, 1024)
+    assert parts in (1, 2, 3) and sum(n for _, n in plan) == 3
+    assert packing.best_plan({1000: 1, 8: 3}, 1024) == (3, [((1000, 8, 8, 8), 1)])
+
+
+def test_fitting_draws_a_text_once(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["der", "und", "nicht"], k=9)) + str(i) for i in range(50)]
+    rows = [(i, "the and thing " * 5, "en") for i in range(3000)] + [(i, t, "de") for i, t in enumerate(texts)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_language_model(known, LanguageSettings(rows_per_language=20))
+    found = predict_language(known, model, ["lang"])
+    assert found.where("lang != lang_pred").count() == 0
+
+
 def test_fingerprints(docs, nothing):
     found = fingerprint_documents(docs.where("doc_id is not null and doc_id != 10")).collect()
     rows = sorted((r[0], r[1] or "") for r in ROWS if r[0] not in (None, 10))

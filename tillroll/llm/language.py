@@ -6,6 +6,7 @@ probabilities are calibrated with one temperature on rows that the weights have
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -132,9 +133,10 @@ def fit_language_model(docs: DataFrame, settings: LanguageSettings = LanguageSet
     """Learn from the columns text and lang of docs; every other column is only used to draw rows.
 
     Document frequencies are counted over all rows that have a text and a lang. The weights are fitted on
-    about `rows_per_language` rows of each language, drawn by a hash of the text, so at most that many
-    times the number of languages (and a few) reach the driver. Rows without text or lang teach nothing;
-    without any row the model knows no language and predicts `und`.
+    about `rows_per_language` different texts of each language, drawn by a hash of the text, and a text is
+    drawn once however many copies it has; so at most that many times the number of languages (and a few)
+    reach the driver. Rows without text or lang teach nothing; without any row the model knows no language
+    and predicts `und`.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
     counted = known.select("text").mapInArrow(_document_counts, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
@@ -145,25 +147,31 @@ def fit_language_model(docs: DataFrame, settings: LanguageSettings = LanguageSet
         df[at] = n
     idf = np.log((1 + documents) / (1 + df)) + 1
 
-    per_language = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    marked = known.withColumn("hash", F.xxhash64("text", F.lit(seed)))
+    different = marked.select("lang", "hash").distinct().groupBy("lang").count()
+    per_language = {r["lang"]: r["count"] for r in different.collect()}
     languages = tuple(sorted(per_language))
     if not languages:
         return LanguageModel((), idf, np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
-    draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000))
+    draw = F.pmod(F.col("hash"), F.lit(1_000_000))
     share = F.lit(0)
     for lang in languages:
         cut = min(1_000_000, -(-1_000_000 * settings.rows_per_language // per_language[lang]))
         share = F.when(F.col("lang") == lang, F.lit(cut)).otherwise(share)
-    drawn = known.where(draw < share).toArrow().to_pylist()
+    drawn = marked.where(draw < share).dropDuplicates(["lang", "hash"]).toArrow().to_pylist()
     drawn.sort(key=lambda r: (r["lang"], r["text"]))
     rng = np.random.default_rng(seed)
     rng.shuffle(drawn)
     number = {lang: i for i, lang in enumerate(languages)}
     rows = [(*_weighted(r["text"], idf), number[r["lang"]]) for r in drawn]
-    held = int(len(rows) * settings.calibration_share)
-    weights, bias = _follow_the_leader(rows[held:], len(languages), settings)
-    logits = np.array([value @ weights[at] + bias for at, value, _ in rows[:held]])
-    return LanguageModel(languages, idf, weights, bias, _temperature(logits, np.array([r[2] for r in rows[:held]])))
+    keep = {label: int(n * settings.calibration_share) for label, n in Counter(r[2] for r in rows).items()}
+    held, fitted = [], []  # of each language the same share, and none of a language with few texts
+    for row in rows:
+        (held if keep[row[2]] > 0 else fitted).append(row)
+        keep[row[2]] -= 1
+    weights, bias = _follow_the_leader(fitted, len(languages), settings)
+    logits = np.array([value @ weights[at] + bias for at, value, _ in held])
+    return LanguageModel(languages, idf, weights, bias, _temperature(logits, np.array([r[2] for r in held])))
 
 
 def _predictions(broadcast):

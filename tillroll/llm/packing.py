@@ -72,31 +72,53 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     )
 
 
-class _Counts:
-    """How many pieces of each length are still free."""
+class SumIndex:
+    """Which free lengths add up to a sum: one, two or three of them.
+
+    Pairs are listed by their sum, the longest first part first. A list is walked from its head: a pair that
+    is used up, or whose first part is longer than may be asked for from now on, never comes back, so its place
+    is passed for good. A triple is a free length and a pair of what is missing.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.free = np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             self.free[length] = n
+        lengths = np.array(sorted(counts), np.int64)
+        high, low = (x.ravel() for x in np.meshgrid(lengths, lengths))
+        here = (high >= low) & (high + low < capacity)
+        high, low = high[here], low[here]
+        order = np.lexsort((-high, high + low))
+        self.high = high[order].tolist()
+        ends = np.searchsorted((high + low)[order], np.arange(capacity + 2)).tolist()
+        self.head, self.end = ends[:-1], ends[1:]
+        self.lengths = sorted(counts, reverse=True)
 
     def single(self, total: int) -> tuple[int, ...] | None:
         return (total,) if self.free[total] else None
 
-    def pair(self, total: int, most: int) -> tuple[int, ...] | None:
-        """Two free lengths with this sum, the first as long as can be."""
-        high = np.arange(min(most, total - 1), (total - 1) // 2, -1)
-        low = total - high
-        fits = (self.free[high] > 0) & (self.free[low] > (high == low))
-        at = np.flatnonzero(fits)
-        return (int(high[at[0]]), int(low[at[0]])) if len(at) else None
+    def pair(self, total: int, most: int, kept: int = 0) -> tuple[int, ...] | None:
+        """Two free lengths with this sum, the first as long as can be, beside one kept piece of a length.
+        `most` may not rise from call to call unless a piece is kept."""
+        free = self.free
+        passed = not kept
+        for place in range(self.head[total], self.end[total]):
+            a = self.high[place]
+            b = total - a
+            if free[a] > (a == b) and free[b] and a <= most:
+                if free[a] - (a == kept) > (a == b) and free[b] > (b == kept):
+                    return a, b
+                passed = False
+            elif passed:
+                self.head[total] = place + 1
+        return None
 
     def triple(self, total: int, most: int) -> tuple[int, ...] | None:
-        for first in range(min(most, total - 2), (total - 1) // 3, -1):
-            if self.free[first]:
-                self.free[first] -= 1
-                rest = self.pair(total - first, first)
-                self.free[first] += 1
+        for first in self.lengths:
+            if 3 * first < total:
+                return None
+            if first <= min(most, total - 2) and self.free[first]:
+                rest = self.pair(total - first, first, kept=first)
                 if rest:
                     return (first, *rest)
         return None
@@ -112,15 +134,15 @@ class _Counts:
         return n
 
 
-def _exact(counts: dict[int, int], capacity: int, parts: int) -> list[tuple[tuple[int, ...], int]]:
-    """Exact complements of up to `parts` lengths, then best fit."""
-    left = _Counts(counts, capacity)
+def exact_plan(counts: dict[int, int], capacity: int, parts: int) -> list[tuple[tuple[int, ...], int]]:
+    """Exact complements of up to `parts` lengths, longest pieces first, then best fit for what remains."""
+    left = SumIndex(counts, capacity)
     patterns: list[tuple[tuple[int, ...], int]] = []
     if left.free[capacity]:
         patterns.append(((capacity,), left.take((capacity,))))
-    for longest in range(capacity - 1, 0, -1):
+    for longest in left.lengths:
         gap = capacity - longest
-        while left.free[longest]:
+        while left.free[longest] and gap:
             left.free[longest] -= 1  # the one whose gap is filled
             rest = left.single(gap)
             if rest is None and parts > 1:
@@ -134,14 +156,19 @@ def _exact(counts: dict[int, int], capacity: int, parts: int) -> list[tuple[tupl
     return patterns + _best_fit({int(x): int(left.free[x]) for x in np.flatnonzero(left.free)}, capacity)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, number of sequences): patterns that use every counted piece.
+def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[int, list[tuple[tuple[int, ...], int]]]:
+    """(parts, plan): the plan of fewest sequences, and of how many lengths its complements are at most.
 
     Filling gaps with three pieces can use up short ones that other gaps need, so plans with combinations
-    of up to three, two and one lengths are made and the one of fewest sequences is taken.
+    of up to three, two and one lengths are made; of equally good ones that with the most parts is taken.
     """
-    tried = [_exact(counts, capacity, parts) for parts in (3, 2, 1)]
-    return min(tried, key=lambda patterns: sum(n for _, n in patterns))
+    tried = [(parts, exact_plan(counts, capacity, parts)) for parts in (3, 2, 1)]
+    return min(tried, key=lambda x: sum(n for _, n in x[1]))
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, number of sequences): patterns that use every counted piece."""
+    return best_plan(counts, capacity)[1]
 
 
 def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
