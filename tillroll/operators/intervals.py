@@ -90,43 +90,54 @@ def answered_days(cells: Column, days: int) -> Column:
     return F.aggregate(cells, start, step, lambda state: state["done"])
 
 
-def pair_within_days(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, ident: str, days: int
-) -> DataFrame:
-    """Rows of both sides that answer each other: the keys, {ident}_left, {ident}_right.
+def pair_within_days(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, ident: str, days: int) -> DataFrame:
+    """All rows of both sides, those that answer each other side by side and the others alone.
 
-    Both sides have the keys, a zone-less time `at` and a unique `ident`, none of them NULL. Of a day's
-    rows, the first by time, then ident, are answered.
+    Both sides have the keys, a zone-less time `at` and a unique `ident`; their other columns differ and come
+    back with {ident}_left and {ident}_right. A row with a NULL key or time is alone. Of a day's rows, the
+    first by time, then ident, are answered. Each side is read twice: to count its rows and to number them.
     """
-    day = F.unix_date(F.col(at).cast("date"))
-    sides = {name: df.select(*keys, at, ident, day.alias("_day")) for name, df in (("left", left), ("right", right))}
-    cell = [*keys, "_day"]
+    own_keys = [*keys, "_own"]
+    cell = [*own_keys, "_day"]
+    sides = {}
+    for name, df in (("left", left), ("right", right)):
+        whole = F.col(at).isNotNull()
+        for k in keys:
+            whole = whole & F.col(k).isNotNull()
+        alone = F.concat(F.lit(f"{name} "), F.col(ident).cast("string"))
+        sides[name] = df.withColumn("_own", F.when(whole, F.lit("")).otherwise(alone)).withColumns(
+            {k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys}
+            | {"_day": F.coalesce(F.unix_date(F.col(at).cast("date")), F.lit(0))}
+        )
     counts = (
         sides["left"].select(*cell, _long(1).alias("l"), _long(0).alias("r"))
         .unionByName(sides["right"].select(*cell, _long(0).alias("l"), _long(1).alias("r")))
+        .where(F.col("_own") == "")
         .groupBy(*cell)
         .agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     )
-    listed = counts.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("_day").alias("day"), F.col("l").alias("left"), F.col("r").alias("right")))).alias("_cells"),
-        F.sum("l").alias("_l"),
-        F.sum("r").alias("_r"),
+    days_of_key = F.struct(F.col("_day").alias("day"), F.col("l").alias("left"), F.col("r").alias("right"))
+    listed = counts.groupBy(*own_keys).agg(
+        F.sort_array(F.collect_list(days_of_key)).alias("_cells"), F.sum("l").alias("_l"), F.sum("r").alias("_r")
     )
     both = listed.where((F.col("_l") > 0) & (F.col("_r") > 0))
     answered = (
-        both.select(*keys, F.explode(answered_days(F.col("_cells"), days)).alias("_x"))
-        .groupBy(*keys, F.col("_x.day").alias("_day"))
+        both.select(*own_keys, F.explode(answered_days(F.col("_cells"), days)).alias("_x"))
+        .groupBy(*own_keys, F.col("_x.day").alias("_day"))
         .agg(F.sum("_x.left").alias("left"), F.sum("_x.right").alias("right"))
     )
-    earlier = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    found = []
+    earlier = Window.partitionBy(*own_keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    found = {}
     for name, df in sides.items():
         before = F.coalesce(F.sum(name).over(earlier), F.lit(0))
         served = answered.withColumn("_before", before).where(F.col(name) > 0).select(*cell, F.col(name).alias("_n"), "_before")
-        numbered = position(df, cell, [at, ident], hour_bucket(F.col(at)), "_rank").join(served, cell)
-        found.append(
-            numbered.where(F.col("_rank") <= F.col("_n")).select(
-                *keys, (F.col("_before") + F.col("_rank")).alias("_nr"), F.col(ident).alias(f"{ident}_{name}")
-            )
+        numbered = position(df, cell, [at, ident], hour_bucket(F.col(at)), "_rank").join(served, cell, "left")
+        number = F.when(F.col("_rank") <= F.col("_n"), F.col("_before") + F.col("_rank"))
+        alone = F.concat(F.lit(f"{name} "), F.col(ident).cast("string"))
+        found[name] = (
+            numbered.withColumn("_nr", F.coalesce(number, F.lit(0)))
+            .withColumn("_own", F.when(F.col("_nr") > 0, F.lit("")).otherwise(alone))
+            .drop("_day", "_rank", "_n", "_before", at)
+            .withColumnRenamed(ident, f"{ident}_{name}")
         )
-    return found[0].join(found[1], [*keys, "_nr"]).drop("_nr")
+    return found["left"].join(found["right"], [*own_keys, "_nr"], "full").drop(*own_keys, "_nr")

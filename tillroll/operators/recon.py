@@ -71,16 +71,19 @@ def _one_to_one(payments: DataFrame, charges: DataFrame, keys: Sequence[str]) ->
     return left.join(right, [*by, "_nr"], "full").drop("_nr", "_own")
 
 
-def _detail(pairs: DataFrame) -> DataFrame:
-    """Level 3: one row per pair or unmatched row."""
-    state = (
+def _state() -> Column:
+    return (
         F.when(F.col("charge_id").isNull(), PAYMENT_ONLY)
         .when(F.col("payment_id").isNull(), CHARGE_ONLY)
         .otherwise(MATCHED)
     )
+
+
+def _detail(pairs: DataFrame) -> DataFrame:
+    """Level 3: one row per pair or unmatched row."""
     return pairs.select(
         F.coalesce(F.col("paid_at"), F.col("charged_at")).cast("date").alias("recon_date"),
-        state.alias("state"),
+        _state().alias("state"),
         "payment_id",
         "charge_id",
         "psp_reference",
@@ -206,50 +209,43 @@ def match_amazon(payments: DataFrame, charges: DataFrame, days: int = 1) -> Data
     is at most `days` from the payment's day, one to one: as many pairs as can be (see `intervals`). A pair
     is one row, dated by the payment. Payments without subscription or reference match nothing, charges
     neither."""
-    keys = ["subscription_id", "_reference"]
-    paid = payments.select(
-        "subscription_id",
-        _reference("psp_reference").alias("_reference"),
-        F.col("payment_id").alias("_id"),
-        F.col("utc_timestamp").alias("_at"),
-    )
-    charged = charges.select(
-        "subscription_id",
-        _reference("vendor_reference_id").alias("_reference"),
-        F.col("charge_id").alias("_id"),
-        F.col("charged_timestamp").alias("_at"),
-    )
-    whole = F.col("subscription_id").isNotNull() & F.col("_reference").isNotNull() & F.col("_at").isNotNull()
-    pairs = pair_within_days(paid.where(whole), charged.where(whole), keys, "_at", "_id", days).select(
-        F.col("_id_left").alias("payment_id"), F.col("_id_right").alias("charge_id")
-    )
-    answers = charges.select("charge_id", F.col("amount").alias("charge_amount"))
-    answered = pairs.join(answers, "charge_id")
-    of_payments = payments.join(answered, "payment_id", "left").select(
-        F.col("utc_timestamp").cast("date").alias("recon_date"),
-        F.when(F.col("charge_id").isNotNull(), MATCHED).otherwise(PAYMENT_ONLY).alias("state"),
+
+    def side(rows: DataFrame, mark: str, ident: str, reference: str, kind: str, at: str) -> DataFrame:
+        return rows.select(
+            F.col("subscription_id").alias("_subscription"),
+            _reference(reference).alias("_reference"),
+            F.col(ident).alias("_id"),
+            F.col(at).alias("_at"),
+            F.col(at).cast("date").alias(f"_{mark}_day"),
+            F.col("subscription_id").alias(f"_{mark}_subscription"),
+            F.col(reference).alias(f"_{mark}_reference"),
+            F.col("merchant_account").alias(f"_{mark}_account"),
+            F.col(kind).alias(f"_{mark}_type"),
+            F.col("product_id").alias(f"_{mark}_product"),
+            F.col("amount").alias(f"_{mark}_amount"),
+        )
+
+    paid = side(payments, "p", "payment_id", "psp_reference", "record_type", "utc_timestamp")
+    charged = side(charges, "c", "charge_id", "vendor_reference_id", "transaction_type", "charged_timestamp")
+    pairs = pair_within_days(paid, charged, ["_subscription", "_reference"], "_at", "_id", days)
+    pairs = pairs.withColumnsRenamed({"_id_left": "payment_id", "_id_right": "charge_id"})
+
+    def either(name: str) -> Column:
+        return F.when(F.col("payment_id").isNotNull(), F.col(f"_p_{name}")).otherwise(F.col(f"_c_{name}"))
+
+    return pairs.select(
+        either("day").alias("recon_date"),
+        _state().alias("state"),
         "payment_id",
         "charge_id",
-        "subscription_id",
-        "psp_reference",
-        "merchant_account",
-        "record_type",
-        "product_id",
-        F.col("amount").alias("payment_amount"),
-        "charge_amount",
-    )
-    of_charges = charges.join(pairs.select("charge_id"), "charge_id", "left_anti").select(
-        F.col("charged_timestamp").cast("date").alias("recon_date"),
-        F.lit(CHARGE_ONLY).alias("state"),
-        "charge_id",
-        "subscription_id",
-        F.col("vendor_reference_id").alias("psp_reference"),
-        "merchant_account",
-        F.col("transaction_type").alias("record_type"),
-        "product_id",
-        F.col("amount").alias("charge_amount"),
+        either("subscription").alias("subscription_id"),
+        either("reference").alias("psp_reference"),
+        either("account").alias("merchant_account"),
+        either("type").alias("record_type"),
+        either("product").alias("product_id"),
+        F.col("_p_amount").alias("payment_amount"),
+        F.col("_c_amount").alias("charge_amount"),
     )
-    return of_payments.unionByName(of_charges, allowMissingColumns=True)
 
 
 MATCHERS = {
