@@ -1,6 +1,7 @@
 """Small fixtures with odd rows, each against a plain computation."""
 
 import hashlib
+import heapq
 import itertools
 import random
 import re
@@ -265,7 +266,37 @@ def test_small_source_cuts_no_other(spark):
     seen = Counter()
     for k in range(len(by_slot)):
         seen[by_slot[k]] += 1
-        assert all(abs(seen[s] - (k + 1) * b / len(by_slot)) < 2 for s, b in own.items())
+        assert all(abs(seen[s] * len(by_slot) - (k + 1) * b) < len(by_slot) for s, b in own.items())
+
+
+def earliest_due_first(sizes):
+    """One slot after the other, with a heap of the released blocks."""
+    total = sum(sizes.values())
+    blocks = sorted((j * total // b, -(-(j + 1) * total // b), name, j) for name, b in sizes.items() for j in range(b))
+    heap, found = [], []
+    for slot in range(total):
+        while blocks and blocks[0][0] <= slot:
+            released, due, name, j = blocks.pop(0)
+            heapq.heappush(heap, (due, name, j, released))
+        due, name, j, released = heapq.heappop(heap)
+        found.append((slot, name, j, released, due))
+    return found
+
+
+@pytest.mark.parametrize("seed, cycle", [(1, 8), (2, 64), (3, 1), (4, 2048)])
+def test_cycles_make_up_one_schedule(spark, seed, cycle):
+    rng = random.Random(seed)
+    sizes = {f"s{i:02d}": rng.choice([1, 2, 3, rng.randint(1, 40), rng.randint(1, 300)]) for i in range(seed * 7)}
+    blocks = spark.createDataFrame([*sizes.items(), ("none", 0)], "name string, b long")
+    states = source_mix.cycle_states(blocks, cycle)
+    found = sorted((r["slot"], r["name"], r["block"], r["released"], r["due"]) for r in source_mix.cycle_schedule(states).collect())
+    assert found == earliest_due_first(sizes)
+    seen, total = Counter(), len(found)
+    for slot, name, _, released, due in found:
+        seen[name] += 1
+        assert released <= slot < due
+        assert all(abs(seen[s] * total - (slot + 1) * b) < total for s, b in sizes.items())
+    assert source_mix.cycle_states(blocks.where("b = 0"), cycle).count() == 0
 
 
 def test_encoder_is_exact():

@@ -1,14 +1,15 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
 A source's target is its share of the largest mix for which no source lacks a row; its rows are dealt in
-blocks, one block a slot. With N blocks in all, B of a source, the first T slots should hold T * B / N of
-its blocks. Slots are planned in cycles. At the end of a cycle every source has that number of blocks,
-rounded down or up; which sources are rounded up is decided in the order of their due times, so that no
-source ever has to give a block back, and rare sources have no block in most cycles. Within a cycle of M
-slots, block j of the p of a source is released at slot floor(j * M / p) and due at ceil((j + 1) * M / p);
-each slot takes the released block that is due first, and all meet their due times. So at every slot each
-source is less than two blocks away from its exact share, and at the end all have exactly their target.
-The ends of the cycles are one small sequence; the cycles are scheduled independently of each other.
+blocks, one block a slot. With N blocks in all, block j of the B of a source is released at slot
+floor(j * N / B) and due at ceil((j + 1) * N / B); each slot takes the released block that is due first, and
+all meet their due times. So after T slots a source has T * B / N blocks, rounded down or up: at every slot
+it is less than one block away from its exact share, and at the end all have exactly their target.
+
+The schedule is one for all slots, but it is computed in cycles that do not wait for each other. Before any
+cycle a source has had either all its released blocks or all but the last one, and which sources still have
+one waiting follows from the release and due times alone (_waiting). Numbers of blocks are multiplied as
+longs: 3 billion blocks at most; take larger blocks for more rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from tillroll.llm.scratch import stored
 CYCLE = 2048
 BLOCK_ROWS = 4
 CELL_ROWS = 1000
+RUN = 4096  # blocks or cycles that one row is exploded into
 MOST_DIGITS = 4  # cells of the hashed order: 16 to this power at most
 LARGEST_SHARE = 4  # by default no source weighs more than 1/4 of all rows
 
@@ -75,92 +77,141 @@ def source_targets(counts: DataFrame, weights: dict[str, int] | None = None) ->
     return weighed.withColumn("scarce", scarce).select("name", "n", F.least("n", target).alias("target"))
 
 
-def cycle_shares(blocks: DataFrame, cycle: int = CYCLE) -> DataFrame:
-    """begin, length, s (name, done, p): the p blocks after the first `done` of each source that has any
-    in the cycle of slots from `begin` on.
+def block_windows(blocks: DataFrame) -> DataFrame:
+    """name, block, total, released, due: the window of each block, from the exact weight of its source.
 
-    blocks: name, b per source. One step a cycle and source, over the number of blocks only.
+    blocks: name, b (the number of its blocks) per source. A source is dealt out in runs of RUN blocks, so
+    one with most of all blocks is spread over the tasks.
     """
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = F.sum("b").over(Window.partitionBy())  # a row per source
+    sources = blocks.where("b > 0").select("name", F.col("b").cast("long").alias("b")).withColumn("total", total)
+    runs = sources.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1, F.lit(RUN).cast("long"))))
+    last = F.least(F.col("run") + RUN, "b") - 1
+    each = runs.repartition(tasks, "name", "run").withColumn("block", F.explode(F.sequence(F.col("run"), last)))
+    return each.select("name", "block", "total", _released(F.col("block"), F.col("b"), F.col("total")).alias("released"), _due(F.col("block"), F.col("b"), F.col("total")).alias("due"))
+
+
+def _released(block: Column, b: Column, total: Column) -> Column:
+    return _div(block * total, b)
+
+
+def _due(block: Column, b: Column, total: Column) -> Column:
+    return _up((block + 1) * total, b)
+
+
+def _cycles(blocks: DataFrame, cycle: int) -> DataFrame:
+    """m, begin, end, total, s (name, b), waiting: the blocks released and not yet dealt at `end`, a number."""
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     one = (
         blocks.where("b > 0")
         .agg(F.sort_array(F.collect_list(F.struct("name", F.col("b").cast("long").alias("b")))).alias("s"), F.sum("b").cast("long").alias("total"))
         .where("total > 0")
     )
-    total = F.col("total")
-
-    def step(state: Column, m: Column) -> Column:
-        end = F.least(m * cycle, total)
+    count = _up(F.col("total"), cycle)
+    runs = one.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), count - 1, F.lit(RUN).cast("long"))))
+    each = runs.repartition(tasks, "run").withColumn("m", F.explode(F.sequence(F.col("run"), F.least(F.col("run") + RUN, count) - 1)))
+    ends = each.withColumn("begin", F.col("m") * cycle).withColumn("end", F.least((F.col("m") + 1) * cycle, "total"))
+    released = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + _up(F.col("end") * x["b"], F.col("total")))
+    return ends.select("m", "begin", "end", "total", "s", (released - F.col("end")).alias("waiting"))
 
-        def chosen(low: Column) -> Column:
-            def due(x: Column, i: Column) -> Column:
-                b = F.get(F.col("s"), i)["b"]
-                return F.when(x < _up(end * b, total), F.struct(_up((x + 1) * total, b).alias("due"), i.alias("i")))
 
-            def cut(dues: Column) -> Column:
-                extra = end - F.aggregate(low, F.lit(0).cast("long"), lambda a, x: a + x)
-                last = F.get(F.sort_array(F.filter(dues, lambda x: x.isNotNull())), (extra - 1).cast("int"))
-                return _let(last, lambda y: F.zip_with(low, dues, lambda x, d: x + F.coalesce((d <= y).cast("long"), F.lit(0).cast("long"))))
+def _waiting(blocks: DataFrame, cycles: DataFrame, cycle: int) -> DataFrame:
+    """m, waiting: the sources with a block that waits at the end of cycle m, released and due behind it.
 
-            return _let(F.transform(low, due), cut)
-
-        def after(done: Column) -> Column:
-            own = F.transform("s", lambda x, i: F.struct(x["name"].alias("name"), F.get(state["done"], i).alias("done"), (F.get(done, i) - F.get(state["done"], i)).alias("p")))
-            begin = (m - 1) * cycle
-            now = F.struct(begin.alias("begin"), (end - begin).alias("length"), F.filter(own, lambda x: x["p"] > 0).alias("s"))
-            return F.struct(done.alias("done"), F.concat(state["cycles"], F.array(now)).alias("cycles"))
+    Earliest due first never idles, so the number of blocks that wait at a slot is that of the released
+    ones less that of the slots. Of the blocks released before slot a, no more can still wait at the end
+    of the cycle than at any slot from a on: `room` is the least of these numbers. Within these bounds,
+    the blocks that wait are the ones that are due last.
+    """
+    windows = block_windows(blocks).withColumn("m", _div(F.col("released"), cycle))
+    at_end = cycles.select("m", F.col("waiting").alias("at_end"))
+    before = cycles.select((F.col("m") + 1).alias("m"), F.col("waiting").alias("at_begin"))
+    known = windows.join(at_end, "m").join(before, "m", "left").withColumn("back", -F.col("released"))
+    earlier = Window.partitionBy("m").orderBy("released").rangeBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("m").orderBy("back").rangeBetween(Window.unboundedPreceding, -1)
+    number = F.coalesce("at_begin", F.lit(0)) + F.count("*").over(earlier) - (F.col("released") - F.col("m") * cycle)
+    low = known.withColumn("here", number).withColumn("room", F.least("at_end", F.min("here").over(later)))
+    low = stored(low.select("m", "name", "block", "released", "due", "here", "room"), "mix-windows")
+
+    inside = low.where(F.col("released") > F.col("m") * cycle).groupBy("m").agg(F.min("here").alias("here"))
+    whole = at_end.join(inside, "m", "left").select(F.col("m").alias("at"), F.least("at_end", "here").alias("least"))
+    over = low.withColumn("last", _div(F.col("due") - 1, cycle) - 1).where("last >= m")
+    each = over.withColumn("at", F.explode(F.sequence("m", "last"))).join(whole, "at")
+    so_far = Window.partitionBy("name", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    room = F.min(F.when(F.col("at") == F.col("m"), F.col("room")).otherwise(F.col("least"))).over(so_far)
+    per_cycle = each.withColumn("room", room.cast("int")).groupBy("at").agg(F.sort_array(F.collect_list(F.struct("released", "due", "name", "room"))).alias("open"))
+
+    def kept(held: Column, x: Column) -> Column:
+        return F.slice(F.sort_array(F.concat(held, F.array(F.struct(x["due"].alias("due"), x["name"].alias("name")))), asc=False), 1, x["room"])
+
+    none = F.array().cast("array<struct<due:bigint,name:string>>")
+    return per_cycle.select(F.col("at").alias("m"), F.aggregate("open", none, kept, lambda x: x["name"]).alias("waiting"))
+
+
+def cycle_states(blocks: DataFrame, cycle: int = CYCLE) -> DataFrame:
+    """begin, length, total, s (name, b, done): the state of the global schedule before each cycle.
+
+    blocks: name, b per source. `done` is the number of blocks that the source has had before `begin`;
+    sources without a block to deal in the cycle are left out. No cycle waits for another: each state
+    follows from the windows of the blocks (see _waiting).
+    """
+    cycles = stored(_cycles(blocks, cycle), "mix-ends")
+    late = _waiting(blocks, cycles, cycle).select((F.col("m") + 1).alias("m"), F.col("waiting").alias("late"))
 
-        low = F.zip_with(state["done"], F.col("s"), lambda d, x: F.greatest(d, _div(end * x["b"], total)))
-        return _let(_let(low, chosen), after)
+    def state(x: Column) -> Column:
+        waits = F.coalesce(F.array_contains("late", x["name"]).cast("long"), F.lit(0).cast("long"))
+        return F.struct(x["name"].alias("name"), x["b"].alias("b"), (_up(F.col("begin") * x["b"], F.col("total")) - waits).alias("done"))
 
-    kind = "array<struct<begin:bigint,length:bigint,s:array<struct<name:string,done:bigint,p:bigint>>>>"
-    start = F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("done"), F.array().cast(kind).alias("cycles"))
-    steps = F.sequence(F.lit(1).cast("long"), _up(total, cycle))
-    return one.select(F.explode(F.aggregate(steps, start, step, lambda x: x["cycles"])).alias("c")).select("c.*")
+    states = F.filter(F.transform("s", state), lambda x: _up(F.col("end") * x["b"], F.col("total")) > x["done"])
+    return cycles.join(late, "m", "left").select("begin", (F.col("end") - F.col("begin")).alias("length"), "total", states.alias("s"))
 
 
-def cycle_schedule(shares: DataFrame) -> DataFrame:
-    """name, block, begin, slot, released, due: the blocks of the cycles of cycle_shares.
+def cycle_schedule(states: DataFrame) -> DataFrame:
+    """name, block, begin, slot, released, due: the blocks of the cycles of cycle_states.
 
     Earliest due first, one slot after the other; ties go to the first name.
     """
+    total = F.col("total")
+
+    def turn(i: Column, block: Column) -> Column:
+        def of(b: Column) -> Column:
+            fields = (_due(block, b, total).alias("due"), i.alias("i"), _released(block, b, total).alias("released"), block.alias("block"))
+            return F.when(block < b, F.struct(*fields))
+
+        return _let(F.get(F.col("s"), i)["b"], of)
 
     def run(state: Column, t: Column) -> Column:
-        ready = F.transform(
-            F.zip_with("s", state["done"], lambda x, d: F.struct(x["p"].alias("p"), d.alias("done"))),
-            lambda x, i: F.when(
-                (x["done"] < x["p"]) & (_div(x["done"] * F.col("length"), x["p"]) <= t),
-                F.struct(_up((x["done"] + 1) * F.col("length"), x["p"]).alias("due"), i.alias("i")),
-            ),
-        )
+        ready = F.filter(state["next"], lambda x: x["released"] <= F.col("begin") + t)
         return _let(
-            F.array_min(ready)["i"],
+            F.array_min(ready),
             lambda first: F.struct(
-                F.transform(state["done"], lambda d, i: d + (i == first).cast("long")).alias("done"),
+                F.transform(state["next"], lambda x: F.when(x["i"] == first["i"], turn(x["i"], x["block"] + 1)).otherwise(x)).alias("next"),
                 F.concat(state["taken"], F.array(first)).alias("taken"),
             ),
         )
 
-    start = F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("taken"))
+    kind = "array<struct<due:bigint,i:int,released:bigint,block:bigint>>"
+    start = F.struct(F.transform("s", lambda x, i: turn(i, x["done"])).cast(kind).alias("next"), F.array().cast(kind).alias("taken"))
     slots = F.sequence(F.lit(0).cast("long"), F.col("length") - 1)
-    taken = shares.select("begin", "length", "s", F.aggregate(slots, start, run, lambda x: x["taken"]).alias("taken"))
-    rows = taken.select("begin", "length", "s", F.posexplode("taken").alias("at", "i")).select("begin", "length", "at", F.get(F.col("s"), F.col("i")).alias("x"))
-    j = (F.row_number().over(Window.partitionBy("begin", "x.name").orderBy("at")) - 1).cast("long")
-    return rows.withColumn("j", j).select(
-        F.col("x.name").alias("name"),
-        (F.col("x.done") + F.col("j")).alias("block"),
+    taken = states.select("begin", "s", F.aggregate(slots, start, run, lambda x: x["taken"]).alias("taken"))
+    rows = taken.select("begin", "s", F.posexplode("taken").alias("at", "x"))
+    return rows.select(
+        F.get(F.col("s"), F.col("x.i"))["name"].alias("name"),
+        F.col("x.block").alias("block"),
         "begin",
         (F.col("begin") + F.col("at")).alias("slot"),
-        (F.col("begin") + _div(F.col("j") * F.col("length"), F.col("x.p"))).alias("released"),
-        (F.col("begin") + _up((F.col("j") + 1) * F.col("length"), F.col("x.p"))).alias("due"),
+        F.col("x.released").alias("released"),
+        F.col("x.due").alias("due"),
     )
 
 
 def _scheduled(sizes: DataFrame, block_rows: int, cycle: int) -> DataFrame:
     """name, block, slot, released, due, before (the rows in earlier slots) for sources of `rows` rows."""
     spark = sizes.sparkSession
-    shares = stored(cycle_shares(sizes.select("name", _up(F.col("rows"), block_rows).alias("b")), cycle), "mix-cycles")
+    states = stored(cycle_states(sizes.select("name", _up(F.col("rows"), block_rows).alias("b")), cycle), "mix-cycles")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    plan = cycle_schedule(shares.repartition(tasks, "begin")).join(sizes, "name")
+    plan = cycle_schedule(states.repartition(tasks, "begin")).join(sizes, "name")
     held = stored(plan.withColumn("held", F.least(F.lit(block_rows), F.col("rows") - F.col("block") * block_rows)), "mix-schedule")
     cycles = held.groupBy("begin").agg(F.sum("held").alias("all"))
     earlier = Window.orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)  # a row per cycle
