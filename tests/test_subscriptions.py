@@ -8,6 +8,7 @@ import pytest
 
 from tillroll.functions.clock import PACIFIC
 from tillroll.operators import lifecycle
+from tillroll.operators.bitmaps import subscriber_bitmaps
 from tillroll.operators.lifecycle import active_snapshots
 from tillroll.operators.subscriptions import (
     active_subscribers,
@@ -16,6 +17,7 @@ from tillroll.operators.subscriptions import (
     state_records,
     subscription_trend,
 )
+from tillroll.plans.refresh import refresh_subscribers, stored_subscribers
 from tillroll.sources.extract import write_csv_extract
 
 HISTORY = (
@@ -108,6 +110,40 @@ def test_active_subscribers_count_the_last_state_by_the_realms_id(spark):
     assert [r.realm for r in only] == ["bolt"]
 
 
+def test_bitmaps_count_as_sets_do(spark, tables):
+    rng = random.Random(8)
+    realms = ["go", "dplay", "bolt", "streaming", "other"]
+    rows = [
+        (n, rng.choice([f"s{rng.randint(1, 90)}", "hot"]), rng.choice([f"s{rng.randint(1, 30)}", "hot", None]),
+         rng.choice(realms), rng.choice(["amer", None]), rng.choice(["Roku", "Apple"]), rng.choice(["ACTIVE", "GONE"]),
+         datetime(2024, 1, rng.randint(1, 28)))
+        for n in range(600)
+    ]
+    history = spark.createDataFrame(rows, HISTORY)
+    for day in (10, 28, 28):  # a day twice
+        refresh_subscribers(tables, history, date(2024, 1, day))
+    tokens = {"%": realms, "$": ["go", "dplay"], "^": ["bolt", "streaming"], "go": ["go"]}
+    for day, by, token in ((10, (), "%"), (28, (), "$"), (28, ("realm", "status"), "%"), (28, ("source_region",), "^"), (10, ("payment_provider",), "go")):
+        last = {}
+        for r in sorted(rows, key=lambda r: (r[7], r[0])):
+            if r[7] <= datetime(2024, 1, day):
+                last[r[1]] = r
+        names = {"payment_provider": 5, "realm": 3, "source_region": 4, "status": 6}
+        sets, want = {(): set()} if not by else {}, Counter()
+        for r in last.values():
+            if r[3] in tokens[token]:
+                key = tuple(r[names[b]] for b in by)
+                who = (1, r[1]) if r[3] in tokens["$"] else (2, r[2]) if r[3] in tokens["^"] and r[2] else None
+                sets.setdefault(key, set()).update({who} - {None})
+                want[key] += 1
+        found = stored_subscribers(tables, date(2024, 1, day), by=by, realm=token, status="%").collect()
+        assert {tuple(r[b] for b in by): (r.subscribers, r.subscriptions) for r in found} == {k: (len(s), want[k]) for k, s in sets.items()}
+    assert stored_subscribers(tables, date(2024, 1, 10), by=(), realm="none").first() == (0, 0)
+    assert subscriber_bitmaps(history.where("false")).count() == 0
+    with pytest.raises(ValueError, match="some of"):
+        stored_subscribers(tables, date(2024, 1, 10), by=("bucket",))
+
+
 def test_due_and_not_billed(spark):
     subs = spark.createDataFrame(
         [(n, "go", "Roku", "ACTIVE" if n != 5 else "PAUSED", "p", date(2024, 1, d))

@@ -1,4 +1,4 @@
-"""Recomputing the stored results: monitor master, monitor config, accrual."""
+"""Recomputing the stored results: monitor master, monitor config, accrual, subscriber bitmaps."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.operators.accrual import WINDOW_MONTHS, AccrualLookups, accrual, with_run_stamp
+from tillroll.operators.bitmaps import count_subscribers, subscriber_bitmaps
 from tillroll.operators.monitor import (
     collected_files,
     ingestion_monitor,
@@ -108,3 +109,15 @@ def refresh_accrual(
     payments = tables.payments(F.add_months(F.lit(as_of), -WINDOW_MONTHS), as_of)
     rows = accrual(payments, lookups, as_of, channels)
     with_run_stamp(rows).write.mode("overwrite").parquet(f"{path}/as_of={as_of.isoformat()}")
+
+
+def refresh_subscribers(tables: RevenueTables, history: DataFrame, as_of: date) -> None:
+    """Store the subscriber bitmaps as of the end of a day; repeating a day replaces it."""
+    known = history.where(F.col("updated_timestamp") < F.date_add(F.lit(as_of), 1))
+    tables.replace_partition("subscriber_bitmaps", subscriber_bitmaps(known), as_of=as_of)
+
+
+def stored_subscribers(tables: RevenueTables, as_of: date, **choice) -> DataFrame:
+    """`count_subscribers` of a stored day; only that day's partition is read."""
+    day = tables.read("subscriber_bitmaps").where(F.col("as_of") == F.lit(as_of))
+    return count_subscribers(day, **choice)

@@ -248,6 +248,17 @@ FILE_SETS = {
     "last_day": "date",
     "file_rows": "bigint",
 }
+# Subscribers of a part (provider, realm, region, status) as bits over dense numbers.
+SUBSCRIBER_BITMAPS = {
+    "payment_provider": "string",
+    "realm": "string",
+    "source_region": "string",
+    "status": "string",
+    "bucket": "bigint",
+    "bits": "binary",
+    "subscriptions": "bigint",
+    "as_of": "date",
+}
 # Revenue of a SKU in a file, summed as promotion counts it.
 SKU_SALES = {
     "payment_provider": "string",

@@ -38,6 +38,7 @@ from tillroll.sources.schemas import (
     SKU_KEY,
     SKU_SALES,
     SKUS,
+    SUBSCRIBER_BITMAPS,
     ddl,
     raw_schema,
     typed_schema,
@@ -75,6 +76,7 @@ def table_schemas() -> dict[str, tuple[dict[str, str], tuple[str, ...]]]:
         tables[log] = ({**columns, "event_seq": "bigint", "epoch": "bigint"}, ("epoch",))
     tables["log_heads"] = (LOG_HEADS, ())
     tables["ingestion_master"] = (MASTER, ("mv_id",))
+    tables["subscriber_bitmaps"] = (SUBSCRIBER_BITMAPS, ("as_of",))
     return tables
 
 

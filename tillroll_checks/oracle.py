@@ -840,6 +840,27 @@ def active(test: str) -> str:
     )
 
 
+
+
+def merged(columns: str, test: str, history: str = "true") -> str:
+    """Distinct subscribers over several realms: the two kinds of id are counted apart."""
+    last = LAST.replace("from subscription_history)", f"from subscription_history where {history})")
+    return with_views(
+        ["subscription_history"],
+        last
+        + f""" select {columns},
+          count(distinct case when realm in {DISCOVERY} then subscription_id end)
+            + count(distinct case when realm in ('bolt', 'streaming') then global_subscription_id end)
+            as subscribers, count(*) as subscriptions
+        from last where {test} group by {columns}""",
+    )
+
+
+ORACLE["active_subs_bitmaps"] = active("status = 'ACTIVE'")
+ORACLE["active_subs_by_provider"] = merged("payment_provider, status", "true")
+ORACLE["active_subs_max_by_region"] = merged(
+    "source_region", "realm in ('bolt', 'streaming')", "updated_timestamp < date '2024-01-16'"
+)
 ORACLE["latest_subscriptions"] = with_views(["subscription_history"], LAST + " select * from last")
 ORACLE["active_subs"] = active("status = 'ACTIVE'")
 ORACLE["active_subs_filtered"] = active(

@@ -25,6 +25,7 @@ from tillroll.operators import (
     subscriptions,
 )
 from tillroll.plans.reconcile import reconcile_day, reconciled
+from tillroll.plans.refresh import refresh_subscribers, stored_subscribers
 from tillroll.sources import landing
 from tillroll.sources.schemas import raw_widths
 
@@ -32,6 +33,7 @@ AS_OF = date(2001, 12, 1)
 MONITOR_AS_OF = date(2001, 6, 15)
 DUE_FROM, DUE_TO = date(1996, 1, 1), date(2000, 12, 31)
 RECON_FROM, RECON_TO = date(1996, 1, 1), date(1997, 12, 31)
+SUBSCRIBERS_AS_OF = date(2024, 1, 15)
 CASE_FROM, CASE_TO = date(2024, 1, 5), date(2024, 1, 20)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -449,6 +451,28 @@ def active_subs_filtered(spark, d):
     )
 
 
+def _stored_subscribers(spark: SparkSession, d: str, as_of: date, **choice) -> DataFrame:
+    """Bitmaps of the day are written, and the count reads what was written."""
+    tables = scratch_tables(spark)
+    refresh_subscribers(tables, view(spark, d, "subscription_history"), as_of)
+    return stored_subscribers(tables, as_of, **choice)
+
+
+@query
+def active_subs_bitmaps(spark, d):
+    return _stored_subscribers(spark, d, date(2100, 1, 1))
+
+
+@query
+def active_subs_by_provider(spark, d):
+    return _stored_subscribers(spark, d, date(2100, 1, 1), by=("payment_provider", "status"), status="%")
+
+
+@query
+def active_subs_max_by_region(spark, d):
+    return _stored_subscribers(spark, d, SUBSCRIBERS_AS_OF, by=("source_region",), realm="^", status="%")
+
+
 @query
 def latest_subscriptions(spark, d):
     return subscriptions.latest_subscriptions(view(spark, d, "subscription_history"))
