@@ -290,7 +290,7 @@ def files_opened(df):
     opened = 0
     for k in range(leaves.size()):
         leaf = leaves.apply(k)
-        if "generation" in leaf.toString() and "record_key" in leaf.toString():
+        if ("generation" in leaf.toString() or "stored" in leaf.toString()) and "record_key" in leaf.toString():
             opened += leaf.metrics().apply("numFiles").value()
     return opened
 
@@ -312,6 +312,59 @@ def test_only_files_with_days_in_the_window_are_opened(tables, spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_a_closed_month_reads_as_before_from_few_files(tables, spark, tmp_path):
+    """Six files of two months; one is replaced after the closing, one comes again."""
+    for n in range(1, 7):
+        month = 1 if n < 6 else 2
+        rows = [{**amazon_row(10 * n + k), "transaction_time": f"2024-{month:02d}-{n:02d} 12:0{k}:00 UTC"} for k in range(3)]
+        path = write_file(tmp_path, f"amazon_r{n}_sales_2024-{month:02d}-{n:02d}.csv", "amazon", rows)
+        load_file(tables, amazon_load(path, f"f{n}"))
+
+    def answers():
+        rows = sorted(map(str, tables.payments().collect()))
+        viewed = sorted(map(str, spark.table(tables.name("payments")).select(*PAYMENTS).collect()))
+        assert rows == viewed
+        return rows, sorted(map(str, tables.sku_sales().collect())), files_seen(tables)
+
+    before = answers()
+    assert tables.close_month(date(2023, 1, 1)) == 0
+    assert tables.close_month(date(2024, 1, 31), files=2) == 5 and answers() == before
+    assert tables.close_month(date(2024, 1, 1)) == 0
+    assert tables.vacuum(before=time.time_ns()) == 5 and answers() == before
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        one = tables.payments(date(2024, 1, 1), date(2024, 1, 31)).select("record_key", "file_tx_id")
+        assert one.count() == 15 and files_opened(one) <= 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    single = tables.read_file("payments", "f3")
+    assert single.count() == 3
+    assert "EqualTo(file_tx_id,f3)" in single._jdf.queryExecution().executedPlan().toString()
+
+    late = write_file(tmp_path, "amazon_r2_sales_2024-01-09.csv", "amazon", [amazon_row(99)])
+    load_file(tables, amazon_load(late, "f2b"))
+    assert files_seen(tables) == ["f1", "f2b", "f3", "f4", "f5", "f6"]
+    assert tables.payments().count() == 16
+    assert tables.close_month(date(2024, 1, 1)) == 1 and tables.payments().count() == 16
+
+
+def test_a_closing_that_dies_changes_nothing(tables, tmp_path, monkeypatch):
+    load_file(tables, amazon_load(amazon_file(tmp_path, 5, [amazon_row(1), amazon_row(2)]), "d5"))
+    before = sorted(map(str, tables.payments().collect()))
+
+    def die(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, "append", die)
+        with pytest.raises(RuntimeError, match="lost"):
+            tables.close_month(date(2024, 1, 1))
+    assert sorted(map(str, tables.payments().collect())) == before
+    assert tables.vacuum(before=time.time_ns()) == 1  # the copy that nobody reads
+    assert tables.close_month(date(2024, 1, 1)) == 1
+    assert sorted(map(str, tables.payments().collect())) == before
+
+
 def sku_flags(tables):
     return sorted((r.sku_id, r.included_in_accrual_yn) for r in tables.skus().collect())
 

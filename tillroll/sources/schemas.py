@@ -244,6 +244,7 @@ FILE_SETS = {
     "pmt_channel": "string",
     "file_tx_id": "string",
     "generation": "bigint",
+    "stored": "bigint",  # the generation of its payments, or the closing that has taken them in
     "first_day": "date",
     "last_day": "date",
     "file_rows": "bigint",

@@ -6,6 +6,8 @@ Plain parquet has no row updates and no transactions, so state is kept in ways t
 * payments and SKU sales are partitioned by file and generation. A load writes a generation that nobody
   reads yet; one appended file of the `file_sets_log` then puts it in force and takes the files that it
   replaces out of force, so that readers see both or neither. The view `payments` resolves this;
+* closed months lie in few large files, sorted by provider file (`close_month`). The copy is written first,
+  and one appended file then says for all its provider files that their payments are there;
 * the audit, the SKU reference, the monitor config and the file sets are append-only logs whose last row
   per key counts. A log has epochs: compaction copies the last rows to a new one, and one row of
   `log_heads` lets readers begin there. Nothing is ever rewritten from itself.
@@ -64,6 +66,8 @@ def table_schemas() -> dict[str, tuple[dict[str, str], tuple[str, ...]]]:
         tables[f"typed_{provider}"] = (typed_schema(provider), ("file_tx_id",))
     tables[GOOGLE_SECOND_RAW] = (raw_schema("google"), ("file_tx_id",))
     tables["payments_store"] = ({**PAYMENTS, "generation": "bigint"}, (*SET_KEY, "generation"))
+    closed = {c: kind for c, kind in PAYMENTS.items() if c != "pmt_channel"}
+    tables["payments_closed"] = ({**closed, "pmt_channel": PAYMENTS["pmt_channel"], "stored": "bigint"}, ("pmt_channel", "stored"))
     tables["sku_sales"] = (SKU_SALES, ("file_tx_id", "generation"))
     tables["apple_sales"] = (typed_schema("apple"), ("file_tx_id",))
     tables["rejects"] = (REJECTS, ("file_tx_id",))
@@ -115,12 +119,15 @@ class RevenueTables:
         head = f"SELECT max_by(read_from, event_seq) FROM {self.name('log_heads')} WHERE log = 'file_sets_log'"
         self.spark.sql(
             f"""CREATE OR REPLACE VIEW {self.name('payments')} AS
-            SELECT {', '.join(PAYMENTS)} FROM {self.name('payments_store')}
+            SELECT {', '.join(PAYMENTS)} FROM (
+              SELECT {', '.join(PAYMENTS)}, generation AS stored FROM {self.name('payments_store')}
+              UNION ALL SELECT {', '.join(PAYMENTS)}, stored FROM {self.name('payments_closed')})
             LEFT SEMI JOIN (
-              SELECT * FROM (SELECT pmt_channel, file_tx_id, max_by(generation, event_seq) AS generation
+              SELECT pmt_channel, file_tx_id, at.stored FROM (
+                SELECT pmt_channel, file_tx_id, max_by(struct(generation, stored), event_seq) AS at
                 FROM {self.name('file_sets_log')} WHERE epoch >= coalesce(({head}), 0)
-                GROUP BY pmt_channel, file_tx_id) WHERE generation > {NO_GENERATION})
-            USING (pmt_channel, file_tx_id, generation)"""
+                GROUP BY pmt_channel, file_tx_id) WHERE at.generation > {NO_GENERATION})
+            USING (pmt_channel, file_tx_id, stored)"""
         )
 
     def name(self, table: str) -> str:
@@ -191,9 +198,14 @@ class RevenueTables:
             sets = sets.where(F.col("last_day") >= F.lit(first))
         if last is not None:
             sets = sets.where(F.col("first_day") <= F.lit(last))
-        keys = [*SET_KEY, "generation"]
-        store = self.spark.table(self.name("payments_store"))
-        return store.join(sets.select(*keys), keys, "left_semi").select(*PAYMENTS)
+        keys = [*SET_KEY, "stored"]
+        return self._all_payments().join(sets.select(*keys), keys, "left_semi").select(*PAYMENTS)
+
+    def _all_payments(self) -> DataFrame:
+        """Payments of all generations and closings, each with the place where it is stored."""
+        store = self.spark.table(self.name("payments_store")).withColumnRenamed("generation", "stored")
+        closed = self.spark.table(self.name("payments_closed"))
+        return store.select(*PAYMENTS, "stored").unionByName(closed.select(*PAYMENTS, "stored"))
 
     def sku_sales(self) -> DataFrame:
         """Revenue per SKU and file, of the files in force."""
@@ -226,6 +238,7 @@ class RevenueTables:
                     F.lit(staged.pmt_channel).alias("pmt_channel"),
                     F.lit(staged.file_tx_id).alias("file_tx_id"),
                     F.lit(staged.generation).alias("generation"),
+                    F.lit(staged.generation).alias("stored"),
                     "first_day",
                     "last_day",
                     "file_rows",
@@ -240,23 +253,52 @@ class RevenueTables:
             rows = rows.unionByName(more)
         self.append("file_sets_log", rows.coalesce(1))
 
-    def vacuum(self, before: int) -> int:
-        """Drop the generations written before this time (ns) that are not in force: replaced ones and
-        those of loads that died. Choose a time before which no reader or load has begun that still runs."""
-        held = (
-            self.spark.table(self.name("payments_store")).select(*SET_KEY, "generation")
-            .unionByName(self.read("sku_sales").select(F.lit(None).cast("string").alias("pmt_channel"), "file_tx_id", "generation"))
-            .where(F.col("generation") < before)
-            .distinct()
+    def close_month(self, month: date, files: int = 8) -> int:
+        """Rewrite the payments of a closed month into `files` files a channel at most, sorted by provider file.
+
+        These are the files in force whose last payment is of the month of this day. The copy is complete before one
+        appended file points to it, so a job that dies leaves every answer as it was. A later file that
+        replaces a closed one takes it out of force as before; reading one file skips the row groups of the
+        others. Files are cut by range of file and time, so a large file is spread over several tasks.
+        Returns how many provider files were moved. Run it while no load runs, then `vacuum`.
+        """
+        sets = self.file_sets().where(
+            (F.col("generation") > NO_GENERATION)
+            & (F.col("stored") == F.col("generation"))
+            & (F.trunc("last_day", "MM") == F.trunc(F.lit(month), "MM"))
         )
-        sets = self.file_sets().select("file_tx_id", "generation")
+        moved, rows = sets.agg(F.count("*"), F.coalesce(F.sum("file_rows"), F.lit(0))).first()
+        if moved == 0:
+            return 0
+        closing = time.time_ns()
+        keys = [*SET_KEY, "stored"]
+        store = self.spark.table(self.name("payments_store")).withColumnRenamed("generation", "stored")
+        own = store.join(sets.select(*keys), keys, "left_semi").withColumn("stored", F.lit(closing).cast("bigint"))
+        order = ("pmt_channel", "file_tx_id", "utc_timestamp")
+        ranged = own.repartitionByRange(files, *order).sortWithinPartitions(*order)
+        ranged.select(*self.schemas["payments_closed"][0]).write.insertInto(self.name("payments_closed"))
+        written = self.spark.table(self.name("payments_closed")).where(F.col("stored") == closing).count()
+        if written != rows:
+            raise RuntimeError(f"closing {month:%Y-%m}: {written} payments copied of {rows}")
+        self.append("file_sets_log", sets.withColumn("stored", F.lit(closing).cast("bigint")).coalesce(1))
+        return moved
+
+    def vacuum(self, before: int) -> int:
+        """Drop the generations written before this time (ns) that are not in force: replaced ones, those of
+        loads that died, those that a closing has taken in, and closings of which no file is in force. Choose
+        a time before which no reader or load has begun that still runs."""
+        sets = self.file_sets().where(F.col("generation") > NO_GENERATION)
+        parts = {
+            "payments_store": ([*SET_KEY, "generation"], [*SET_KEY, F.col("stored").alias("generation")]),
+            "sku_sales": (["file_tx_id", "generation"], ["file_tx_id", "generation"]),
+            "payments_closed": (["pmt_channel", "stored"], ["pmt_channel", "stored"]),
+        }
         dropped = 0
-        for row in held.join(sets, ["file_tx_id", "generation"], "left_anti").toLocalIterator():
-            if row.pmt_channel is not None:
-                self.drop_partition("payments_store", pmt_channel=row.pmt_channel, file_tx_id=row.file_tx_id, generation=row.generation)
-            else:
-                self.drop_partition("sku_sales", file_tx_id=row.file_tx_id, generation=row.generation)
-            dropped += 1
+        for table, (keys, in_force) in parts.items():
+            held = self.spark.table(self.name(table)).select(*keys).distinct().where(F.col(keys[-1]) < before)
+            for row in held.join(sets.select(*in_force), keys, "left_anti").toLocalIterator():
+                self.drop_partition(table, **row.asDict())
+                dropped += 1
         return dropped
 
     # Logs.

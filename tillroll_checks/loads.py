@@ -2,7 +2,8 @@
 
 Files of one month of sales, as a store sends them: everything up to a day, under that day's name. They come
 in the order 10, 20, 5, and 20 once more: the 10th is replaced by the 20th, the 5th comes too late, and the
-repeated 20th is skipped.
+repeated 20th is skipped. The month is closed after the 10th already, so that the 20th replaces a closed file,
+and once more at the end.
 """
 
 from __future__ import annotations
@@ -67,6 +68,8 @@ def _load(tables: RevenueTables, sf_dir: str) -> RevenueTables:
         else:
             path = f"gone/amazon_go_sales_{MONTH}-{day:02d}.csv"  # a skipped file is not opened
         load_file(tables, FileLoad("amazon", "AMER", path, f"d{day}", as_of=LOADED_AS_OF, monitor_id="m"))
+        if n in (0, len(DAYS) - 1):
+            tables.close_month(date(year, month, 1))
     apple = view(spark, sf_dir, "raw_apple").where(F.col("file_tx_id") == f"f_Apple_{MONTH}")
     path = _written(tables, apple, "apple", "apple.txt")
     load_file(tables, FileLoad("apple", "AMER", path, "apple", as_of=LOADED_AS_OF))

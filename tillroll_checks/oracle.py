@@ -1131,6 +1131,10 @@ ORACLE["load_payments"] = loads(
       coalesce(receipt_id, '') || '~' || cast({UTC_TIME} as varchar) || '~' || transaction_type || '~' as record_key
     from sent"""
 )
+ORACLE["load_closed_files"] = loads(
+    """ select 'd' || n as file_tx_id, (select count(*) from sent where day <= n) as closed_rows, n = 20 as in_force
+    from (values (10), (20)) f(n)"""
+)
 REVENUE = """select 'Amazon' as payment_provider, vendor_sku as sku_id, 'd20' as file_tx_id,
       sum(abs(cast(sales_price_marketplace_currency as decimal(20,6)))) as revenue,
       bool_or(transaction_type = 'Charge' and item_type = 'Subscription') as eligible

@@ -658,6 +658,18 @@ def load_payments(spark, d):
     return loaded(spark, d).read("payments").select(*columns)
 
 
+@query
+def load_closed_files(spark, d):
+    """What the closings hold, by provider file, and whether it is in force."""
+    tables = loaded(spark, d)
+    closed = tables.spark.table(tables.name("payments_closed"))
+    counted = closed.groupBy("file_tx_id", "stored").agg(F.count("*").alias("closed_rows"))
+    sets = tables.file_sets().select("file_tx_id", "stored", F.lit(True).alias("found"))
+    return counted.join(sets, ["file_tx_id", "stored"], "left").select(
+        "file_tx_id", "closed_rows", F.coalesce("found", F.lit(False)).alias("in_force")
+    )
+
+
 @query
 def load_sku_sales(spark, d):
     return loaded(spark, d).sku_sales().drop("generation")
