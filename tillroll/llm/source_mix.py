@@ -195,7 +195,8 @@ def cycle_schedule(states: DataFrame) -> DataFrame:
     start = F.struct(F.transform("s", lambda x, i: turn(i, x["done"])).cast(kind).alias("next"), F.array().cast(kind).alias("taken"))
     slots = F.sequence(F.lit(0).cast("long"), F.col("length") - 1)
     taken = states.select("begin", "s", F.aggregate(slots, start, run, lambda x: x["taken"]).alias("taken"))
-    rows = taken.select("begin", "s", F.posexplode("taken").alias("at", "x"))
+    # A plain posexplode would add a filter on `taken` below the caller's repartition: the fold, run twice.
+    rows = taken.select("begin", "s", F.posexplode_outer("taken").alias("at", "x"))
     return rows.select(
         F.get(F.col("s"), F.col("x.i"))["name"].alias("name"),
         F.col("x.block").alias("block"),
