@@ -10,7 +10,7 @@ from tillroll.llm.language import identified
 from tillroll.llm.ngram_join import one_of_each
 from tillroll.llm.packing import pack, token_pieces
 from tillroll.llm.scratch import stored
-from tillroll.llm.source_mix import mixed
+from tillroll.llm.source_mix import in_schedule
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +29,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents beyond the target weights of the sources go."""
-    return mixed(docs)
+    """Documents beyond the target weights of the sources go; the rest get their places in the schedule."""
+    return in_schedule(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece: where it lies in the sequences of 1024 ids."""
-    pieces = token_pieces(docs)
-    return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    """One row per piece: where it lies in the sequences of 1024 ids, and its document's place in the mix."""
+    places = ("mix_slot", "mix_position")
+    pieces = token_pieces(docs, also=places)
+    return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *places))
 
 
 STAGES = [

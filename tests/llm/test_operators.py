@@ -13,6 +13,7 @@ import pytest
 from tests.llm.plain import ROWS, groups_of, shingles
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tillroll.llm import chat_format, packing, secret_scan, source_mix
 from tillroll.llm.exact_dedup import build_index, exact_duplicates, without_copies
 from tillroll.llm.fingerprints import Sampler, edited, fingerprint_documents, likeness
@@ -269,6 +270,25 @@ def test_small_source_cuts_no_other(spark):
         assert all(abs(seen[s] * len(by_slot) - (k + 1) * b) < len(by_slot) for s, b in own.items())
 
 
+def test_pipeline_mixes_by_the_schedule(spark, docs, nothing):
+    """The stage hands on each kept row's place in the schedule, and packing keeps it beside every piece."""
+    sizes = {"hot": 61, "a": 22, "": 9, "one": 1}
+    rows = [(i, f"text {i} " * (1 + i * 9), name or None) for i, name in enumerate(n for n, size in sizes.items() for _ in range(size))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    mixed = corpus_pipeline.source_mix(spark, df, "")
+    want = {r["doc_id"]: (r["mix_slot"], r["mix_position"]) for r in source_mix.mix_sources(df.drop("text")).collect() if r["in_mix"]}
+    found = mixed.collect()
+    assert {r["doc_id"]: (r["mix_slot"], r["mix_position"]) for r in found} == want and len(found) == len(want) < len(rows)
+    assert all(r["text"] == rows[r["doc_id"]][1] for r in found)
+    pieces = corpus_pipeline.packing(spark, mixed, "").collect()
+    assert {r["doc_id"]: (r["mix_slot"], r["mix_position"]) for r in pieces} == want and len(pieces) > len(want)
+    odd = source_mix.in_schedule(docs).collect()
+    kept = source_mix.mixed(docs)
+    assert sorted(r["mix_position"] for r in odd) == list(range(kept.count()))
+    assert Counter((r["doc_id"], r["source"]) for r in odd) == Counter((r["doc_id"], r["source"]) for r in kept.collect())
+    assert source_mix.in_schedule(nothing).count() == 0
+
+
 def earliest_due_first(sizes):
     """One slot after the other, with a heap of the released blocks."""
     total = sum(sizes.values())

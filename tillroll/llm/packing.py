@@ -10,7 +10,7 @@ length, and the number says which sequence and place a piece has.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, length, capacity)]
 
 
-def _cut_pieces(path: str, capacity: int):
+def _cut_pieces(path: str, capacity: int, also: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         end = np.array([END_ID], "<u4").tobytes()
@@ -50,25 +50,30 @@ def _cut_pieces(path: str, capacity: int):
                         start.append(at)
                         length.append(n)
                         ids.append(found[4 * at : 4 * (at + n)])
+                at_row = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "piece", "start", "length", "ids"],
+                    [part.column(0).take(at_row), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())]
+                    + [part.column(2 + k).take(at_row) for k in range(len(also))],
+                    ["doc_id", "piece", "start", "length", "ids", *also],
                 )
 
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids (little-endian unsigned 32-bit) of every document.
+def token_pieces(
+    docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, also: Sequence[str] = ()
+) -> DataFrame:
+    """doc_id, piece, start, length, ids (little-endian unsigned 32-bit) of every document, and the columns
+    `also` of its row.
 
     The ids of the whole text and the end id. Only documents longer than capacity are cut. A null text
     counts as empty and is the end id alone; repeated rows and rows without doc_id are cut like others.
     """
-    plain = docs.select("doc_id", "text")
-    kind = plain.schema["doc_id"].dataType.simpleString()
+    plain = docs.select("doc_id", "text", *also)
+    kinds = {c: plain.schema[c].dataType.simpleString() for c in ("doc_id", *also)}
     return plain.mapInArrow(
-        _cut_pieces(tokenizer or default_tokenizer(), capacity),
-        f"doc_id {kind}, piece int, start long, length long, ids binary",
+        _cut_pieces(tokenizer or default_tokenizer(), capacity, also),
+        ", ".join([f"doc_id {kinds['doc_id']}, piece int, start long, length long, ids binary", *[f"{c} {kinds[c]}" for c in also]]),
     )
 
 

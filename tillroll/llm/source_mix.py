@@ -297,3 +297,21 @@ def mixed(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
     """
     ranked, _ = _ranked(docs, docs.columns, weights)
     return ranked.where(F.col("__rank") < F.col("__target")).select(*docs.columns)
+
+
+def in_schedule(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
+    """The rows of docs that are in the mix, with the columns of docs, mix_slot and mix_position.
+
+    The schedule is that of mix_sources, made from doc_id and source alone; the other columns are shuffled once,
+    to the places. Rows of equal doc_id and source take their places in any order.
+    """
+    own = [c for c in docs.columns if c not in ("mix_slot", "mix_position")]
+    doc = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("__doc")
+    name = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__name")
+    placed = mix_sources(docs.select("doc_id", "source"), weights).where("in_mix")
+    places = placed.select(doc, name, F.struct("mix_position", "mix_slot").alias("__at"))
+    places = places.groupBy("__doc", "__name").agg(F.sort_array(F.collect_list("__at")).alias("__places"))
+    same = Window.partitionBy("__doc", "__name").orderBy(F.lit(0))
+    rows = docs.select(*own, doc, name).withColumn("__nth", F.row_number().over(same) - 1)
+    dealt = rows.join(places, ["__doc", "__name"]).withColumn("__at", F.get("__places", F.col("__nth")))
+    return dealt.where(F.col("__at").isNotNull()).select(*own, F.col("__at.mix_slot").alias("mix_slot"), F.col("__at.mix_position").alias("mix_position"))
