@@ -34,11 +34,11 @@ def scratch_tables(spark: SparkSession) -> RevenueTables:
 
 
 def _written(tables: RevenueTables, rows: DataFrame, provider: str, name: str) -> str:
-    """The rows as a provider's text file, in the database's own folder."""
+    """The rows as a provider's text file, in the database's own folder: one part a task, each with the header."""
     folder = tables.spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     path = f"{folder}/{tables.database}_files/{name}"
     columns = rows.select(*raw_widths(provider))
-    columns.coalesce(1).write.option("header", True).option("sep", SEPARATORS[provider]).option("escape", '"').csv(path)
+    columns.write.option("header", True).option("sep", SEPARATORS[provider]).option("escape", '"').csv(path)
     return path
 
 
