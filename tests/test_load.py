@@ -12,6 +12,7 @@ from tillroll.plans.refresh import Layers, monitor_of, refresh_accrual, refresh_
 from tillroll.operators.skus import sku_revenue, store_sales
 from tillroll.sources.schemas import COLLECTION_AUDIT, MONITOR_CONFIG, PAYMENTS, ddl, raw_widths
 from tillroll.sources.tables import LOGS, RevenueTables
+from tillroll_checks.loads import _written
 
 AS_OF = date(2024, 3, 1)
 
@@ -469,3 +470,19 @@ def test_refreshing_skus_finds_what_single_loads_missed(tables, spark, tmp_path)
     refresh_skus(tables)
     refresh_skus(tables)
     assert sorted(r.sku_id for r in tables.skus().collect()) == ["go.plan.annual", "late.year"]
+
+
+def test_written_files_and_large_closed_months_are_spread_over_tasks(tables, spark, tmp_path, monkeypatch):
+    rows = [{**amazon_row(n), "transaction_time": f"2024-01-05 12:00:{n:02d} UTC"} for n in range(12)]
+    sent = spark.createDataFrame(
+        [tuple(str(r.get(c, "")) for c in raw_widths("amazon")) for r in rows], ddl(dict.fromkeys(raw_widths("amazon"), "string"))
+    )
+    path = _written(tables, sent.repartition(4), "amazon", "amazon_go_sales_2024-01-05.csv")
+    assert len(spark.read.text(path).inputFiles()) == 4
+    assert load_file(tables, amazon_load(path, "f1")).staged_rows == 12
+    before = sorted(map(str, tables.payments().collect()))
+    monkeypatch.setattr("tillroll.sources.tables.CLOSED_FILES", 1)
+    monkeypatch.setattr("tillroll.sources.tables.CLOSED_FILE_ROWS", 4)
+    assert tables.close_month(date(2024, 1, 1)) == 1
+    assert len(spark.table(tables.name("payments_closed")).inputFiles()) == 3
+    assert sorted(map(str, tables.payments().collect())) == before

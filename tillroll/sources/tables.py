@@ -49,6 +49,8 @@ from tillroll.sources.schemas import (
 GOOGLE_SECOND_RAW = "raw_google_emea"
 SET_KEY = ("pmt_channel", "file_tx_id")
 NO_GENERATION = -1
+CLOSED_FILES = 8  # of a small closed month
+CLOSED_FILE_ROWS = 250_000  # of a large one
 # The logs and the keys whose last row counts.
 LOGS = {
     "load_audit_log": (LOAD_AUDIT, ("file_tx_id",)),
@@ -253,8 +255,9 @@ class RevenueTables:
             rows = rows.unionByName(more)
         self.append("file_sets_log", rows.coalesce(1))
 
-    def close_month(self, month: date, files: int = 8) -> int:
+    def close_month(self, month: date, files: int | None = None) -> int:
         """Rewrite the payments of a closed month into `files` files a channel at most, sorted by provider file.
+        Without a number, there are CLOSED_FILES, or as many as hold CLOSED_FILE_ROWS payments each.
 
         These are the files in force whose last payment is of the month of this day. The copy is complete before one
         appended file points to it, so a job that dies leaves every answer as it was. A later file that
@@ -270,6 +273,7 @@ class RevenueTables:
         moved, rows = sets.agg(F.count("*"), F.coalesce(F.sum("file_rows"), F.lit(0))).first()
         if moved == 0:
             return 0
+        files = files or max(CLOSED_FILES, -(-rows // CLOSED_FILE_ROWS))
         closing = time.time_ns()
         keys = [*SET_KEY, "stored"]
         store = self.spark.table(self.name("payments_store")).withColumnRenamed("generation", "stored")
