@@ -1,8 +1,12 @@
 """Reading provider files with their checks: header, rejected lines, required columns, number of lines."""
 
+import json
+import re
+
 import pytest
 from tests.test_load import AS_OF, amazon_file, amazon_row, statuses, write_file
 
+from tillroll.operators.staging import clean_raw
 from tillroll.plans.load import FileLoad, LoadRefused, load_file
 from tillroll.sources.landing import SEPARATORS, check_header, land_checked, parse_json, parse_text, with_required
 from tillroll.sources.schemas import PROVIDERS, raw_widths
@@ -90,3 +94,16 @@ def test_json_lines_load_with_their_rejects(tables, tmp_path):
 def test_an_empty_file_with_a_header_loads_nothing(tables, tmp_path):
     path = write_file(tmp_path, "roku.csv", "roku", [])
     assert load_file(tables, FileLoad("roku", "AMER", path, "r", as_of=AS_OF)).staged_rows == 0
+
+
+def test_cleaning_compiles_and_keeps_its_rules(spark):
+    """Methods of more than 8000 bytes run interpreted in the JVM."""
+    names = list(raw_widths("direct_billing"))
+    width = raw_widths("direct_billing")[names[0]]
+    values = [" \t\r\n", "", None, "é" * (width + 1), " " * width + "x", " a "]
+    lines = spark.createDataFrame([(json.dumps({names[0]: v}),) for v in values], "value string")
+    cleaned = clean_raw(parse_json(lines), "direct_billing")
+    assert [r[0] for r in cleaned.collect()] == [None, None, None, "é" * width, " " * width, " a "]
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", cleaned._jdf.queryExecution().explainString(mode))
+    assert sizes and max(map(int, sizes)) < 8000

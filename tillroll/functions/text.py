@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 
 def blank_to_null(value: Column) -> Column:
     """NULL for text of nothing but white space."""
-    return F.when(F.btrim(value, F.lit(" \t\r\n")) != "", value)
+    return F.when(has_text(value), value)
 
 
-def clip(value: Column, width: int) -> Column:
+def has_text(value: Column) -> Column:
+    """True where some character is no white space. Cutting from the left alone ends at the first such one."""
+    return F.ltrim(value, F.lit(" \t\r\n")) != ""
+
+
+def clip(value: Column, width: int | Column) -> Column:
     """The first `width` characters; an over-long field is cut, not refused."""
-    return F.left(value, F.lit(width))
+    return F.when(F.octet_length(value) > width, F.left(value, F.lit(width))).otherwise(value)  # most are known short by their bytes
 
 
 def like_any(value: Column, patterns: Iterable[str]) -> Column:

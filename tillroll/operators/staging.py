@@ -10,17 +10,23 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.clock import to_utc, us_date, wall_clock, zone_token
 from tillroll.functions.money import minor_to_major
-from tillroll.functions.text import blank_to_null, clip
+from tillroll.functions.text import clip, has_text
 from tillroll.sources.schemas import LINEAGE, raw_widths, typed_schema
 
 
 def clean_raw(df: DataFrame, provider: str) -> DataFrame:
-    """Blank fields to NULL and over-long ones cut to the column width."""
+    """Blank fields to NULL and over-long ones cut to the column width.
+
+    The fields are cleaned as one array: as an expression each, those of a wide provider make a method that
+    is too large for the JVM to compile, and run interpreted.
+    """
     widths = raw_widths(provider)
-    return df.select(
-        *[clip(blank_to_null(F.col(c)), n).alias(c) for c, n in widths.items()],
-        *[c for c in LINEAGE if c in df.columns],
-    )
+    lineage = [c for c in LINEAGE if c in df.columns]
+    limits = F.array(*[F.lit(n) for n in widths.values()])
+    fields = F.array(*[F.col(c).cast("string") for c in widths])
+    cleaned = F.transform(fields, lambda x, i: F.when(has_text(x), clip(x, F.get(limits, i))))
+    rows = df.select(cleaned.alias("_fields"), *lineage)
+    return rows.select(*[F.get("_fields", F.lit(i)).alias(c) for i, c in enumerate(widths)], *lineage)
 
 
 def _typed(raw: DataFrame, provider: str, special: dict[str, Column]) -> DataFrame:
