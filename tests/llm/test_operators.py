@@ -503,6 +503,25 @@ def test_encoder_cuts_only_where_the_tokenizer_does():
     assert [own.encode(x) for x in texts] == own._whole(texts)
 
 
+def test_encoder_passes_once_over_the_words(monkeypatch):
+    """Words are learned where they are looked up, each once; of three stores two are left, with the same ids."""
+    from tillroll.llm import token_ids
+
+    monkeypatch.setattr(token_ids, "_CACHED", 20)
+    own = token_ids.Encoder(default_tokenizer())
+    text = " ".join(["x", *["ab", "ab,", "é.", "1-2", "ab\nab"] * 3])
+    assert own.encode(text) == own._whole([text])[0]
+    learned = []
+    learn, own.words.learn = own.words.learn, lambda word: learned.append(word) or learn(word)
+    assert own.encode(text + " new new") == own._whole([text + " new new"])[0]
+    assert learned == ["new"]  # the pass over known words calls nothing
+    draw = random.Random(3)
+    for _ in range(300):
+        text = " ".join("".join(draw.choices("abcdé", k=draw.randint(1, 3))) + draw.choice(["", ",", "\n"]) for _ in range(6))
+        assert own.encode(text) == own._whole([text])[0]
+        assert len(own.words) <= 40 and not getattr(own.words.older, "older", None)
+
+
 def test_special_tokens_are_one_id():
     """Against a tokenizer as the file loads it."""
     from tokenizers import Tokenizer

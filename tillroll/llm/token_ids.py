@@ -7,6 +7,7 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 END_ID = 2
 _CACHED = 400_000  # words in each of two stores, about 250 bytes each
@@ -16,6 +17,7 @@ _LINE_END = re.compile(r"\n(?<!\s\n)")  # after a visible character
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE shows as they are
 _SHOWN = dict(zip([b for b in range(256) if b not in _KEPT], range(256, 512)))
+_ASCII_SHOWN = {chr(b): chr(_SHOWN.get(b, b)) for b in range(128)}
 
 
 def default_tokenizer() -> str:
@@ -24,6 +26,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Words(dict):
+    """Ids by word. One that is missing is taken from the older store, or learned, where it is looked up: a text is
+    one pass over its words."""
+
+    def __init__(self, learn: Callable[[str], bytes], older: dict[str, bytes]):
+        self.learn, self.older = learn, older
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word) or self.learn(word)
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers.
 
@@ -57,8 +72,7 @@ class Encoder:
             and not model.get("end_of_word_suffix")
         )
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}  # by what follows a space, or by line end and what follows
-        self.older: dict[str, bytes] = {}  # the store before it, for words that come again
+        self.words = _Words(self._learn, {})  # by what follows a space, or by line end and what follows
         self.marks: dict[str, bytes] = {}  # punctuation, without
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -67,33 +81,30 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of what the expression takes as one piece, straight from the model."""
-        shown = piece.encode("utf-8").decode("latin-1").translate(_SHOWN)
+        if piece.isascii() and piece[1:].isalpha():  # what is no letter stands in front
+            shown = _ASCII_SHOWN[piece[0]] + piece[1:]
+        else:
+            shown = piece.encode("utf-8").decode("latin-1").translate(_SHOWN)
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        others = []
-        for word in words:
-            ids = self.older.get(word)
-            if ids is None:
-                line = word[0] == "\n"
-                plain = _PLAIN.fullmatch(word, line)
-                if plain is None:
-                    others.append(word)
-                    continue
-                stem, mark = plain.groups()
-                known = f"\n{stem}" if line else stem
-                ids = (self.words.get(known) or self.older.get(known)) if mark else None
-                if ids is None:
-                    ids = self._piece("\n") + self._piece(stem) if line else self._piece(f" {stem}")
-                if mark:
-                    if mark not in self.marks:
-                        if len(self.marks) > 10_000:
-                            self.marks.clear()
-                        self.marks[mark] = self._piece(mark)
-                    self.words[known] = ids
-                    ids += self.marks[mark]
-            self.words[word] = ids
-        self.words.update(zip(others, self._whole([w if w[0] == "\n" else f" {w}" for w in others])))
+    def _learn(self, word: str) -> bytes:
+        """Ids of a word that neither store has."""
+        line = word[0] == "\n"
+        if word.isalpha() and word.isascii():
+            stem, mark = word, ""
+        else:
+            plain = _PLAIN.fullmatch(word, line)
+            if plain is None:
+                return self._whole([word if line else f" {word}"])[0]
+            stem, mark = plain.groups()
+        if not mark:
+            return self._piece("\n") + self._piece(stem) if line else self._piece(f" {stem}")
+        known = f"\n{stem}" if line else stem
+        if mark not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[mark] = self._piece(mark)
+        return self.words[known] + self.marks[mark]
 
     def encode(self, text: str) -> bytes:
         if not self.by_parts or (self.added and self.added.search(text)):
@@ -102,10 +113,9 @@ class Encoder:
         first, *rest = _INNER_SPACE.split(text) if odd else _LINE_END.sub(" \n", text).split(" ")
         head = self._whole([first])[0] if first else b""
         if len(self.words) > _CACHED:
-            self.older, self.words = self.words, {}
-        words = self.words
-        self._learn({w for w in rest if w not in words})
-        return head + b"".join(map(words.__getitem__, rest))
+            self.words.older = {}
+            self.words = _Words(self._learn, self.words)
+        return head + b"".join(map(self.words.__getitem__, rest))
 
 
 @functools.cache
