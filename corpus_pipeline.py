@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,22 @@ from tillroll.llm.packing import pack, token_pieces
 from tillroll.llm.scratch import stored
 from tillroll.llm.source_mix import in_schedule
 
+BATCH_BYTES = 4 << 20
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _in_small_batches(stage: Stage) -> Stage:
+    """Whole texts go to Python in batches of a few MB. Spark's 10,000 rows are held several times over: by the JVM
+    beside its heap, in buffers that double, and by the worker. The setting is the session's from then on, as a stage
+    is planned when it is written."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language stay."""
@@ -41,11 +60,11 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language_id", language_id),
-    ("exact_dedup", exact_dedup),
-    ("near_dedup", near_dedup),
-    ("source_mix", source_mix),
-    ("packing", packing),
+    ("language_id", _in_small_batches(language_id)),
+    ("exact_dedup", _in_small_batches(exact_dedup)),
+    ("near_dedup", _in_small_batches(near_dedup)),
+    ("source_mix", _in_small_batches(source_mix)),
+    ("packing", _in_small_batches(packing)),
 ]
 
 # Language identification is a trained model, and tokens are not SQL: tests compare the other stages with

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tests.llm.plain import ROWS, groups_of, shingles
 from pyspark.sql import functions as F
@@ -270,6 +271,27 @@ def test_small_source_cuts_no_other(spark):
         assert all(abs(seen[s] * len(by_slot) - (k + 1) * b) < len(by_slot) for s, b in own.items())
 
 
+def test_pipeline_sends_texts_once_and_in_small_batches(spark):
+    """The language stage hands a text to Python once, a few MB at a time, and returns every whole row."""
+    words = F.when(F.col("id") % 2 == 0, F.lit("und der ")).otherwise(F.lit("the and "))
+    text = F.concat(F.col("id").cast("string"), F.lit(" "), F.repeat(words, 12_000))
+    df = spark.range(90).select(F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id") % 2 == 0, "de").otherwise("en").alias("lang"))
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["held"])
+
+    try:
+        found = stage(spark, df, "")
+        assert "__text" not in found._jdf.queryExecution().analyzed().toString()
+        assert sorted(rows_of(found)) == sorted(rows_of(df))
+        sizes = [r["held"] for r in df.coalesce(1).mapInArrow(held, "held long").collect()]
+        assert sum(sizes) > 8e6 and max(sizes) < corpus_pipeline.BATCH_BYTES + 2e5
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
 def test_pipeline_mixes_by_the_schedule(spark, docs, nothing):
     """The stage hands on each kept row's place in the schedule, and packing keeps it beside every piece."""
     sizes = {"hot": 61, "a": 22, "": 9, "one": 1}

@@ -174,41 +174,45 @@ def fit_language_model(docs: DataFrame, settings: LanguageSettings = LanguageSet
     return LanguageModel(languages, idf, weights, bias, _temperature(logits, np.array([r[2] for r in held])))
 
 
-def _predictions(broadcast):
+def _predictions(broadcast, kept: int, place: int, field: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
         for batch in batches:
-            langs, scores = [], []
-            for item in batch.column(batch.num_columns - 1):
-                text = item.as_py()
-                if not model.languages or not has_letter(text):
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                at, value = _weighted(text, model.idf)
-                p = _softmax((value @ model.weights[at] + model.bias) / model.temperature)
-                best = int(p.argmax())
-                langs.append(model.languages[best])
-                scores.append(float(min(1.0, p[best])))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                [*batch.schema.names[:-1], "lang_pred", "score"],
-            )
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                langs, scores = [], []
+                column = part.column(place)
+                for item in column.field(field) if field else column:
+                    text = item.as_py()
+                    if not model.languages or not has_letter(text):
+                        langs.append(UNKNOWN)
+                        scores.append(0.0)
+                        continue
+                    at, value = _weighted(text, model.idf)
+                    p = _softmax((value @ model.weights[at] + model.bias) / model.temperature)
+                    best = int(p.argmax())
+                    langs.append(model.languages[best])
+                    scores.append(float(min(1.0, p[best])))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:kept], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                    [*part.schema.names[:kept], "lang_pred", "score"],
+                )
 
     return run
 
 
-def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
+def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep` with lang_pred and score (0 to 1), from the whole text alone.
 
-    A null text or one without a letter is `und` with score 0. Equal rows get equal predictions; an empty
+    text: the column of the text; `column.field` where it is in a kept struct that is never null, so that it goes to
+    Python once. A null text or one without a letter is `und` with score 0. Equal rows get equal predictions; an empty
     table gives no rows.
     """
-    rows = docs.select(*keep, F.col("text").alias("__text"))
+    holder, _, field = text.partition(".")
+    rows = docs.select(*keep) if field else docs.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType(docs.select(*keep).schema.fields)
     schema = schema.add("lang_pred", T.StringType()).add("score", T.DoubleType())
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_predictions(broadcast), schema)
+    return rows.mapInArrow(_predictions(broadcast, len(keep), keep.index(holder) if field else len(keep), field), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -224,6 +228,6 @@ def identified(docs: DataFrame, settings: LanguageSettings = LanguageSettings())
     in no language that the model is sure of go.
     """
     model = fit_language_model(docs.where(~held_out()), settings)
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), "text")  # whole, as names may clash
-    found = predict_language(rows, model, ["__row"])
+    rows = docs.select(F.struct(*docs.columns).alias("__row"))  # whole, as names may clash
+    found = predict_language(rows, model, ["__row"], "__row.text")
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= settings.min_score)).select("__row.*")

@@ -142,7 +142,7 @@ def _counted(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 def _postings(counted, floor: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, orders = counted.value
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             ids, sizes = batch.column(0), batch.column(1).to_numpy()
             lists = batch.column(2)
             flat, ends = lists.flatten().to_numpy().astype(np.uint64), np.cumsum(lists.value_lengths().to_numpy())
@@ -285,13 +285,14 @@ def _join_block(threshold: int):
 def _full_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, grams = [], []
-            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = ngrams(text or b"", words).tobytes()
-                if xxhash.xxh3_128_digest(own) == wanted:
-                    ids.append(wanted)
-                    grams.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(grams, pa.binary())], ["set_id", "grams"])
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                ids, grams = [], []
+                for text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    own = ngrams(text or b"", words).tobytes()
+                    if xxhash.xxh3_128_digest(own) == wanted:
+                        ids.append(wanted)
+                        grams.append(own)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(grams, pa.binary())], ["set_id", "grams"])
 
     return run
 
