@@ -544,6 +544,29 @@ def test_encoder_passes_once_over_the_words(monkeypatch):
         assert len(own.words) <= 40 and not getattr(own.words.older, "older", None)
 
 
+def test_encoder_learns_the_words_of_a_block_together(monkeypatch):
+    """Letters once, with or without punctuation behind them, and in one string; blocks and merges across words change no id."""
+    from tillroll.llm import token_ids
+
+    own = token_ids.Encoder(default_tokenizer())
+    asked, stems = [], own._stems
+    own._stems = lambda words: asked.append(words) or stems(words)
+    texts = ["A cat, a cat. the\ncat; né", "", "The cat: né! the cat's? a fjord\"", " a"]
+    assert list(own.encode_all(texts)) == own._whole(texts)
+    assert asked == [["cat", "a", "the", "né", "fjord"]]
+    texts = ["漢" * 300, "x " + "y" * 300 + " z", ("ab" * 300 + " ") * 3]
+    assert list(own.encode_all(texts)) == own._whole(texts) and max(map(len, own.words)) < 100  # long ones are not kept
+    draw = random.Random(4)
+    texts = ["".join(draw.choices("abé'Z.,;\"\n\t  1", k=draw.randint(0, 30))) for _ in range(2000)]
+    monkeypatch.setattr(token_ids, "_BLOCK_CHARS", 40)
+    monkeypatch.setattr(token_ids, "_STRING_WORDS", 3)
+    monkeypatch.setattr(token_ids, "_CACHED", 100)
+    assert list(own.encode_all(iter(texts))) == own._whole(texts)
+    plain = token_ids.Encoder(default_tokenizer())
+    plain.spaced[:] = False  # as if merges had crossed: the model takes them one by one
+    assert list(plain.encode_all(texts)) == own._whole(texts)
+
+
 def test_special_tokens_are_one_id():
     """Against a tokenizer as the file loads it."""
     from tokenizers import Tokenizer

@@ -37,13 +37,13 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def _cut_pieces(path: str, capacity: int, also: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode_all = encoder(path).encode_all
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 row, piece, start, length, ids = [], [], [], [], []
-                for i, item in enumerate(part.column(1)):
-                    found = encode(item.as_py() or "") + end
+                for i, found in enumerate(encode_all(item.as_py() or "" for item in part.column(1))):
+                    found += end
                     for k, (at, n) in enumerate(cut(len(found) // 4, capacity)):
                         row.append(i)
                         piece.append(k)

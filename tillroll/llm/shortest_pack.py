@@ -147,8 +147,8 @@ def _cut_pieces(path: str, capacity: int, end_id: int):
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 row, start, length, crc, total, rank, ids = [], [], [], [], [], [], []
-                for i, item in enumerate(part.column(1)):
-                    found = encode.encode(item.as_py() or "") + end
+                for i, found in enumerate(encode.encode_all(item.as_py() or "" for item in part.column(1))):
+                    found += end
                     whole = len(found) // 4
                     for at in range(0, whole, capacity):
                         raw = found[4 * at : 4 * (at + capacity)]

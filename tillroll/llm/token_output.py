@@ -36,7 +36,7 @@ def _shards(path: str, width: int):
         vocabulary = max(own.tokenizer.get_vocab_size(), END_ID + 1)
         if vocabulary > 1 << 8 * width:
             raise ValueError(f"a vocabulary of {vocabulary} ids does not fit into {width} bytes an id")
-        encode, end = own.encode, np.array([END_ID], "<u4").tobytes()
+        end = np.array([END_ID], "<u4").tobytes()
         shard, block, at = TaskContext.get().partitionId(), 0, 0
         payload, ids, places, lengths, repeats, size = [], [], [], [], [], 0
         before, repeat = object(), 0
@@ -59,11 +59,11 @@ def _shards(path: str, width: int):
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
+            for doc_id, found in zip(batch.column(0), own.encode_all(text.as_py() for text in batch.column(1))):
                 key = doc_id.as_py()
                 repeat = repeat + 1 if key == before else 0
                 before = key
-                raw = encode(text.as_py()) + end
+                raw = found + end
                 payload.append(raw)
                 size += len(raw)
                 ids.append(key)
