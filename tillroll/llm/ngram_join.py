@@ -2,7 +2,9 @@
 
 1. Every text becomes its set of n-grams (63-bit hashes); equal sets are one class from here on.
 2. n-grams have one global order, rarest first. Two sets that are similar enough share one of each
-   other's first n-grams, so only those ("the prefix") are posted.
+   other's first n-grams, so only those ("the prefix") are posted. Counts are found in shards of the
+   hash space: blocks of sets send their n-grams there in packed arrays, get back the orders of those
+   that recur, and post.
 3. Sets posted under one n-gram meet in the group of the least set there; groups of the same least set
    are one group. Large groups are dealt in blocks, and each pair of blocks is a task of its own.
 4. A task stores one block's ordered sets in a trie and walks it once with all sets of the other block
@@ -20,20 +22,29 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.graph import components
+from tillroll.llm.key_bits import by_keys
 from tillroll.llm.scratch import stored
 
 WORDS = 5
 THRESHOLD = 80  # per cent of the union
-LOW = 0.3  # share of the hash space whose n-grams are counted and come first in the order
-MOST_COUNTED = 4_000_000  # n-grams in the broadcast table of counts: 9 bytes each
+LOW = 0.3  # share of the hash space whose n-grams come first in the order, by their counts
 BLOCK_SETS = 512
 BLOCK_NGRAMS = 200_000
+COUNT_SETS = 1 << 16  # at most so many sets are counted together, numbered by 16 bits
+COUNT_NGRAMS = 2_000_000  # and about so many n-grams
+SHARD_NGRAMS = 4_000_000  # counted by one task at a time
+FEW = 16  # n-grams of more sets of a block go to their shard without their sets
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-_LOW_END = int(LOW * 2**63)
+_CUT = 15  # bits of an n-gram's hash that are left out for order and postings
+_WIDTH = 6  # bytes of the rest
+_LOW_END = int(LOW * 2 ** (63 - _CUT))
+_MASK = np.uint64(2 ** (63 - _CUT) - 1)
+_HIGH = 62  # order of an n-gram beyond LOW that is in one set; one more: in several
 
 
 def ngrams(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -66,12 +77,19 @@ def prefix_length(size, threshold: int = THRESHOLD):
     return size - -(-threshold * size // 100) + 1
 
 
-def _long_lists(values: list[np.ndarray | None]) -> pa.Array:
-    sizes = np.array([0 if v is None else len(v) for v in values], np.int64)
-    flat = [v for v in values if v is not None]
-    data = np.concatenate(flat).astype(np.int64) if flat else np.empty(0, np.int64)
-    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.array([v is None for v in values] + [False]))
-    return pa.ListArray.from_arrays(offsets, pa.array(data))
+def _packed(values: np.ndarray, width: int = _WIDTH) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(raw: bytes, width: int = _WIDTH) -> np.ndarray:
+    part = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    whole = np.zeros((len(part), 8), np.uint8)
+    whole[:, :width] = part
+    return whole.view("<u8").ravel()
+
+
+def _chained(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, kind)
 
 
 def _sets(words: int, threshold: int):
@@ -90,10 +108,10 @@ def _sets(words: int, threshold: int):
                         lows.append(None)
                         continue
                     seen.add(key)
-                    keep = max(np.searchsorted(grams, np.uint64(_LOW_END)), prefix_length(size, threshold))
-                    lows.append(grams[:keep])
+                    keep = max(np.searchsorted(grams, np.uint64(_LOW_END << _CUT)), prefix_length(size, threshold))
+                    lows.append(_packed(grams[:keep] >> np.uint64(_CUT)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), _long_lists(lows)],
+                    [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(lows, pa.binary())],
                     ["doc_id", "text_key", "n_shingles", "set_id", "first"],
                 )
 
@@ -106,76 +124,154 @@ def _text_key() -> Column:
 
 
 def ngram_sets(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, text_key, n_shingles, set_id (digest of the set; null if empty), first (its least n-grams by hash)."""
+    """doc_id, text_key, n_shingles, set_id (digest of the set; null if empty), first (its least n-grams by hash,
+    the leading 48 bits of each; null where the task had the set before)."""
     plain = docs.select("doc_id", F.col("text").cast("binary").alias("text"), _text_key().alias("text_key"))
     kind = plain.schema["doc_id"].dataType.simpleString()
     return plain.mapInArrow(
-        _sets(words, threshold), f"doc_id {kind}, text_key long, n_shingles long, set_id binary, first array<long>"
+        _sets(words, threshold), f"doc_id {kind}, text_key long, n_shingles long, set_id binary, first binary"
     )
 
 
-def _counted(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """The n-grams in at least `floor` sets, ascending, and the binary order of their counts.
+def _chunks(shards: int, most_sets: int, most_ngrams: int, few_sets: int):
+    """Blocks of sets: a row with the n-grams of each shard, and a row for the block itself (shard >= shards).
 
-    Counts cover all sets. The floor is 2 unless more than MOST_COUNTED n-grams reach it; then it
-    doubles. It only moves work between the prefix and the trie: any order gives the same links.
+    A shard gets each distinct n-gram of a block once: the difference from the one before, the number of sets and, if
+    these are few, their places in the block. The sets of others stay in the block's own row, so that an n-gram
+    of very many sets is no more to its shard than one entry a block.
     """
-    counts = stored(
-        sets.select(F.explode("first").alias("gram"))
-        .where(F.col("gram") < _LOW_END)
-        .groupBy("gram")
-        .count()
-        .where("count >= 2")
-        .withColumn("order", F.floor(F.log2("count")).cast("int")),
-        "gram-counts",
-    )
-    by_order = {r["order"]: r["count"] for r in counts.groupBy("order").count().collect()}
-    floor = 1
-    while sum(n for order, n in by_order.items() if order >= floor) > MOST_COUNTED:
-        floor += 1
-    table = counts.where(F.col("order") >= floor).select("gram", "order").toArrow()
-    grams = table.column("gram").to_numpy().astype(np.uint64)
-    at = np.argsort(grams)
-    return grams[at], table.column("order").to_numpy().astype(np.uint8)[at], floor
-
+    names = ["shard", "block", "ids", "sizes", "grams", "counts", "members"]
+    kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 5
+
+    def rows(block: int, ids: list[bytes], sizes: list[int], firsts: list[bytes]) -> pa.RecordBatch:
+        lengths = np.array([len(f) // _WIDTH for f in firsts], np.int64)
+        grams = _unpacked(b"".join(firsts))
+        key = ((grams % np.uint64(shards)) << np.uint64(48)) | (grams // np.uint64(shards))
+        order = np.argsort(key, kind="stable")
+        key, sets = key[order], np.repeat(np.arange(len(ids)), lengths).astype(np.uint16)[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, count = key[start], np.diff(np.append(start, len(key)))
+        few = count <= few_sets
+        listed = np.repeat(few, count)
+        members, ends = sets[listed], np.concatenate([[0], np.cumsum(np.where(few, count, 0))])
+        edges = np.searchsorted(key, np.arange(shards + 1, dtype=np.uint64) << np.uint64(48))
+        found = []
+        for shard in np.flatnonzero(np.diff(edges)):
+            a, b = edges[shard], edges[shard + 1]
+            steps = np.diff(key[a:b] & _MASK, prepend=np.uint64(0))
+            width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+            counts = np.minimum(count[a:b], 255).astype(np.uint8).tobytes()
+            found.append((int(shard), block, None, None, _packed(steps, width), counts, members[ends[a] : ends[b]].tobytes()))
+        many = (key[~few] & _MASK) * np.uint64(shards) + (key[~few] >> np.uint64(48))
+        numbers = np.concatenate([np.array(sizes, np.int64), lengths]).tobytes()
+        own = (shards + block % shards, block, b"".join(ids), numbers, _packed(many), count[~few].tobytes(), sets[~listed].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, own), kinds)], names)
 
-def _postings(counted, floor: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, orders = counted.value
-        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
-            ids, sizes = batch.column(0), batch.column(1).to_numpy()
-            lists = batch.column(2)
-            flat, ends = lists.flatten().to_numpy().astype(np.uint64), np.cumsum(lists.value_lengths().to_numpy())
-            rank = np.where(flat < np.uint64(_LOW_END), 0, 63).astype(np.uint8)
-            if len(grams):
-                at = np.minimum(np.searchsorted(grams, flat), len(grams) - 1)
-                rank = np.where((rank == 0) & (grams[at] == flat), orders[at], rank)
-            rows, posted, start = [], [], 0
-            for i, end in enumerate(ends):
-                own = flat[start:end]
-                first = np.lexsort((own, rank[start:end]))[: prefix_length(int(sizes[i]), threshold)]
-                if floor == 1:  # an uncounted one is in no other set
-                    first = first[rank[start:end][first] > 0]
-                posted.append(own[first])
-                rows.append(np.full(len(first), i))
-                start = end
-            take = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64))
-            gram = np.concatenate(posted).astype(np.int64) if posted else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram), ids.take(take), batch.column(1).take(take)], ["gram", "set_id", "size"]
-            )
+        block, held = TaskContext.get().partitionId() << 24, ([], [], [])
+        size = 0
+        for batch in batches:
+            for row in zip(*(column.to_pylist() for column in batch.columns)):
+                for column, value in zip(held, row):
+                    column.append(value)
+                size += len(row[2]) // _WIDTH
+                if size >= most_ngrams or len(held[0]) == most_sets:
+                    yield rows(block, *held)
+                    block, held, size = block + 1, ([], [], []), 0
+        if held[0]:
+            yield rows(block, *held)
+
+    return run
+
+
+def _orders(shards: int, few_sets: int):
+    """The rows of a shard with the n-grams that recur and the binary order of their counts; other rows as they are.
+
+    Counts are of sets over all blocks, 255 a block at most. That only moves work between the prefix and the trie: any
+    order gives the same links. n-grams beyond LOW stay in the order of their hashes.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        if shard >= shards:
+            return table.drop_columns("shard").append_column("orders", pa.nulls(table.num_rows, pa.binary()))
+        counts = [np.frombuffer(c, np.uint8) for c in table.column("counts").to_pylist()]
+        ends = np.cumsum([len(c) for c in counts])
+        rest = np.concatenate(
+            [np.cumsum(_unpacked(g, len(g) // len(c)), dtype=np.uint64) for g, c in zip(table.column("grams").to_pylist(), counts)]
+        )
+        distinct, back = np.unique(rest, return_inverse=True)
+        total = np.bincount(back, weights=np.concatenate(counts))
+        grams = distinct * np.uint64(shards) + np.uint64(shard)
+        order = np.where(grams < np.uint64(_LOW_END), np.floor(np.log2(total)), np.where(total > 1, _HIGH + 1, _HIGH)).astype(np.uint8)
+        columns = [], [], [], []
+        members = (np.frombuffer(m, np.uint16) for m in table.column("members").to_pylist())
+        for end, count, sets in zip(ends, counts, members):
+            own = back[end - len(count) : end]
+            kept = order[own] > 0  # others are in no other set
+            listed = np.repeat(kept, np.where(count <= few_sets, count, 0))
+            values = _packed(grams[own[kept]]), order[own[kept]].tobytes(), count[kept].tobytes(), sets[listed].tobytes()
+            for column, value in zip(columns, values):
+                column.append(value)
+        grams_, orders, counts_, members_ = (pa.array(c, pa.binary()) for c in columns)
+        none = pa.nulls(table.num_rows, pa.binary())
+        return pa.table(
+            [table.column("block"), none, none, grams_, counts_, members_, orders],
+            ["block", "ids", "sizes", "grams", "counts", "members", "orders"],
+        )
+
+    return run
+
+
+def _post(threshold: int, few_sets: int):
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        own = next(r for r in rows if r["ids"] is not None)
+        sizes, lengths = np.split(np.frombuffer(own["sizes"], np.int64), 2)
+        found = [r for r in rows if r["ids"] is None]
+        grams = _chained([_unpacked(r["grams"]) for r in found], np.uint64)
+        orders = _chained([np.frombuffer(r["orders"], np.uint8) for r in found], np.uint8)
+        counts = _chained([np.frombuffer(r["counts"], np.uint8) for r in found], np.uint8)
+        few = counts <= few_sets
+        many, many_sets = _unpacked(own["grams"]), np.frombuffer(own["counts"], np.int64)
+        place = np.argsort(grams[~few])
+        place = place[np.searchsorted(grams[~few], many, sorter=place)]
+        gram = np.concatenate([np.repeat(grams[few], counts[few]), np.repeat(many, many_sets)])
+        order = np.concatenate([np.repeat(orders[few], counts[few]), np.repeat(orders[~few][place], many_sets)])
+        sets = np.concatenate([np.frombuffer(r["members"], np.uint16) for r in [*found, own]]).astype(np.int64)
+
+        recurring = np.bincount(sets, minlength=len(sizes))
+        room = prefix_length(sizes, threshold) - (lengths - recurring)  # those of no other set come first
+        at = np.lexsort((gram, np.minimum(order, _HIGH), sets))
+        before = np.arange(len(at)) - (np.cumsum(recurring) - recurring)[sets[at]]
+        at = at[(before < room[sets[at]]) & (order[at] != _HIGH)]
+        ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(sizes), [None, pa.py_buffer(own["ids"])]).cast(pa.binary())
+        return pa.table(
+            [pa.array(gram[at].astype(np.int64)), ids.take(pa.array(sets[at])), pa.array(sizes[sets[at]])],
+            ["gram", "set_id", "size"],
+        )
 
     return run
 
 
 def postings(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """gram, set_id, size: each set under the n-grams of its prefix in the global order."""
-    grams, orders, floor = _counted(sets)
-    counted = sets.sparkSession.sparkContext.broadcast((grams, orders))
+    """gram, set_id, size: each set under the n-grams of its prefix in the global order that are in other sets too.
+
+    n-grams are cut to 48 bits here; two of one value meet and are told apart by the trie. Equal sets of several tasks
+    are posted as often.
+    """
     first = sets.where(F.col("first").isNotNull()).select("set_id", "n_shingles", "first")
-    return first.mapInArrow(
-        _postings(counted, floor, threshold), "gram long, set_id binary, size long"
-    ).distinct()
+    total = first.agg(F.sum(F.octet_length("first"))).first()[0] or 0
+    partitions = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = min(32767, max(partitions, -(-total // (_WIDTH * SHARD_NGRAMS))))
+    packed = "ids binary, sizes binary, grams binary, counts binary, members binary"
+    return (
+        first.mapInArrow(_chunks(shards, COUNT_SETS, COUNT_NGRAMS, FEW), f"shard int, block long, {packed}")
+        .groupBy("shard")
+        .applyInArrow(_orders(shards, FEW), f"block long, {packed}, orders binary")
+        .groupBy("block")
+        .applyInArrow(_post(threshold, FEW), "gram long, set_id binary, size long")
+    )
 
 
 class _Trie:
@@ -284,15 +380,22 @@ def _join_block(threshold: int):
 
 def _full_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # rows that are equal in doc_id and text
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                ids, grams = [], []
-                for text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                rows, grams = [], []
+                for i, (text, wanted) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
+                    if wanted in seen:
+                        continue
                     own = ngrams(text or b"", words).tobytes()
                     if xxhash.xxh3_128_digest(own) == wanted:
-                        ids.append(wanted)
+                        seen.add(wanted)
+                        rows.append(i)
                         grams.append(own)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(grams, pa.binary())], ["set_id", "grams"])
+                kept = part.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [kept.column(1), pa.array(grams, pa.binary()), *kept.columns[2:]], ["set_id", "grams", "copies", "places"]
+                )
 
     return run
 
@@ -302,13 +405,18 @@ def _classes(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame, Da
     doc_id of the class if it is the class of its component that stays, else null)."""
     docs = docs.select("doc_id", "text")
     sets = stored(ngram_sets(docs, words, threshold), "ngram-sets")
+    nameless = F.col("doc_id").isNull()
     classes = (
         sets.where(F.col("set_id").isNotNull())
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
+        .agg(
+            F.min("doc_id").alias("least_id"),
+            F.min(F.struct(nameless, "doc_id", "text_key"))["text_key"].alias("least_key"),
+            F.count("*").alias("copies"),
+        )
     )
     posted = stored(postings(sets, threshold), "postings")
-    least = posted.groupBy("gram").agg(F.min("set_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    least = posted.groupBy("gram").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("last")).where("leader < last")
     members = stored(
         posted.join(least, "gram").select("leader", "set_id", "size").distinct(), "groups"
     )
@@ -317,13 +425,28 @@ def _classes(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame, Da
         F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_NGRAMS)).cast("int").alias("n")
     )
     large = stored(blocks.where("n > 1"), "large-groups")  # few and known by size, so members need not be shuffled
+    place = F.struct("leader", F.coalesce("n", F.lit(1)).alias("n"))
+    places = members.join(large, "leader", "left").groupBy("set_id").agg(F.collect_list(place).alias("places"))
+    wanted = stored(places.join(classes, "set_id").select("set_id", "copies", "places", "least_id", "least_key"), "wanted-sets")
+    keyed = docs.withColumn("text_key", _text_key())
+    keys = wanted.select(F.xxhash64("least_id", "least_key").alias("key")).distinct()
+    texts = by_keys(keyed, F.xxhash64("doc_id", "text_key"), keys)[0].join(
+        wanted, keyed["doc_id"].eqNullSafe(F.col("least_id")) & (F.col("text_key") == F.col("least_key"))
+    )
+    full = texts.select(F.col("text").cast("binary").alias("text"), "set_id", "copies", "places").mapInArrow(
+        _full_sets(words), "set_id binary, grams binary, copies long, places array<struct<leader: binary, n: int>>"
+    )
     dealt = (
-        members.join(large, "leader", "left")
-        .withColumn("n", F.coalesce("n", F.lit(1)))
+        full.withColumn("groups", F.transform("places", lambda p: F.xxhash64(p["leader"])))
+        .withColumn("place", F.explode("places"))
+        .select("set_id", "grams", "copies", "groups", "place.leader", "place.n")
         .withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("n")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         .select(
             "set_id",
+            "grams",
+            "copies",
+            "groups",
             "leader",
             F.xxhash64("leader").alias("group_key"),
             F.least("block", "other").alias("i"),
@@ -331,16 +454,8 @@ def _classes(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame, Da
             (F.col("block") > F.col("other")).cast("int").alias("side"),
         )
     )
-    wanted = members.groupBy("set_id").agg(F.collect_set(F.xxhash64("leader")).alias("groups")).join(classes, "set_id")
-    texts = docs.join(
-        wanted.select("least_id", "set_id"), docs["doc_id"].eqNullSafe(F.col("least_id"))
-    ).select(F.col("text").cast("binary").alias("text"), "set_id")
-    grams = texts.mapInArrow(_full_sets(words), "set_id binary, grams binary")
-    full = stored(grams.join(wanted.select("set_id", "groups", "copies"), "set_id"), "full-sets")
     ties = stored(
-        dealt.join(full, "set_id")
-        .groupBy("leader", "i", "j")
-        .applyInPandas(_join_block(threshold), "set_id binary, to_id binary, links long"),
+        dealt.groupBy("leader", "i", "j").applyInPandas(_join_block(threshold), "set_id binary, to_id binary, links long"),
         "links",
     )
 
