@@ -166,6 +166,20 @@ def test_rows_of_other_keys_are_told_apart_without_a_join(spark):
     assert may.count() == 0 and none.count() == 20_000
 
 
+def test_near_dedup_shuffles_only_rows_that_may_go(spark):
+    texts = [" ".join(f"d{d}w{i}" for i in range(40)) for d in range(200)]
+    texts += [texts[3] + " more", texts[150] + " more"]
+    docs = spark.createDataFrame(list(enumerate(texts))[::-1], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = [r["doc_id"] for r in one_of_each(docs).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(kept) == list(range(200))
+    assert sum(a - 1 == b for a, b in zip(kept, kept[1:])) > 180  # the others stand as they stood
+
+
 def test_language(spark, docs, nothing):
     rng = random.Random(1)
     words = {"en": ["the", "and", "thing", "when"], "de": ["der", "und", "nicht", "über"], "fr": ["les", "été", "où", "dans"]}

@@ -508,10 +508,13 @@ def one_of_each(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD)
     Rows without doc_id stay. Equal rows, and rows of equal sets with the least doc_id, stay or go together.
     """
     sets, classes = _classes(docs, words, threshold)
-    dropped = (
+    dropped = stored(
         sets.join(classes, "set_id")
         .where(F.col("doc_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("stays")))
         .select(F.col("doc_id").alias("__dropped"), F.col("text_key").alias("__key"))
-        .distinct()
+        .distinct(),
+        "dropped",
     )
-    return docs.join(dropped, (docs["doc_id"] == F.col("__dropped")) & (_text_key() == F.col("__key")), "left_anti")
+    may, stay = by_keys(docs, F.xxhash64("doc_id", _text_key()), dropped.select(F.xxhash64("__dropped", "__key").alias("key")))
+    kept = may.join(dropped, (may["doc_id"] == F.col("__dropped")) & (_text_key() == F.col("__key")), "left_anti")
+    return stay.union(kept)
